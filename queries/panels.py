@@ -36,7 +36,7 @@ def shipped(spark, sf):
   SELECT f.entity, f.week_start, f.outcome, f.exposure, f.peak, f.urgent, f.missing, s.n_lines, s.quantity,
          s.discount_mean, p.population, f.outcome * 100000.0::DOUBLE / p.population AS outcome_per_100k
   FROM full_panel f LEFT JOIN shipped s ON f.entity = s.entity AND f.week_start = s.week_start
-  JOIN parents p ON f.entity = p.entity"""), "discount_mean outcome_per_100k"))
+  JOIN parents p ON f.entity = p.entity"""), "exposure peak quantity discount_mean outcome_per_100k"))
 def weekly_exposure_outcome_panel(spark, sf):
     feed = full_panel(spark, sf).drop("share")
     master = build_master(feed, [shipped(spark, sf)], ["entity", "week_start"])
@@ -47,10 +47,10 @@ def weekly_exposure_outcome_panel(spark, sf):
 @query(rounded(on(FULL + "," + SHIPPED, """
   , cal AS (SELECT e.entity, CAST(w.week_start AS DATE) AS week_start
             FROM (SELECT DISTINCT entity FROM panel) e,
-                 (SELECT unnest(generate_series(DATE '1995-12-25', DATE '2000-12-25', INTERVAL 7 DAY)) AS week_start) w)
+                 (SELECT unnest(generate_series(DATE '1996-01-01', DATE '2000-12-25', INTERVAL 7 DAY)) AS week_start) w)
   SELECT c.entity, c.week_start, p.outcome, p.exposure, s.n_lines, s.quantity, s.discount_mean
   FROM cal c LEFT JOIN panel p ON c.entity = p.entity AND c.week_start = p.week_start
-  LEFT JOIN shipped s ON c.entity = s.entity AND c.week_start = s.week_start"""), "discount_mean"))
+  LEFT JOIN shipped s ON c.entity = s.entity AND c.week_start = s.week_start"""), "exposure quantity discount_mean"))
 def master_on_fixed_window(spark, sf):
     """Analysis window of whole years as the calendar of every entity; both feeds joined onto it."""
     feed = panel(spark, sf)

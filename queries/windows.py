@@ -161,7 +161,7 @@ EDGES5 = ", ".join(f"quantile_cont(outcome, {i / 5})" for i in range(6))
 
 @query(on(FULL, f"""
   , e AS (SELECT list_distinct([{EDGES5}]) AS edges FROM full_panel)
-  SELECT entity, week_start, CAST(greatest(len(list_filter(edges, x -> x < outcome)) - 1, 0) AS INTEGER) AS bin
+  SELECT entity, week_start, CAST(greatest(len(list_filter(edges, lambda x: x < outcome)) - 1, 0) AS INTEGER) AS bin
   FROM full_panel, e"""))
 def quantile_bins(spark, sf):
     """Pooled over all entities, so the edges come from the ladder."""
@@ -174,7 +174,7 @@ EDGES10 = ", ".join(f"quantile_cont(exposure, {i / 10})" for i in range(11))
 @query(on(FULL, f"""
   , e AS (SELECT entity, list_distinct([{EDGES10}]) AS edges FROM full_panel GROUP BY entity)
   SELECT f.entity, week_start, CASE WHEN exposure IS NOT NULL
-         THEN CAST(greatest(len(list_filter(edges, x -> x < exposure)) - 1, 0) AS INTEGER) END AS bin
+         THEN CAST(greatest(len(list_filter(edges, lambda x: x < exposure)) - 1, 0) AS INTEGER) END AS bin
   FROM full_panel f JOIN e ON f.entity = e.entity"""))
 def quantile_bins_per_entity(spark, sf):
     df = win.quantile_bins(full_panel(spark, sf), "exposure", 10, "bin", "entity", bounded=True)
