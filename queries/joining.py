@@ -47,7 +47,7 @@ def lookup_join(spark, sf):
 
 
 DONOR = """donor AS (
-  SELECT c_nationkey AS entity, CAST(date_trunc('week', l_shipdate) AS DATE) AS week_start, round(avg(l_extendedprice) / 100, 4) AS exposure,
+  SELECT c_nationkey AS entity, CAST(date_trunc('week', l_shipdate) AS DATE) AS week_start, avg(l_extendedprice) / 100 AS exposure,
          CASE WHEN count(*) % 3 = 0 THEN NULL ELSE count(*) END AS outcome
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_returnflag = 'R' GROUP BY 1, 2)"""
 
@@ -58,7 +58,7 @@ def donor(spark, sf):
     customer = table(spark, sf, "customer", "c_custkey", "c_nationkey")
     rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(customer, orders.o_custkey == customer.c_custkey)
     return weekly_agg(rows.withColumnRenamed("c_nationkey", "entity"), "entity", "l_shipdate", {
-        "exposure": F.round(F.avg("l_extendedprice") / 100, 4),
+        "exposure": F.avg("l_extendedprice") / 100,
         "outcome": F.when(F.count("*") % 3 != 0, F.count("*")),
     })
 

@@ -31,18 +31,19 @@ def invalid_week_53(spark, sf):
 @query("SELECT event_id, CAST(date_trunc('week', ts) AS DATE) AS week_start, CAST(ts AS DATE) AS naive FROM events")
 def monday_of_timestamp(spark, sf):
     e = table(spark, sf, "events", "event_id", "ts")
-    return e.select("event_id", dates.week_start("ts").alias("week_start"), dates.week_naive(F.col("ts").cast("timestamp")).alias("naive"))
+    instant = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp")
+    return e.select("event_id", dates.week_start("ts").alias("week_start"), dates.week_naive(instant).alias("naive"))
 
 
 @query("""
-  SELECT event_id, epoch_ms(ts) AS back_ms, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS back_s, CAST(ts AS DATE) AS iso_date FROM events""")
+  SELECT event_id, epoch_us(ts) // 1000 AS back_ms, CAST(epoch(date_trunc('second', ts)) AS BIGINT) AS back_s, CAST(ts AS DATE) AS iso_date FROM events""")
 def epoch_round_trip(spark, sf):
     e = table(spark, sf, "events", "event_id", "ts")
-    z = F.col("ts").cast("timestamp")
+    millis = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts"))
     return e.select(
         "event_id",
-        F.unix_millis(dates.epoch_to_ts(F.unix_millis(z).cast("string"), "ms")).alias("back_ms"),
-        F.unix_seconds(dates.epoch_to_ts(F.unix_seconds(z), "s")).alias("back_s"),
+        F.unix_millis(dates.epoch_to_ts(millis.cast("string"), "ms")).alias("back_ms"),
+        F.unix_seconds(dates.epoch_to_ts(F.floor(millis / 1000), "s")).alias("back_s"),
         F.to_date(dates.epoch_to_ts(F.col("ts").cast("string"), "iso")).alias("iso_date"),
     )
 

@@ -42,11 +42,12 @@ def ladder(
     rows = df.where(col(value).isNotNull()).groupBy(*map(col, keys), col(value)).agg(
         *[m.alias(name) for name, m in measures.items()]
     )
-    cuts = (
-        df.where(col(value).isNotNull())
-        .agg(F.percentile_approx(col(value), [i / ranges for i in range(1, ranges)], 20 * ranges))
-        .scalar()
-    )
+    # The cuts are taken from the aggregated rows, and read all their columns, so that the exchange of
+    # that aggregate is planned once and reused: the input is scanned a single time.
+    present = sum((F.col(m) for m in measures), F.lit(0)) > 0
+    cuts = rows.where(present).agg(
+        F.percentile_approx(col(value), [i / ranges for i in range(1, ranges)], 20 * ranges)
+    ).scalar()
     rows = _with_range(rows, value, cuts, ranges)
     if descending:
         rows = rows.withColumn("__range", -F.col("__range"))
