@@ -1 +1,144 @@
+"""Regression models and their diagnostics."""
 
+from pyspark.sql import functions as F
+
+from weekwise.operators import models as md
+from weekwise.operators.window import add_lags
+
+from . import query
+from .base import FULL, SCORED, full_panel, on, rounded, scored, tidy
+
+# two regressors in closed form: x = exposure, z = outcome, y = peak
+OLS2 = FULL + """,
+mo AS (SELECT entity, count(*) AS n, avg(exposure) AS mx, avg(outcome) AS mz, avg(peak) AS my, covar_pop(exposure, exposure) * count(*) AS sxx,
+   covar_pop(outcome, outcome) * count(*) AS szz, covar_pop(exposure, outcome) * count(*) AS sxz, covar_pop(exposure, peak) * count(*) AS sxy,
+   covar_pop(outcome, peak) * count(*) AS szy, covar_pop(peak, peak) * count(*) AS syy
+   FROM full_panel WHERE exposure IS NOT NULL AND peak IS NOT NULL GROUP BY entity),
+be AS (SELECT *, sxx * szz - sxz * sxz AS d, (sxy * szz - szy * sxz) / (sxx * szz - sxz * sxz) AS bx, (szy * sxx - sxy * sxz) / (sxx * szz - sxz * sxz) AS bz FROM mo),
+rs AS (SELECT *, my - bx * mx - bz * mz AS b0, syy - bx * sxy - bz * szy AS rss FROM be),
+fit AS (SELECT *, rss / (n - 3) AS s2, 1 - rss / syy AS r2 FROM rs)"""
+
+TERMS = ["exposure", "outcome"]
+
+
+def fits(spark, sf):
+    return md.ols(full_panel(spark, sf), TERMS, "peak", "entity")
+
+
+@query(rounded(on(OLS2, """
+  SELECT entity, n, 3 AS k, r2, 1 - (1 - r2) * (n - 1) / (n - 3) AS adj_r2, (r2 / 2) / ((1 - r2) / (n - 3)) AS f, rss,
+    n * ln(2 * pi() * rss / n) + n + 6 AS aic, n * ln(2 * pi() * rss / n) + n + 3 * ln(n) AS bic FROM fit"""), "r2 adj_r2 f rss aic bic", 4))
+def least_squares_fit(spark, sf):
+    return tidy(fits(spark, sf).drop("coefs", "p_f"), 4)
+
+
+@query(rounded(on(OLS2, """
+  , co AS (SELECT entity, 'exposure' AS term, bx AS coef, sqrt(s2 * szz / d) AS se FROM fit UNION ALL SELECT entity, 'outcome', bz, sqrt(s2 * sxx / d) FROM fit
+   UNION ALL SELECT entity, 'intercept', b0, sqrt(s2 * (1 / n + (mx * mx * szz - 2 * mx * mz * sxz + mz * mz * sxx) / d)) FROM fit)
+  SELECT entity, term, coef, se, coef / se AS t FROM co"""), "coef se t", 5))
+def least_squares_coefficients(spark, sf):
+    return tidy(md.coefficients(fits(spark, sf), "entity").drop("p", "ci_low", "ci_high"), 5)
+
+
+@query()
+def least_squares_with_p(spark, sf):
+    return tidy(md.coefficients(fits(spark, sf), "entity"))
+
+
+@query(rounded(on(FULL, """
+  , q AS (SELECT entity, quarter(week_start) AS q, avg(outcome) AS m FROM full_panel GROUP BY 1, 2),
+  b AS (SELECT * FROM q WHERE q = 1)
+  SELECT q.entity, 'Q_' || q.q AS term, q.m - b.m AS coef FROM q JOIN b ON q.entity = b.entity WHERE q.q > 1
+  UNION ALL SELECT entity, 'intercept', m FROM b"""), "coef"))
+def categorical_effects(spark, sf):
+    df, terms = md.one_hot_terms(full_panel(spark, sf), F.quarter("week_start"), [1, 2, 3, 4], "Q_")
+    return tidy(md.coefficients(md.ols(df, terms, "outcome", "entity"), "entity").select("entity", "term", "coef"))
+
+
+@query(rounded(on(FULL, """
+  , d AS (SELECT entity, exposure - avg(exposure) OVER (PARTITION BY entity, weekofyear(week_start)) AS x,
+            peak - avg(peak) OVER (PARTITION BY entity, weekofyear(week_start)) AS y FROM full_panel WHERE exposure IS NOT NULL AND peak IS NOT NULL)
+  SELECT entity, 'exposure' AS term, sum(x * y) / sum(x * x) AS coef FROM d GROUP BY entity"""), "coef"))
+def absorbed_week_effects(spark, sf):
+    df = full_panel(spark, sf).withColumn("woy", F.weekofyear("week_start"))
+    out = md.coefficients(md.ols(df, ["exposure"], "peak", "entity", absorb="woy"), "entity")
+    return tidy(out.select("entity", "term", "coef"))
+
+
+@query()
+def outcome_model_comparison(spark, sf):
+    """Level only; level, weather and quarters; the same with the outcome one week before."""
+    from weekwise.functions.numbers import ordinal
+
+    df, quarters = md.one_hot_terms(scored(spark, sf), F.quarter("week_start"), [4, 1, 2, 3], "Q_")
+    df = add_lags(df.withColumn("level_ord", ordinal("level")), "outcome", [1], "entity")
+    return tidy(md.compare_models({
+        "M1": md.ols(df, ["level_ord"], "outcome", "entity"),
+        "M2": md.ols(df, ["level_ord", "urgent", *quarters], "outcome", "entity"),
+        "M3": md.ols(df, ["level_ord", "urgent", *quarters, "outcome_lag1"], "outcome", "entity"),
+    }, "entity"))
+
+
+@query(rounded(on(FULL, """
+  , r AS (SELECT entity, corr(exposure, peak) AS a, corr(exposure, outcome) AS b, corr(peak, outcome) AS c FROM full_panel
+          WHERE exposure IS NOT NULL AND peak IS NOT NULL GROUP BY entity),
+  v AS (SELECT entity, 'exposure' AS "column", 1 / (1 - (a * a + b * b - 2 * a * b * c) / (1 - c * c)) AS vif FROM r
+    UNION ALL SELECT entity, 'peak', 1 / (1 - (a * a + c * c - 2 * a * b * c) / (1 - b * b)) FROM r
+    UNION ALL SELECT entity, 'outcome', 1 / (1 - (b * b + c * c - 2 * a * b * c) / (1 - a * a)) FROM r)
+  SELECT *, vif > 5 AS over_5, vif > 10 AS over_10 FROM v"""), "vif"))
+def variance_inflation(spark, sf):
+    return tidy(md.vif(full_panel(spark, sf), ["exposure", "peak", "outcome"], "entity"))
+
+
+RES = FULL + """,
+ln AS (SELECT entity, regr_slope(peak, exposure) AS b, regr_intercept(peak, exposure) AS a FROM full_panel GROUP BY entity),
+e0 AS (SELECT f.entity, week_start, a + b * exposure AS fitted, peak - a - b * exposure AS residual FROM full_panel f JOIN ln ON f.entity = ln.entity
+       WHERE exposure IS NOT NULL AND peak IS NOT NULL),
+e1 AS (SELECT *, residual / stddev_samp(residual) OVER (PARTITION BY entity) AS std_residual FROM e0)"""
+
+
+def residual_rows(spark, sf):
+    df = full_panel(spark, sf)
+    return md.residuals(df, md.ols(df, ["exposure"], "peak", "entity"), ["exposure"], "peak", "entity")
+
+
+@query(rounded(on(RES, "SELECT *, sqrt(abs(std_residual)) AS scale_location FROM e1"), "fitted residual std_residual scale_location", 5))
+def residual_diagnostics(spark, sf):
+    return tidy(residual_rows(spark, sf).select("entity", "week_start", "fitted", "residual", "std_residual", "scale_location"), 5)
+
+
+@query(rounded(on(RES, """
+  , d AS (SELECT entity, residual, residual - lag(residual) OVER (PARTITION BY entity ORDER BY week_start) AS d FROM e0),
+  w AS (SELECT entity, sum(d * d) / sum(residual * residual) AS dw FROM d GROUP BY entity)
+  SELECT *, CASE WHEN dw < 1.5 THEN 'positive' WHEN dw > 2.5 THEN 'negative' ELSE 'none' END AS autocorrelation FROM w"""), "dw"))
+def durbin_watson(spark, sf):
+    return tidy(md.durbin_watson(residual_rows(spark, sf), "entity"))
+
+
+@query(rounded(on(FULL, """
+  , o AS (SELECT entity, exposure AS ordered, row_number() OVER (PARTITION BY entity ORDER BY exposure, week_start) AS i, count(*) OVER (PARTITION BY entity) AS n
+          FROM full_panel WHERE exposure IS NOT NULL)
+  SELECT entity, ordered, i, n, CASE WHEN i = n THEN pow(0.5, 1.0 / n) WHEN i = 1 THEN 1 - pow(0.5, 1.0 / n) ELSE (i - 0.3175) / (n + 0.365) END AS position FROM o"""),
+  "ordered position"))
+def normal_quantile_positions(spark, sf):
+    return tidy(md.qq_points(full_panel(spark, sf), "exposure", "entity").drop("theoretical").withColumn("i", F.col("i").cast("long")))
+
+
+@query()
+def normal_quantile_points(spark, sf):
+    return tidy(md.qq_points(residual_rows(spark, sf), "residual", "entity"))
+
+
+@query(rounded(on(FULL, """
+  , m AS (SELECT entity, exposure - avg(exposure) OVER (PARTITION BY entity) AS d FROM full_panel WHERE exposure IS NOT NULL),
+  s AS (SELECT entity, count(*) AS n, avg(d * d * d) / pow(avg(d * d), 1.5) AS skew, avg(d * d * d * d) / pow(avg(d * d), 2) - 3 AS excess_kurtosis FROM m GROUP BY entity),
+  j AS (SELECT *, skew * sqrt(n * (n - 1)) / (n - 2) AS sample_skew, n / 6.0::DOUBLE * (skew * skew + excess_kurtosis * excess_kurtosis / 4) AS jb FROM s)
+  SELECT *, exp(-jb / 2) AS p FROM j"""), "skew excess_kurtosis sample_skew jb p"))
+def normality_check(spark, sf):
+    return tidy(md.jarque_bera(full_panel(spark, sf), "exposure", "entity"))
+
+
+@query(rounded(on(FULL, ", l AS (SELECT entity, outcome, lead(exposure, 1) OVER w AS x1, lead(exposure, 2) OVER w AS x2 FROM full_panel WINDOW w AS (PARTITION BY entity ORDER BY week_start)) "
+  + " UNION ALL ".join(f"SELECT entity, {k} AS lead, regr_slope(outcome, x{k}) AS coef FROM l GROUP BY entity" for k in (1, 2))), "coef"))
+def placebo_leads(spark, sf):
+    return tidy(md.placebo_leads(full_panel(spark, sf), "exposure", "outcome", [1, 2], "entity").select("entity", "lead", "coef"))

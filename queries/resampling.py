@@ -1 +1,106 @@
+"""Extreme-week audit and bootstrap replicates. Draws are md5 hashes, so SQL can repeat every sample."""
 
+from pyspark.sql import functions as F
+
+from weekwise.operators import resample as rs
+
+from . import query
+from .base import FULL, full_panel, on, rounded, tidy
+
+SEED, B, LAG = 42, 40, 2
+
+AUDIT = FULL + f""",
+kn AS (SELECT entity, week_start, exposure AS x, outcome AS y FROM full_panel WHERE exposure IS NOT NULL AND outcome IS NOT NULL),
+th AS (SELECT entity, quantile_cont(x, 0.9) AS q FROM kn GROUP BY entity),
+fl AS (SELECT k.*, CAST(x > q AS INTEGER) AS f FROM kn k JOIN th ON k.entity = th.entity),
+st AS (SELECT *, CASE WHEN f = 1 AND coalesce(lag(f) OVER w, 0) = 0 THEN 1 ELSE 0 END AS s, lag(f, {LAG}) OVER w AS ext_lag FROM fl WINDOW w AS (PARTITION BY entity ORDER BY week_start)),
+ep AS (SELECT *, CASE WHEN f = 1 THEN sum(s) OVER (PARTITION BY entity ORDER BY week_start ROWS UNBOUNDED PRECEDING) END AS e FROM st),
+au AS (SELECT *, CASE WHEN ext_lag IS NOT NULL THEN y - avg(y) OVER (PARTITION BY entity, ext_lag IS NOT NULL, weekofyear(week_start)) END AS y_anom FROM ep)"""
+
+DRAW = "CAST(('0x' || substr(md5(concat_ws('|', {parts})), 1, 8)) AS BIGINT) % {n}"
+
+
+def audit_rows(spark, sf):
+    return rs.extreme_rows(full_panel(spark, sf), "exposure", "outcome", "entity", 0.9, LAG)
+
+
+@query(rounded(on(AUDIT, """
+  , c AS (SELECT entity, e, count(*) AS n FROM au WHERE e IS NOT NULL GROUP BY 1, 2), l AS (SELECT entity, count(*) AS n_episodes, max(n) AS max_episode_weeks FROM c GROUP BY 1)
+  SELECT au.entity, count(*) AS n_total, CAST(sum(f) AS BIGINT) AS n_extreme_weeks, min(CASE WHEN f = 1 THEN x END) AS smallest_extreme,
+    avg(y_anom) FILTER (WHERE ext_lag = 1) - avg(y_anom) FILTER (WHERE ext_lag = 0) AS delta_mean, max(n_episodes) AS n_episodes, max(max_episode_weeks) AS max_episode_weeks
+  FROM au JOIN l ON au.entity = l.entity GROUP BY au.entity"""), "smallest_extreme delta_mean"))
+def extreme_week_summary(spark, sf):
+    return tidy(rs.audit_summary(audit_rows(spark, sf), "entity"))
+
+
+WEEKS = AUDIT + f""",
+g AS (SELECT entity, list(y_anom ORDER BY week_start) FILTER (WHERE ext_lag = 1) AS g1, list(y_anom ORDER BY week_start) FILTER (WHERE ext_lag = 0) AS g0 FROM au WHERE ext_lag IS NOT NULL GROUP BY entity),
+r AS (SELECT entity, g1, g0, unnest(range(1, {B + 1})) AS b FROM g WHERE len(g1) > 0 AND len(g0) > 0),
+d1 AS (SELECT entity, b, g1, unnest(range(0, len(g1))) AS i FROM r), d0 AS (SELECT entity, b, g0, unnest(range(0, len(g0))) AS i FROM r),
+m1 AS (SELECT entity, b, avg(g1[1 + {DRAW.format(parts=f"'{SEED}', entity::VARCHAR, '1', b::VARCHAR, i::VARCHAR", n="len(g1)")}]) AS m,
+              quantile_cont(g1[1 + {DRAW.format(parts=f"'{SEED}', entity::VARCHAR, '1', b::VARCHAR, i::VARCHAR", n="len(g1)")}], 0.5) AS md FROM d1 GROUP BY 1, 2),
+m0 AS (SELECT entity, b, avg(g0[1 + {DRAW.format(parts=f"'{SEED}', entity::VARCHAR, '0', b::VARCHAR, i::VARCHAR", n="len(g0)")}]) AS m,
+              quantile_cont(g0[1 + {DRAW.format(parts=f"'{SEED}', entity::VARCHAR, '0', b::VARCHAR, i::VARCHAR", n="len(g0)")}], 0.5) AS md FROM d0 GROUP BY 1, 2),
+rep AS (SELECT m1.entity, CAST(m1.b AS INTEGER) AS b, m1.m - m0.m AS delta_mean, m1.md - m0.md AS delta_median FROM m1 JOIN m0 ON m1.entity = m0.entity AND m1.b = m0.b)"""
+
+
+@query(rounded(on(WEEKS, "SELECT * FROM rep"), "delta_mean delta_median"))
+def bootstrap_by_weeks(spark, sf):
+    known = audit_rows(spark, sf).where("ext_lag is not null")
+    return tidy(rs.bootstrap_diff(known, "ext_lag", "y_anom", "entity", B, SEED, median=True))
+
+
+@query(rounded(on(WEEKS, """SELECT entity, count(*) AS ci_n, quantile_cont(delta_mean, 0.025) AS ci_low, quantile_cont(delta_mean, 0.975) AS ci_high FROM rep GROUP BY entity"""),
+  "ci_low ci_high"))
+def bootstrap_interval(spark, sf):
+    known = audit_rows(spark, sf).where("ext_lag is not null")
+    return tidy(rs.percentile_ci(rs.bootstrap_diff(known, "ext_lag", "y_anom", "entity", B, SEED), "entity"))
+
+
+def _episodes(y: str, anomaly: bool) -> str:
+    value = "y - avg(y) OVER (PARTITION BY entity, b, weekofyear(week_start))" if anomaly else "y"
+    return AUDIT + f""",
+kw AS (SELECT entity, week_start, {y} AS y, f, CASE WHEN f = 1 THEN dense_rank() OVER (PARTITION BY entity, f ORDER BY e) END AS e FROM au WHERE ext_lag IS NOT NULL),
+ne AS (SELECT entity, count(DISTINCT e) AS n_ep FROM kw GROUP BY entity HAVING count(DISTINCT e) > 0),
+dr AS (SELECT entity, n_ep, b, unnest(range(1, n_ep + 1)) AS k FROM (SELECT *, unnest(range(1, {B + 1})) AS b FROM ne)),
+dw AS (SELECT entity, b, k, 1 + {DRAW.format(parts=f"'{SEED}', entity::VARCHAR, b::VARCHAR, k::VARCHAR", n="n_ep")} AS e FROM dr),
+bo AS (SELECT kw.entity, week_start, y, f, unnest(range(1, {B + 1})) AS b, 0 AS k FROM kw JOIN ne ON kw.entity = ne.entity WHERE f = 0
+       UNION ALL SELECT kw.entity, week_start, y, f, b, k FROM dw JOIN kw ON dw.entity = kw.entity AND dw.e = kw.e WHERE f = 1),
+lg AS (SELECT * FROM (SELECT *, lag(f, {LAG}) OVER (PARTITION BY entity, b ORDER BY week_start, k) AS g FROM bo) WHERE g IS NOT NULL),
+an AS (SELECT entity, b, g, {value} AS v FROM lg)
+SELECT entity, CAST(b AS INTEGER) AS b, count(*) FILTER (WHERE g = 1) AS n1, count(*) FILTER (WHERE g = 0) AS n0,
+  avg(v) FILTER (WHERE g = 1) - avg(v) FILTER (WHERE g = 0) AS delta_mean FROM an GROUP BY 1, 2
+HAVING count(*) FILTER (WHERE g = 1) >= 5 AND count(*) FILTER (WHERE g = 0) >= 20"""
+
+
+@query(rounded("WITH " + _episodes("y", True), "delta_mean"))
+def bootstrap_by_episodes(spark, sf):
+    known = audit_rows(spark, sf).where("ext_lag is not null")
+    return tidy(rs.bootstrap_episodes(known, "y", "entity", B, LAG, seed=SEED))
+
+
+@query(rounded("WITH " + _episodes("y_anom", False), "delta_mean"))
+def bootstrap_by_episodes_fixed_anomaly(spark, sf):
+    known = audit_rows(spark, sf).where("ext_lag is not null")
+    return tidy(rs.bootstrap_episodes(known, "y_anom", "entity", B, LAG, seed=SEED, recompute=False))
+
+
+@query()
+def extreme_week_audit(spark, sf):
+    """The whole audit with both bootstrap intervals in one plan."""
+    return tidy(rs.extreme_audit(full_panel(spark, sf), "exposure", "outcome", "entity", 0.9, LAG, replicates=B, seed=SEED))
+
+
+def _delta(src: str, label: str) -> str:
+    return f"""SELECT entity, count(*) FILTER (WHERE g = 1) AS n1, count(*) FILTER (WHERE g = 0) AS n0, avg(a) FILTER (WHERE g = 1) - avg(a) FILTER (WHERE g = 0) AS delta_mean,
+      '{label}' AS variant FROM (SELECT *, y - avg(y) OVER (PARTITION BY entity, weekofyear(week_start)) AS a FROM (
+        SELECT *, lag(f, {LAG}) OVER (PARTITION BY entity ORDER BY week_start) AS g FROM {src}) WHERE g IS NOT NULL) GROUP BY entity"""
+
+
+@query(rounded(on(AUDIT, f"""
+  , lo AS (SELECT entity, e FROM (SELECT entity, e, count(*) AS n, min(week_start) AS s FROM au WHERE e IS NOT NULL GROUP BY 1, 2)
+           QUALIFY row_number() OVER (PARTITION BY entity ORDER BY n DESC, s) = 1),
+  dr AS (SELECT au.* FROM au LEFT JOIN lo ON au.entity = lo.entity WHERE au.e IS NULL OR lo.e IS NULL OR au.e <> lo.e)
+  {_delta("au", "all")} UNION ALL {_delta("dr", "without_longest")}"""), "delta_mean"))
+def leave_longest_episode_out(spark, sf):
+    return tidy(rs.leave_longest_out(audit_rows(spark, sf).withColumn("f", F.col("is_extreme")), "f", "y", LAG, "woy", "entity"))
