@@ -35,10 +35,11 @@ def flatten_alerts(df: DataFrame, xml: str = "xml", keep: tuple[str, ...] = ("pa
     An alert without info blocks gives one row with blanks; text that is no alert gives none.
     ``info_pos`` numbers the blocks within their document.
     """
-    doc = F.from_xml(strip_namespaces(clean_xml_text(xml)), F.lit(ALERT_SCHEMA), {"mode": "PERMISSIVE"})
-    parsed = df.select(*map(col, keep), doc.alias("a"))
-    known = F.coalesce(*[F.col(f"a.{f}") for f in ALERT_FIELDS], F.col("a.info").cast("string")).isNotNull()
-    blocks = parsed.where(known).select(*map(col, keep), "a.*").select(
+    doc = F.from_xml(clean_xml_text(strip_namespaces(col(xml))), F.lit(ALERT_SCHEMA), {"mode": "PERMISSIVE"})
+    # the generator keeps the document parsed once; a plain projection would parse it for every field
+    parsed = df.select(*map(col, keep), F.inline(F.array(doc)))
+    known = F.coalesce(*ALERT_FIELDS).isNotNull() | F.col("info").isNotNull()
+    blocks = parsed.where(known).select(
         *map(col, keep), *ALERT_FIELDS, F.posexplode_outer("info").alias("info_pos", "i")
     )
 

@@ -29,29 +29,30 @@ _C1, _CP1252 = _c1_table()
 
 def decode_line(c: Column) -> Column:
     """Raw line -> text: UTF-8 when it is valid UTF-8, else Windows-1252; byte-order mark removed."""
-    latin = F.translate(F.decode(c.cast("binary"), F.lit("ISO-8859-1")), _C1, _CP1252)
+    latin = F.translate(F.decode(c.cast("binary"), "ISO-8859-1"), _C1, _CP1252)
     return F.regexp_replace(F.when(F.is_valid_utf8(c), c).otherwise(latin), "^﻿", "")
 
 
 def read_delimited(
-    spark: SparkSession, path: str | list[str], required: Sequence[str] = (), sep: str = ";", quote: str = '"'
+    spark: SparkSession, path: str | list[str], required: Sequence[str] = (), sep: str = ";", quote: str = '"',
+    title_rows: int = 0,
 ) -> DataFrame:
     """Delimited text with a header line, every column STRING, encoding chosen line by line.
 
     The text source hands over raw bytes, so one read serves UTF-8 (with or without byte-order mark) and
     Windows-1252/Latin-1 files alike and stays splittable. The header is read once (a one-row job), its
-    names are cleaned and checked against ``required``.
+    names are cleaned and checked against ``required``. ``title_rows`` lines above it are skipped.
     """
     lines = spark.read.text(path).select(decode_line(F.col("value")).alias("line"))
-    first = lines.where(F.length(F.trim("line")) > 0).first()
-    if first is None:
-        raise ValueError(f"{path}: empty file")
-    names = [n.strip().strip(quote).strip() for n in first["line"].split(sep)]
+    head = [r["line"] for r in lines.where(F.length(F.trim("line")) > 0).take(title_rows + 1)]
+    if len(head) <= title_rows:
+        raise ValueError(f"{path}: no header line")
+    names = [n.strip().strip(quote).strip() for n in head[-1].split(sep)]
     schema = StructType([StructField(n, StringType()) for n in names])
-    rows = lines.where((F.col("line") != F.lit(first["line"])) & (F.length(F.trim("line")) > 0))
+    rows = lines.where(~F.col("line").isin(*head) & (F.length(F.trim("line")) > 0))
     options = {"sep": sep, "quote": quote, "mode": "PERMISSIVE"}
     ddl = ", ".join(f"`{f.name}` STRING" for f in schema)
-    out = rows.select(F.from_csv("line", ddl, options).alias("r")).select("r.*")
+    out = rows.select(F.inline(F.array(F.from_csv("line", ddl, options))))
     require_columns(out, required, str(path))
     return out
 
@@ -74,19 +75,22 @@ def read_partitioned(spark: SparkSession, path: str, schema: str | StructType |
 
 
 def read_latest_rows(spark: SparkSession, pattern: str, keys, required: Sequence[str] = ()) -> DataFrame:
-    """All Parquet files of a pattern as one feed; for each key the row of the last file name wins."""
+    """All Parquet files of a pattern as one feed; for each key the row of the last file path wins."""
     df = spark.read.option("mergeSchema", "true").parquet(pattern)
     require_columns(df, [*as_list(keys), *required], pattern)
-    named = df.select("*", F.col("_metadata.file_name").alias("__file"))
+    named = df.select("*", F.col("_metadata.file_path").alias("__file"))
     return dedup_last(named, keys, "__file").drop("__file")
 
 
 def latest_match(spark: SparkSession, pattern: str) -> str:
-    """Lexicographically last path of a pattern (lists files, reads none)."""
+    """Lexicographically last file or dataset directory of a pattern (lists files, reads none)."""
     found = spark.read.format("binaryFile").load(pattern).agg(F.max("path")).first()[0]
     if found is None:
         raise FileNotFoundError(pattern)
-    return found
+    # a directory match is listed by its files: cut the path back to the depth of the pattern
+    bare = found.split(":", 1)[1] if found.startswith("file:") and "://" not in pattern else found
+    bare = "/" + bare.lstrip("/") if bare is not found else bare
+    return "/".join(bare.split("/")[: len(pattern.split("/"))])
 
 
 def read_json_records(spark: SparkSession, path: str, ddl: str, multi_line: bool = True) -> DataFrame:

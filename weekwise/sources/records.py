@@ -104,18 +104,20 @@ def normalize_station_sheet(
     without a readable date are dropped. ``keep`` columns (station, year) pass through untouched.
     """
     columns = df.columns
+    df = df.toDF(*[f"__c{i}" for i in range(len(columns))])  # names that differ only in case would clash
     cut = next((i for i, c in enumerate(columns) if c.strip() == second_block), len(columns))
     present: dict[str, str] = {}
-    for c in columns[:cut]:
+    passed = [col(f"__c{columns.index(k)}").alias(k) for k in keep]
+    for i, c in enumerate(columns[:cut]):
         plain = c.strip()
         if plain in keep or not plain or plain.lower().startswith(("unnamed", "_c")):
             continue
         if plain in names:
-            present.setdefault(names[plain], c)
+            present.setdefault(names[plain], f"__c{i}")
 
     def source(name: str) -> Column:
         return col(present[name]) if name in present else F.lit(None).cast("string")
 
     typed = {"date": parse_mixed_date, "hour": lambda c: F.trim(c).try_cast("int")}
-    out = df.select(*map(col, keep), *[typed.get(n, to_double)(source(n)).alias(n) for n in wanted])
+    out = df.select(*passed, *[typed.get(n, to_double)(source(n)).alias(n) for n in wanted])
     return out.where("date is not null")
