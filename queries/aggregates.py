@@ -177,8 +177,8 @@ def alerts_by_week(spark, sf):
 @query(f"""WITH {SPANS}, d AS (
     SELECT o_orderkey % 5 AS zone, CAST(unnest(generate_series(s, e, INTERVAL 1 DAY)) AS DATE) AS date, intensity
     FROM spans WHERE e >= s)
-  SELECT zone, CAST(date_trunc('week', date) AS DATE) AS week_start, max(intensity) AS intensity,
-         count(DISTINCT date) AS event_days FROM d GROUP BY 1, 2""")
+  SELECT zone, CAST(date_trunc('week', date) AS DATE) AS week_start, max(intensity) AS intensity
+  FROM d GROUP BY 1, 2""")
 def event_intensity_by_week(spark, sf):
     events = spans(spark, sf).withColumn("zone", F.col("o_orderkey") % 5)
     return agg.event_intensity_weekly(events, "zone", "s", "e", "intensity")

@@ -53,11 +53,10 @@ def weekly_exposure_outcome_panel(spark, sf):
   LEFT JOIN shipped s ON c.entity = s.entity AND c.week_start = s.week_start"""), "exposure quantity discount_mean"))
 def master_on_fixed_window(spark, sf):
     """Analysis window of whole years as the calendar of every entity; both feeds joined onto it."""
-    feed = panel(spark, sf)
+    feed = panel(spark, sf).select("entity", "week_start", "outcome", "exposure")
     lo, hi = analysis_window(1996, 2000)
-    spine = cal.entity_calendar(feed, "entity", start=lo, end=hi)
-    return tidy(build_master(spine, [feed.select("entity", "week_start", "outcome", "exposure"), shipped(spark, sf)],
-                             ["entity", "week_start"]))
+    full = cal.complete_calendar(feed, "entity", start=lo, end=hi)
+    return tidy(build_master(full, [shipped(spark, sf)], ["entity", "week_start"]))
 
 
 @query(on(FULL, "SELECT * FROM full_panel"))

@@ -15,7 +15,7 @@ from weekwise.sources import records as rc
 from weekwise.streaming import incremental as inc
 
 from . import query
-from .base import FULL, PANEL, full_panel, on, panel, rounded, table, tidy
+from .base import FULL, PANEL, SCHEMAS, full_panel, on, panel, rounded, table, tidy
 
 
 @query("SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, o_totalprice AS price, o_orderpriority FROM orders")
@@ -198,8 +198,7 @@ def unpacked_payloads(spark, sf):
     count(DISTINCT CAST(ts AS DATE)) / 7::DOUBLE AS coverage FROM events GROUP BY 1, 2""", "value_mean coverage"))
 def incremental_weekly_ingest(spark, sf):
     """The weekly aggregate kept up to date by a stream over the stored files."""
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    stream = spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf)
     weekly = inc.weekly_stream(stream.select("user_id", "ts", "value"), "user_id", "ts", {
         "value_mean": F.avg("value"), "value_max": F.max("value"), "n": F.count("*"), "days": inc.distinct_days("ts")})
     path = scratch_path(spark, "stream")

@@ -164,8 +164,8 @@ def test_sum_of_nothing_is_zero(spark):
 def test_event_intensity_with_overlaps_and_bad_intervals(spark):
     rows = [("z", D(2019, 12, 30), D(2020, 1, 7), 2.0), ("z", D(2020, 1, 6), D(2020, 1, 6), 5.0), ("z", D(2020, 1, 9), D(2020, 1, 8), 9.0)]
     df = spark.createDataFrame(rows, "entity string, s date, e date, dai double")
-    got = {r.week_start: (r.dai, r.event_days) for r in aggregate.event_intensity_weekly(df, "entity", "s", "e", "dai").collect()}
-    assert got == {D(2019, 12, 30): (2.0, 7), MON: (5.0, 2)}
+    got = {r.week_start: r.dai for r in aggregate.event_intensity_weekly(df, "entity", "s", "e", "dai").collect()}
+    assert got == {D(2019, 12, 30): 2.0, MON: 5.0}
 
 
 def test_tercile_levels(spark):
@@ -312,6 +312,16 @@ def test_completed_panels_satisfy_the_contract(spark, cells):
     assert full.where("gap = 0").count() == len(rows)
 
 
+def test_calendar_with_fixed_bounds(spark):
+    rows = weeks([1.0, 2.0], "in", MON, 21) + weeks([5.0], "before", D(2019, 1, 7)) + weeks([6.0], "after", D(2021, 1, 4))
+    rows += weeks([7.0, 8.0], "across", D(2019, 12, 30), 70)
+    full = calendar.complete_calendar(frame(spark, rows), "entity", start="2019-12-30", end="2020-02-03", missing_flag="gap")
+    got = full.toPandas().sort_values(["entity", "week_start"])
+    assert got.groupby("entity").size().to_dict() == {"in": 6, "before": 6, "after": 6, "across": 6}
+    assert got[got.gap == 0].x.to_list() == [7.0, 1.0, 2.0]
+    assert got.week_start.min() == D(2019, 12, 30) and got.week_start.max() == D(2020, 2, 3)
+
+
 def test_two_level_fill_keeps_empty_levels(spark):
     df = spark.createDataFrame([("none", 1.0), ("none", 3.0), ("intense", 5.0)], "level string, y double")
     got = {r.level: (r.n, r["mean"], r.median) for r in report.outcome_by_level(df, "level", "y").collect()}

@@ -16,8 +16,9 @@ def _col(c: ColumnOrName) -> Column:
 
 
 def week_start(c: ColumnOrName) -> Column:
-    """Monday (DATE) of the week that contains a date or timestamp."""
-    return F.date_trunc("week", _col(c)).cast("date")
+    """Monday (DATE) of the week that contains a date or timestamp; whole-day arithmetic only."""
+    day = F.to_date(_col(c))
+    return F.date_sub(day, F.weekday(day))
 
 
 def iso_period_to_week(c: ColumnOrName, marker: str = "SM") -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from weekwise.functions.dates import analysis_window, week_start
 
-from ._util import as_list, col, join_nullsafe
+from ._util import as_list, col
 
 
 def _date(x) -> Column:
@@ -60,13 +60,34 @@ def complete_calendar(
     days: int = 7,
     missing_flag: str | None = None,
 ) -> DataFrame:
-    """One row for every expected key of every entity; ``fills`` replaces NULLs after the join."""
+    """One row for every expected key of every entity; ``fills`` replaces NULLs afterwards.
+
+    Each row generates the keys between itself and the next row of its entity (the first and last row
+    also up to ``start`` and ``end``), so the table is read once and nothing is joined. Keys must lie on
+    the grid of ``days``; the window holds one row per entity and period.
+    """
     keys = as_list(entity)
-    spine = entity_calendar(df, keys, key, start, end, days)
-    out = join_nullsafe(spine, df.withColumn("__seen", F.lit(True)), [*keys, key])
-    if missing_flag:
-        out = out.withColumn(missing_flag, F.col("__seen").isNull().cast("int"))
-    out = out.drop("__seen")
+    w = Window.partitionBy(*map(col, keys)).orderBy(col(key))
+    own = col(key)
+    low = own if start is None else F.when(F.lag(own).over(w).isNull(), F.least(own, _date(start))).otherwise(own)
+    high = F.date_sub(F.lead(own).over(w), days)
+    high = F.greatest(own, F.coalesce(high, own if end is None else F.greatest(own, _date(end))))
+    framed = df.where(own.isNotNull()).withColumns({"__lo": low, "__hi": high})
+    if start is not None:
+        framed = framed.withColumn("__lo", F.greatest(F.col("__lo"), _date(start)))
+    if end is not None:
+        framed = framed.withColumn("__hi", F.least(F.col("__hi"), _date(end)))
+    # whole-number steps: adding days to a date is far cheaper than a sequence of dates
+    steps = F.when(F.col("__lo") <= F.col("__hi"), F.sequence(
+        F.lit(0), F.floor(F.datediff("__hi", "__lo") / days).cast("int")))
+    grown = framed.withColumn("__step", F.explode(steps))
+    grown = grown.withColumn("__key", F.date_add("__lo", F.col("__step") * days))
+    here = F.col("__key") == own
+    out = grown.select(
+        *[col(k) for k in keys], F.col("__key").alias(key),
+        *[F.when(here, col(c)).alias(c) for c in df.columns if c not in (*keys, key)],
+        *([(~here).cast("int").alias(missing_flag)] if missing_flag else []),
+    )
     return out.fillna(dict(fills)) if fills else out
 
 
@@ -113,10 +134,12 @@ def second_chunks(df: DataFrame, start: str, end: str, seconds: int) -> DataFram
     )
 
 
-def expand_intervals(df: DataFrame, start: str, end: str, name: str = "date") -> DataFrame:
-    """One row per day of each inclusive interval; incomplete or reversed intervals give none."""
+def expand_intervals(df: DataFrame, start: str, end: str, name: str = "date", days: int = 1) -> DataFrame:
+    """One row per day (or ``days`` step) of each inclusive interval; incomplete or reversed ones give none."""
     ok = df.where(col(start).isNotNull() & col(end).isNotNull() & (col(end) >= col(start)))
-    return ok.withColumn(name, F.explode(F.sequence(col(start), col(end), F.make_dt_interval(days=F.lit(1)))))
+    count = F.floor(F.datediff(col(end), col(start)) / days).cast("int")
+    steps = ok.withColumn("__step", F.explode(F.sequence(F.lit(0), count)))
+    return steps.withColumn(name, F.date_add(col(start), F.col("__step") * days)).drop("__step")
 
 
 def shift_key(df: DataFrame, key: str, days: int) -> DataFrame:

@@ -227,7 +227,7 @@ def dust_weekly(
     valid = drop_incomplete(typed, ["s", "e", "dust_dai_week"], "s", "e")
     if not keys:
         valid, keys = valid.withColumn("__all", F.lit(1)), ["__all"]
-    weekly = agg.event_intensity_weekly(valid, keys, "s", "e", "dust_dai_week").drop("event_days")
+    weekly = agg.event_intensity_weekly(valid, keys, "s", "e", "dust_dai_week")
     full = complete_calendar(weekly, keys, fills={"dust_dai_week": 0.0}, start=start, end=end)
     # weeks per entity are few, so the built-in percentile is safe
     return tercile_level(full, "dust_dai_week", "dust_level_week", keys, bounded=True).drop("__all")

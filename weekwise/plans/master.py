@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from weekwise.operators import aggregate as agg
-from weekwise.operators.calendar import entity_calendar
+from weekwise.operators.calendar import complete_calendar
 from weekwise.operators.clean import drop_helpers, interpolate
 from weekwise.operators.joins import attach, build_master
 from weekwise.operators.score import Rule, score_and_level
@@ -19,8 +19,8 @@ KEYS = ["entity", "week_start"]
 
 def master_panel(outcome: DataFrame, feeds: Sequence[DataFrame], entities: DataFrame, start: str, end: str) -> DataFrame:
     """Every expected week of every entity with all feeds, entity code and year; feeds keep all columns."""
-    spine = entity_calendar(outcome, "entity", start=start, end=end)
-    joined = build_master(spine, [drop_helpers(f) for f in (outcome, *feeds)], KEYS)
+    calendar = complete_calendar(drop_helpers(outcome), "entity", start=start, end=end)
+    joined = build_master(calendar, [drop_helpers(f) for f in feeds], KEYS)
     return joined.join(entities.select("entity", F.col("code").alias("entity_code")), "entity").withColumn(
         "year", F.year("week_start")
     )

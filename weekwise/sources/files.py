@@ -108,10 +108,16 @@ def write_panel(df: DataFrame, path: str, partition="entity", mode: str = "overw
     df.hint("rebalance", *names).write.mode(mode).partitionBy(*names).parquet(path)
 
 
-def write_table(df: DataFrame, path: str, order_by: Sequence[str] = (), twin: str | None = None) -> None:
-    """Small result table as one CSV part (aggregated reports only), optionally with a Parquet twin."""
+def write_table(
+    df: DataFrame, path: str, order_by: Sequence[str] = (), twin: str | None = None, single: bool = False
+) -> None:
+    """Result table as CSV parts with a header, optionally sorted and with a Parquet twin.
+
+    ``single=True`` gives one part and is meant for aggregated reports of a few rows only.
+    """
     out = df.orderBy(*map(col, order_by)) if order_by else df
-    out.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    out = out.coalesce(1) if single else out
+    out.write.mode("overwrite").option("header", True).csv(path)
     if twin:
         df.write.mode("overwrite").parquet(twin)
 
