@@ -8,21 +8,30 @@ from weekwise.operators.window import add_lags
 from . import query
 from .base import FULL, SCORED, full_panel, on, rounded, scored, tidy
 
-# two regressors in closed form: x = exposure, z = outcome, y = peak
-OLS2 = FULL + """,
-mo AS (SELECT entity, count(*) AS n, avg(exposure) AS mx, avg(outcome) AS mz, avg(peak) AS my, covar_pop(exposure, exposure) * count(*) AS sxx,
-   covar_pop(outcome, outcome) * count(*) AS szz, covar_pop(exposure, outcome) * count(*) AS sxz, covar_pop(exposure, peak) * count(*) AS sxy,
-   covar_pop(outcome, peak) * count(*) AS szy, covar_pop(peak, peak) * count(*) AS syy
-   FROM full_panel WHERE exposure IS NOT NULL AND peak IS NOT NULL GROUP BY entity),
+TREND = FULL + """,
+trended AS (SELECT *, CAST(week_start - DATE '1995-01-02' AS DOUBLE) / 70 AS trend FROM full_panel)"""
+
+
+def trended(spark, sf):
+    """The panel with a linear trend in units of ten weeks."""
+    return full_panel(spark, sf).withColumn("trend", F.datediff("week_start", F.lit("1995-01-02").cast("date")) / 70)
+
+
+# two regressors in closed form: x = share, z = trend, y = exposure
+OLS2 = TREND + """,
+mo AS (SELECT entity, count(*) AS n, avg(share) AS mx, avg(trend) AS mz, avg(exposure) AS my, covar_pop(share, share) * count(*) AS sxx,
+   covar_pop(trend, trend) * count(*) AS szz, covar_pop(share, trend) * count(*) AS sxz, covar_pop(share, exposure) * count(*) AS sxy,
+   covar_pop(trend, exposure) * count(*) AS szy, covar_pop(exposure, exposure) * count(*) AS syy
+   FROM trended WHERE share IS NOT NULL AND exposure IS NOT NULL GROUP BY entity),
 be AS (SELECT *, sxx * szz - sxz * sxz AS d, (sxy * szz - szy * sxz) / (sxx * szz - sxz * sxz) AS bx, (szy * sxx - sxy * sxz) / (sxx * szz - sxz * sxz) AS bz FROM mo),
 rs AS (SELECT *, my - bx * mx - bz * mz AS b0, syy - bx * sxy - bz * szy AS rss FROM be),
 fit AS (SELECT *, rss / (n - 3) AS s2, 1 - rss / syy AS r2 FROM rs)"""
 
-TERMS = ["exposure", "outcome"]
+TERMS = ["share", "trend"]
 
 
 def fits(spark, sf):
-    return md.ols(full_panel(spark, sf), TERMS, "peak", "entity")
+    return md.ols(trended(spark, sf), TERMS, "exposure", "entity")
 
 
 @query(rounded(on(OLS2, """
@@ -33,7 +42,7 @@ def least_squares_fit(spark, sf):
 
 
 @query(rounded(on(OLS2, """
-  , co AS (SELECT entity, 'exposure' AS term, bx AS coef, sqrt(s2 * szz / d) AS se FROM fit UNION ALL SELECT entity, 'outcome', bz, sqrt(s2 * sxx / d) FROM fit
+  , co AS (SELECT entity, 'share' AS term, bx AS coef, sqrt(s2 * szz / d) AS se FROM fit UNION ALL SELECT entity, 'trend', bz, sqrt(s2 * sxx / d) FROM fit
    UNION ALL SELECT entity, 'intercept', b0, sqrt(s2 * (1 / n + (mx * mx * szz - 2 * mx * mz * sxz + mz * mz * sxx) / d)) FROM fit)
   SELECT entity, term, coef, se, coef / se AS t FROM co"""), "coef se t", 5))
 def least_squares_coefficients(spark, sf):
@@ -79,27 +88,27 @@ def outcome_model_comparison(spark, sf):
     }, "entity"))
 
 
-@query(rounded(on(FULL, """
-  , r AS (SELECT entity, corr(exposure, peak) AS a, corr(exposure, outcome) AS b, corr(peak, outcome) AS c FROM full_panel
-          WHERE exposure IS NOT NULL AND peak IS NOT NULL GROUP BY entity),
+@query(rounded(on(TREND, """
+  , r AS (SELECT entity, corr(exposure, share) AS a, corr(exposure, trend) AS b, corr(share, trend) AS c FROM trended
+          WHERE exposure IS NOT NULL AND share IS NOT NULL GROUP BY entity),
   v AS (SELECT entity, 'exposure' AS "column", 1 / (1 - (a * a + b * b - 2 * a * b * c) / (1 - c * c)) AS vif FROM r
-    UNION ALL SELECT entity, 'peak', 1 / (1 - (a * a + c * c - 2 * a * b * c) / (1 - b * b)) FROM r
-    UNION ALL SELECT entity, 'outcome', 1 / (1 - (b * b + c * c - 2 * a * b * c) / (1 - a * a)) FROM r)
+    UNION ALL SELECT entity, 'share', 1 / (1 - (a * a + c * c - 2 * a * b * c) / (1 - b * b)) FROM r
+    UNION ALL SELECT entity, 'trend', 1 / (1 - (b * b + c * c - 2 * a * b * c) / (1 - a * a)) FROM r)
   SELECT *, vif > 5 AS over_5, vif > 10 AS over_10 FROM v"""), "vif"))
 def variance_inflation(spark, sf):
-    return tidy(md.vif(full_panel(spark, sf), ["exposure", "peak", "outcome"], "entity"))
+    return tidy(md.vif(trended(spark, sf), ["exposure", "share", "trend"], "entity"))
 
 
-RES = FULL + """,
-ln AS (SELECT entity, regr_slope(peak, exposure) AS b, regr_intercept(peak, exposure) AS a FROM full_panel GROUP BY entity),
-e0 AS (SELECT f.entity, week_start, a + b * exposure AS fitted, peak - a - b * exposure AS residual FROM full_panel f JOIN ln ON f.entity = ln.entity
-       WHERE exposure IS NOT NULL AND peak IS NOT NULL),
+RES = TREND + """,
+ln AS (SELECT entity, regr_slope(exposure, trend) AS b, regr_intercept(exposure, trend) AS a FROM trended GROUP BY entity),
+e0 AS (SELECT f.entity, week_start, a + b * trend AS fitted, exposure - a - b * trend AS residual FROM trended f JOIN ln ON f.entity = ln.entity
+       WHERE exposure IS NOT NULL),
 e1 AS (SELECT *, residual / stddev_samp(residual) OVER (PARTITION BY entity) AS std_residual FROM e0)"""
 
 
 def residual_rows(spark, sf):
-    df = full_panel(spark, sf)
-    return md.residuals(df, md.ols(df, ["exposure"], "peak", "entity"), ["exposure"], "peak", "entity")
+    df = trended(spark, sf)
+    return md.residuals(df, md.ols(df, ["trend"], "exposure", "entity"), ["trend"], "exposure", "entity")
 
 
 @query(rounded(on(RES, "SELECT *, sqrt(abs(std_residual)) AS scale_location FROM e1"), "fitted residual std_residual scale_location", 5))

@@ -67,17 +67,17 @@ def correlation_test_with_p(spark, sf):
 
 
 @query(rounded(on(FULL, """
-  , f AS (SELECT entity, count(*) AS n, regr_slope(peak, exposure) AS slope, regr_intercept(peak, exposure) AS intercept, corr(exposure, peak) AS r,
-      sqrt(regr_syy(peak, exposure) * (1 - corr(exposure, peak) * corr(exposure, peak)) / ((count(*) - 2) * regr_sxx(peak, exposure))) AS stderr
-      FROM full_panel WHERE exposure IS NOT NULL AND peak IS NOT NULL GROUP BY entity)
+  , f AS (SELECT entity, count(*) AS n, regr_slope(exposure, share) AS slope, regr_intercept(exposure, share) AS intercept, corr(share, exposure) AS r,
+      sqrt(regr_syy(exposure, share) * (1 - corr(share, exposure) * corr(share, exposure)) / ((count(*) - 2) * regr_sxx(exposure, share))) AS stderr
+      FROM full_panel WHERE exposure IS NOT NULL AND share IS NOT NULL GROUP BY entity)
   SELECT *, slope / stderr AS t FROM f"""), "slope intercept r stderr t"))
 def linear_fit(spark, sf):
-    return tidy(st.linreg(full_panel(spark, sf), "exposure", "peak", "entity", with_p=False))
+    return tidy(st.linreg(full_panel(spark, sf), "share", "exposure", "entity", with_p=False))
 
 
 @query()
 def linear_fit_with_p(spark, sf):
-    return tidy(st.linreg(full_panel(spark, sf), "exposure", "peak", "entity"))
+    return tidy(st.linreg(full_panel(spark, sf), "share", "exposure", "entity"))
 
 
 def _anova_sql(src: str, by: str, level: str, y: str) -> str:

@@ -23,9 +23,10 @@ def _both(a: str, b: str) -> Column:
     return col(a).isNotNull() & col(b).isNotNull()
 
 
-def _corr(a: str, b: str) -> Column:
-    """Pearson r, NULL where a side is constant."""
-    return F.corr(F.when(_both(a, b), col(a)), F.when(_both(a, b), col(b)))
+def pearson(a: str, b: str) -> Column:
+    """Pearson r over complete pairs; NULL (not an error, as ``corr`` raises) where a side is constant."""
+    x, y = (F.when(_both(a, b), col(c).cast("double")) for c in (a, b))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str], by=(), listwise: bool = False) -> DataFrame:
@@ -38,7 +39,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], by=(), listwise: bool = Fals
     keys = as_list(by)
     one = rows.groupBy(*map(col, keys)).agg(*[
         e for i, j in pairs for e in (
-            _corr(cols[i], cols[j]).alias(f"__r{i}_{j}"),
+            pearson(cols[i], cols[j]).alias(f"__r{i}_{j}"),
             F.count_if(_both(cols[i], cols[j])).alias(f"__n{i}_{j}"))
     ])
     long = stack_rows(one, keys, "a", {
@@ -54,13 +55,13 @@ def spearman(df: DataFrame, a: str, b: str, by=()) -> DataFrame:
     keys = as_list(by)
     rows = df.where(_both(a, b)).select(*map(col, keys), col(a), col(b))
     ranked = average_ranks(average_ranks(rows, a, "__ra", keys), b, "__rb", keys)
-    return ranked.groupBy(*map(col, keys)).agg(F.corr("__ra", "__rb").alias("rho"), F.count("*").alias("n"))
+    return ranked.groupBy(*map(col, keys)).agg(pearson("__ra", "__rb").alias("rho"), F.count("*").alias("n"))
 
 
 def corr_test(df: DataFrame, a: str, b: str, by=(), with_p: bool = True) -> DataFrame:
     """Pearson r with n, t and two-sided p."""
     out = df.groupBy(*map(col, as_list(by))).agg(
-        _corr(a, b).alias("r"), F.count_if(_both(a, b)).alias("n")
+        pearson(a, b).alias("r"), F.count_if(_both(a, b)).alias("n")
     )
     out = out.withColumn("t", F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r"))))
     return out.withColumn("p", p_t("t", F.col("n") - 2)) if with_p else out
@@ -68,21 +69,21 @@ def corr_test(df: DataFrame, a: str, b: str, by=(), with_p: bool = True) -> Data
 
 def linreg(df: DataFrame, x: str, y: str, by=(), with_p: bool = True) -> DataFrame:
     """Straight-line fit: slope, intercept, r, n, standard error of the slope, t and p."""
-    out = df.where(_both(x, y)).groupBy(*map(col, as_list(by))).agg(
+    rows = df.where(_both(x, y))
+    sxx, sxy = F.var_pop(col(x)), F.covar_pop(col(x).cast("double"), col(y).cast("double"))
+    slope = F.try_divide(sxy, sxx)
+    out = rows.groupBy(*map(col, as_list(by))).agg(
         F.count("*").alias("n"),
-        F.regr_slope(col(y), col(x)).alias("slope"),
-        F.regr_intercept(col(y), col(x)).alias("intercept"),
-        F.corr(col(x), col(y)).alias("r"),
-        F.regr_sxx(col(y), col(x)).alias("__sxx"),
-        F.regr_syy(col(y), col(x)).alias("__syy"),
+        slope.alias("slope"),
+        (F.avg(col(y)) - slope * F.avg(col(x))).alias("intercept"),
+        pearson(x, y).alias("r"),
+        F.sqrt(F.try_divide(F.var_pop(col(y)) - slope * sxy, (F.count("*") - 2) * sxx)).alias("stderr"),
     )
-    rss = F.col("__syy") * (1 - F.col("r") * F.col("r"))
-    out = out.withColumn("stderr", F.sqrt(F.try_divide(rss, (F.col("n") - 2) * F.col("__sxx")))).drop("__sxx", "__syy")
     out = out.withColumn("t", F.try_divide("slope", "stderr"))
     return out.withColumn("p", p_t("t", F.col("n") - 2)) if with_p else out
 
 
-def lag_corr(
+def lagpearson(
     df: DataFrame, x: str, y: str, lags: Sequence[int], leads: Sequence[int], entity,
     key: str = "week_start", season: Column | None = None, pooled: bool = False,
 ) -> DataFrame:
@@ -101,7 +102,7 @@ def lag_corr(
     names = {f"lag{k}": f"{x}_lag{k}" for k in lags} | {f"lead{k}": f"{x}_lead{k}" for k in leads}
     by = [] if pooled else keys
     one = shifted.groupBy(*map(col, by)).agg(*[
-        e for s, c in names.items() for e in (_corr(c, y).alias(f"__r_{s}"), F.count(col(c)).alias(f"__n_{s}"))
+        e for s, c in names.items() for e in (pearson(c, y).alias(f"__r_{s}"), F.count(col(c)).alias(f"__n_{s}"))
     ])
     return stack_rows(one, by, "shift", {s: {"r": F.col(f"__r_{s}"), "n": F.col(f"__n_{s}")} for s in names})
 
@@ -328,7 +329,7 @@ def compare_scores(a: DataFrame, b: DataFrame, keys, score: str = "score") -> Da
     both = a.select(*names, col(score).alias("a")).join(b.select(*names, col(score).alias("b")), names)
     return both.agg(
         F.count("*").alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"),
-        F.stddev_samp("a").alias("std_a"), F.stddev_samp("b").alias("std_b"), F.corr("a", "b").alias("r"),
+        F.stddev_samp("a").alias("std_a"), F.stddev_samp("b").alias("std_b"), pearson("a", "b").alias("r"),
         F.avg(F.col("b") - F.col("a")).alias("mean_diff"), F.max(F.abs(F.col("b") - F.col("a"))).alias("max_abs_diff"),
     )
 
@@ -348,7 +349,7 @@ def proxy_checks(df: DataFrame, score: str, flags: Sequence[str], signals: Seque
     )
     one = df.agg(*[
         e for i, s in enumerate(signals) for e in (
-            _corr(score, s).alias(f"__r{i}"), F.count_if(_both(score, s)).alias(f"__n{i}"))
+            pearson(score, s).alias(f"__r{i}"), F.count_if(_both(score, s)).alias(f"__n{i}"))
     ])
     by_signal = stack_rows(one, [], "proxy", {
         s: {"n": F.col(f"__n{i}"), "r": F.col(f"__r{i}")} for i, s in enumerate(signals)
@@ -371,7 +372,7 @@ def findings(
 ) -> DataFrame:
     """Per entity: the strongest lag by absolute r, F and eta squared, and top-minus-bottom difference."""
     keys = as_list(entity)
-    table = lag_corr(df, x, y, lags, (), keys, key)
+    table = lagpearson(df, x, y, lags, (), keys, key)
     best = table.groupBy(*map(col, keys)).agg(
         F.max_by(F.struct("shift", "r"), F.struct(F.abs("r"), F.col("shift"))).alias("__b")
     ).select(*map(col, keys), F.col("__b.shift").alias("best_shift"), F.col("__b.r").alias("best_r"))
