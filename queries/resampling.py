@@ -24,11 +24,14 @@ def audit_rows(spark, sf):
     return rs.extreme_rows(full_panel(spark, sf), "exposure", "outcome", "entity", 0.9, LAG)
 
 
-@query(rounded(on(AUDIT, """
-  , c AS (SELECT entity, e, count(*) AS n FROM au WHERE e IS NOT NULL GROUP BY 1, 2), l AS (SELECT entity, count(*) AS n_episodes, max(n) AS max_episode_weeks FROM c GROUP BY 1)
-  SELECT au.entity, count(*) AS n_total, CAST(sum(f) AS BIGINT) AS n_extreme_weeks, min(CASE WHEN f = 1 THEN x END) AS smallest_extreme,
+SUMMARY = """
+epc AS (SELECT entity, e, count(*) AS n FROM au WHERE e IS NOT NULL GROUP BY 1, 2), epl AS (SELECT entity, count(*) AS n_episodes, max(n) AS max_episode_weeks FROM epc GROUP BY 1),
+su AS (SELECT au.entity, count(*) AS n_total, CAST(sum(f) AS BIGINT) AS n_extreme_weeks, min(CASE WHEN f = 1 THEN x END) AS smallest_extreme,
     avg(y_anom) FILTER (WHERE ext_lag = 1) - avg(y_anom) FILTER (WHERE ext_lag = 0) AS delta_mean, max(n_episodes) AS n_episodes, max(max_episode_weeks) AS max_episode_weeks
-  FROM au JOIN l ON au.entity = l.entity GROUP BY au.entity"""), "smallest_extreme delta_mean"))
+  FROM au JOIN epl ON au.entity = epl.entity GROUP BY au.entity)"""
+
+
+@query(rounded(on(AUDIT + "," + SUMMARY, "SELECT * FROM su"), "smallest_extreme delta_mean"))
 def extreme_week_summary(spark, sf):
     return tidy(rs.audit_summary(audit_rows(spark, sf), "entity"))
 
@@ -59,7 +62,7 @@ def bootstrap_interval(spark, sf):
 
 def _episodes(y: str, anomaly: bool) -> str:
     value = "y - avg(y) OVER (PARTITION BY entity, b, weekofyear(week_start))" if anomaly else "y"
-    return AUDIT + f""",
+    return f""",
 kw AS (SELECT entity, week_start, {y} AS y, f, CASE WHEN f = 1 THEN dense_rank() OVER (PARTITION BY entity, f ORDER BY e) END AS e FROM au WHERE ext_lag IS NOT NULL),
 ne AS (SELECT entity, count(DISTINCT e) AS n_ep FROM kw GROUP BY entity HAVING count(DISTINCT e) > 0),
 dr AS (SELECT entity, n_ep, b, unnest(range(1, n_ep + 1)) AS k FROM (SELECT *, unnest(range(1, {B + 1})) AS b FROM ne)),
@@ -67,25 +70,33 @@ dw AS (SELECT entity, b, k, 1 + {DRAW.format(parts=f"'{SEED}', entity::VARCHAR,
 bo AS (SELECT kw.entity, week_start, y, f, unnest(range(1, {B + 1})) AS b, 0 AS k FROM kw JOIN ne ON kw.entity = ne.entity WHERE f = 0
        UNION ALL SELECT kw.entity, week_start, y, f, b, k FROM dw JOIN kw ON dw.entity = kw.entity AND dw.e = kw.e WHERE f = 1),
 lg AS (SELECT * FROM (SELECT *, lag(f, {LAG}) OVER (PARTITION BY entity, b ORDER BY week_start, k) AS g FROM bo) WHERE g IS NOT NULL),
-an AS (SELECT entity, b, g, {value} AS v FROM lg)
-SELECT entity, CAST(b AS INTEGER) AS b, count(*) FILTER (WHERE g = 1) AS n1, count(*) FILTER (WHERE g = 0) AS n0,
+an AS (SELECT entity, b, g, {value} AS v FROM lg),
+er AS (SELECT entity, CAST(b AS INTEGER) AS b, count(*) FILTER (WHERE g = 1) AS n1, count(*) FILTER (WHERE g = 0) AS n0,
   avg(v) FILTER (WHERE g = 1) - avg(v) FILTER (WHERE g = 0) AS delta_mean FROM an GROUP BY 1, 2
-HAVING count(*) FILTER (WHERE g = 1) >= 5 AND count(*) FILTER (WHERE g = 0) >= 20"""
+HAVING count(*) FILTER (WHERE g = 1) >= 5 AND count(*) FILTER (WHERE g = 0) >= 20)"""
 
 
-@query(rounded("WITH " + _episodes("y", True), "delta_mean"))
+@query(rounded(on(AUDIT + _episodes("y", True), "SELECT * FROM er"), "delta_mean"))
 def bootstrap_by_episodes(spark, sf):
     known = audit_rows(spark, sf).where("ext_lag is not null")
     return tidy(rs.bootstrap_episodes(known, "y", "entity", B, LAG, seed=SEED))
 
 
-@query(rounded("WITH " + _episodes("y_anom", False), "delta_mean"))
+@query(rounded(on(AUDIT + _episodes("y_anom", False), "SELECT * FROM er"), "delta_mean"))
 def bootstrap_by_episodes_fixed_anomaly(spark, sf):
     known = audit_rows(spark, sf).where("ext_lag is not null")
     return tidy(rs.bootstrap_episodes(known, "y_anom", "entity", B, LAG, seed=SEED, recompute=False))
 
 
-@query()
+def _ci(src: str, stem: str) -> str:
+    return f"""(SELECT entity, count(delta_mean) AS {stem}_n, quantile_cont(delta_mean, 0.025) AS {stem}_low,
+      quantile_cont(delta_mean, 0.975) AS {stem}_high FROM {src} GROUP BY entity)"""
+
+
+@query(rounded(on(WEEKS + _episodes("y", True) + "," + SUMMARY, f"""
+  SELECT su.*, w.* EXCLUDE (entity), e.* EXCLUDE (entity), 0.9::DOUBLE AS quantile, {LAG} AS lag, 'woy' AS season, {SEED} AS seed
+  FROM su LEFT JOIN {_ci("rep", "ci_week")} w ON su.entity = w.entity LEFT JOIN {_ci("er", "ci_episode")} e ON su.entity = e.entity"""),
+  "smallest_extreme delta_mean ci_week_low ci_week_high ci_episode_low ci_episode_high quantile"))
 def extreme_week_audit(spark, sf):
     """The whole audit with both bootstrap intervals in one plan."""
     return tidy(rs.extreme_audit(full_panel(spark, sf), "exposure", "outcome", "entity", 0.9, LAG, replicates=B, seed=SEED))

@@ -8,6 +8,7 @@ from weekwise.operators.score import threshold_flags
 from weekwise.operators.window import anomaly
 
 from . import query
+from .aggregates import ROLLUP, rolled
 from .base import FULL, SCORED, full_panel, on, rounded, scored, table, tidy
 from .reports import HOT, hot
 
@@ -266,15 +267,24 @@ def excess_after_extremes(spark, sf):
     return tidy(st.excess_by_lag(extremes(spark, sf), ["p90", "p95"], "outcome", [0, 1, 2, 3], "entity"))
 
 
-@query()
-def effect_size_by_scale(spark, sf):
-    from .aggregates import rolled
+def _scale(name: str, ctes: str, anova: str) -> str:
+    return f"SELECT *, '{name}' AS scale FROM (WITH {ctes} {anova})"
+
 
+ANOM = SCORED + """, an AS (SELECT level, outcome - avg(outcome) OVER (PARTITION BY entity, month(week_start)) AS y FROM scored)"""
+
+
+@query(rounded(" UNION ALL ".join([
+    _scale("entity", SCORED, _anova_sql("scored", "", "level", "outcome")),
+    _scale("anomaly", ANOM, _anova_sql("an", "", "level", "y")),
+    _scale("parent", ROLLUP, _anova_sql("rolled", "", "level", "weight_exposed")),
+]), "ss_between ss_within ss_total f eta2", 4))
+def effect_size_by_scale(spark, sf):
     df = scored(spark, sf)
     up = rolled(spark, sf).withColumn("y", F.col("weight_exposed").cast("double"))
     return tidy(st.effect_by_scale({
         "entity": (df, "level", "outcome"), "anomaly": (anomaly(df, "outcome", F.month("week_start"), "entity"), "level", "outcome_anom"),
-        "parent": (up, "level", "y")}))
+        "parent": (up, "level", "y")}, with_p=False), 4)
 
 
 @query(rounded(on(SCORED, """

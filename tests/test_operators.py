@@ -331,3 +331,22 @@ def test_two_level_fill_keeps_empty_levels(spark):
 def test_skew_matches_pandas(spark, skewed):
     row = report.dist_stats(spark.createDataFrame(skewed), "v").first()
     assert row["skew"] == pytest.approx(skewed.v.skew()) and row.p95 == pytest.approx(skewed.v.quantile(0.95))
+
+
+def test_constant_series_give_null(spark):
+    rows = weeks([2.0] * 6)
+    df = frame(spark, rows).withColumn("y", F.unix_date("week_start").cast("double"))
+    assert stats.corr_test(df, "x", "y", "entity").first().r is None
+    assert stats.linreg(df, "x", "y").first().slope is None
+    assert all(r.r is None for r in stats.lag_corr(df, "x", "y", [0, 1], [1], "entity").collect())
+    assert report.dist_stats(df, "x").first().iqr == 0.0
+    flat = models.ols(df, ["y"], "x", "entity").first()
+    assert flat.r2 is None and flat.n == 6
+
+
+def test_materialize_keeps_rows_and_schema(spark):
+    from weekwise.session import materialize
+
+    df = frame(spark, weeks([1.0, None]))
+    out = materialize(df, "t")
+    assert out.schema.simpleString() == df.schema.simpleString() and set(out.collect()) == set(df.collect())

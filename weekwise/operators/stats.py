@@ -63,7 +63,7 @@ def corr_test(df: DataFrame, a: str, b: str, by=(), with_p: bool = True) -> Data
     out = df.groupBy(*map(col, as_list(by))).agg(
         pearson(a, b).alias("r"), F.count_if(_both(a, b)).alias("n")
     )
-    out = out.withColumn("t", F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, 1 - F.col("r") * F.col("r"))))
+    out = out.withColumn("t", F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, F.greatest(1 - F.col("r") * F.col("r"), F.lit(0.0)))))
     return out.withColumn("p", p_t("t", F.col("n") - 2)) if with_p else out
 
 
@@ -77,13 +77,13 @@ def linreg(df: DataFrame, x: str, y: str, by=(), with_p: bool = True) -> DataFra
         slope.alias("slope"),
         (F.avg(col(y)) - slope * F.avg(col(x))).alias("intercept"),
         pearson(x, y).alias("r"),
-        F.sqrt(F.try_divide(F.var_pop(col(y)) - slope * sxy, (F.count("*") - 2) * sxx)).alias("stderr"),
+        F.sqrt(F.try_divide(F.greatest(F.var_pop(col(y)) - slope * sxy, F.lit(0.0)), (F.count("*") - 2) * sxx)).alias("stderr"),
     )
     out = out.withColumn("t", F.try_divide("slope", "stderr"))
     return out.withColumn("p", p_t("t", F.col("n") - 2)) if with_p else out
 
 
-def lagpearson(
+def lag_corr(
     df: DataFrame, x: str, y: str, lags: Sequence[int], leads: Sequence[int], entity,
     key: str = "week_start", season: Column | None = None, pooled: bool = False,
 ) -> DataFrame:
@@ -372,7 +372,7 @@ def findings(
 ) -> DataFrame:
     """Per entity: the strongest lag by absolute r, F and eta squared, and top-minus-bottom difference."""
     keys = as_list(entity)
-    table = lagpearson(df, x, y, lags, (), keys, key)
+    table = lag_corr(df, x, y, lags, (), keys, key)
     best = table.groupBy(*map(col, keys)).agg(
         F.max_by(F.struct("shift", "r"), F.struct(F.abs("r"), F.col("shift"))).alias("__b")
     ).select(*map(col, keys), F.col("__b.shift").alias("best_shift"), F.col("__b.r").alias("best_r"))
