@@ -233,14 +233,10 @@ def parent_master(spark, sf):
 
 
 def parent_level(spark, sf):
-    from weekwise.operators.joins import attach
-
     people = parents(spark, sf)
-    outcome = full_panel(spark, sf).join(people, "entity").groupBy("parent", "week_start").agg(F.sum("outcome").alias("outcome"))
+    up = agg.weighted_rollup(scored(spark, sf), people, "entity", "level", extra={"outcome": F.sum("outcome")})
     totals = people.groupBy("parent").agg(F.sum("population").alias("population"))
-    up = rolled(spark, sf).select("parent", "week_start", "weight_exposed", "share_exposed", "exposed")
-    return agg.add_rate(attach(up, outcome, ["parent", "week_start"]).join(totals, "parent"), "outcome", "population",
-                        "outcome_per_100k")
+    return agg.add_rate(up.drop("score", "level").join(totals, "parent"), "outcome", "population", "outcome_per_100k")
 
 
 @query(rounded(on(ROLLUP, """

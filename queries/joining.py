@@ -8,7 +8,7 @@ from weekwise.operators.aggregate import weekly_agg
 from weekwise.operators.calendar import common_keys, key_alignment
 
 from . import query
-from .base import FULL, PANEL, PARENTS, SCORED, full_panel, on, panel, parents, rounded, scored, table, tidy
+from .base import PANEL, PARENTS, SCORED, full_panel, on, panel, parents, rounded, scored, table, tidy
 from .panels import SHIPPED, shipped
 
 

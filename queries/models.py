@@ -6,7 +6,7 @@ from weekwise.operators import models as md
 from weekwise.operators.window import add_lags
 
 from . import query
-from .base import FULL, SCORED, full_panel, on, rounded, scored, tidy
+from .base import FULL, full_panel, on, rounded, scored, tidy
 
 TREND = FULL + """,
 trended AS (SELECT *, CAST(week_start - DATE '1995-01-02' AS DOUBLE) / 70 AS trend FROM full_panel)"""

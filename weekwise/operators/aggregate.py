@@ -196,31 +196,33 @@ def ordinal_max(df: DataFrame, by, c: str, order: Sequence[str], name: str) -> D
 def weighted_rollup(
     df: DataFrame, parents: DataFrame, entity: str, level: str, parent: str = "parent",
     weight: str = "population", key: str = "week_start", exposed_share: float = 0.5,
-    order: Sequence[str] = LEVELS,
+    order: Sequence[str] = LEVELS, extra: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Entities -> parent: population-weighted score, exposed population and share, level.
 
     ``parents`` has ``(entity, parent, weight)``. The score divides by the weight of the rows present
     that week (a NULL level adds nothing above but still counts below) and by the top rank; the exposed
-    share divides by the parent's whole weight.
+    share divides by the parent's whole weight. ``extra`` adds named aggregates of the entity rows, so
+    that an outcome is rolled up in the same pass.
     """
+    extra = dict(extra or {})
     totals = parents.groupBy(parent).agg(F.sum(weight).alias("total_weight"))
     top = len(order) - 1
     weekly = (
-        df.select(entity, key, level)
-        .join(parents.select(entity, parent, weight), entity)
+        df.join(parents.select(entity, parent, weight), entity)
         .groupBy(parent, key)
         .agg(
             F.sum(F.when(col(level) == order[-1], F.col(weight)).otherwise(0)).alias("weight_exposed"),
             F.sum(ordinal(level, order) * F.col(weight)).alias("__num"),
             F.sum(weight).alias("__den"),
+            *[e.alias(n) for n, e in extra.items()],
         )
         .join(totals, parent)
     )
     score = F.try_divide(F.coalesce(F.col("__num"), F.lit(0)), F.col("__den")) / top
     return weekly.select(
         parent, key, "weight_exposed", score.alias("score"),
-        F.try_divide("weight_exposed", "total_weight").alias("share_exposed"),
+        F.try_divide("weight_exposed", "total_weight").alias("share_exposed"), *extra,
     ).withColumns({
         "exposed": F.col("share_exposed") >= exposed_share,
         "level": score_to_level("score", names=order),

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from weekwise.functions.numbers import LEVELS, ordinal
 
 from ._util import add_group_values, as_list, col, join_nullsafe, stack_rows
-from .ordered import average_ranks, ladder, quantiles
+from .ordered import ladder, quantiles
 from .pvalues import p_f, p_norm, p_t
 from .window import add_lags, add_leads, anomaly
 
@@ -51,11 +51,25 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], by=(), listwise: bool = Fals
 
 
 def spearman(df: DataFrame, a: str, b: str, by=()) -> DataFrame:
-    """Spearman r: Pearson r of average ranks over complete pairs."""
+    """Spearman r: Pearson r of average ranks over complete pairs.
+
+    Equal pairs collapse to one row with a count before anything is ranked, and the mean rank is known
+    in advance, so the centred sums are exact weighted sums over those rows.
+    """
     keys = as_list(by)
-    rows = df.where(_both(a, b)).select(*map(col, keys), col(a), col(b))
-    ranked = average_ranks(average_ranks(rows, a, "__ra", keys), b, "__rb", keys)
-    return ranked.groupBy(*map(col, keys)).agg(pearson("__ra", "__rb").alias("rho"), F.count("*").alias("n"))
+    counted = df.where(_both(a, b)).groupBy(*map(col, keys), col(a), col(b)).agg(F.count("*").alias("__w"))
+    pairs = counted
+    for value, name in ((a, "__da"), (b, "__db")):
+        steps = ladder(counted, value, keys, {"n": F.sum("__w")}).select(
+            *map(col, keys), col(value),
+            (F.col("n_before") + (F.col("n") + 1) / 2 - (F.col("n_total") + 1) / 2).alias(name),
+        )
+        pairs = join_nullsafe(pairs, steps, [*keys, value])
+    da, db, w = F.col("__da"), F.col("__db"), F.col("__w")
+    return pairs.groupBy(*map(col, keys)).agg(
+        F.try_divide(F.sum(w * da * db), F.sqrt(F.sum(w * da * da)) * F.sqrt(F.sum(w * db * db))).alias("rho"),
+        F.sum(w).alias("n"),
+    )
 
 
 def corr_test(df: DataFrame, a: str, b: str, by=(), with_p: bool = True) -> DataFrame:
