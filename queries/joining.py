@@ -141,3 +141,38 @@ def semi_join_weeks(spark, sf):
     urgent = table(spark, sf, "orders", "o_orderkey", "o_orderpriority").where("o_orderpriority = '1-URGENT'")
     kept = jn.rows_in_both(lines, urgent.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey")
     return kept.groupBy(week_start("l_shipdate").alias("week_start"), "l_returnflag").agg(F.count("*").alias("n"))
+
+
+STATIONS = """wk AS (SELECT entity, week_start, outcome AS n_days, least(outcome / 7, 1) AS coverage, exposure FROM panel),
+bnd AS (SELECT entity, min(week_start) AS lo, max(week_start) AS hi FROM panel GROUP BY entity),
+spn AS (SELECT entity, CAST(unnest(generate_series(lo, hi, INTERVAL 7 DAY)) AS DATE) AS week_start FROM bnd),
+gw AS (SELECT s.entity, s.week_start FROM spn s LEFT JOIN wk ON s.entity = wk.entity AND s.week_start = wk.week_start WHERE coalesce(coverage, 0) < 4 / 7),
+stn AS (SELECT c_nationkey AS entity, CAST(date_trunc('week', l_shipdate) AS DATE) AS week_start, l_returnflag AS station, count(*) AS n_days,
+   least(count(*) / 7, 1) AS coverage, avg(l_extendedprice) / 100 AS exposure
+   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3),
+dn AS (SELECT stn.* FROM stn JOIN gw ON stn.entity = gw.entity AND stn.week_start = gw.week_start
+       QUALIFY row_number() OVER (PARTITION BY stn.entity, stn.week_start ORDER BY station DESC) = 1)"""
+
+
+@query(rounded(on(PANEL + "," + STATIONS, """
+  SELECT wk.entity, wk.week_start, CASE WHEN dn.entity IS NULL THEN wk.n_days ELSE dn.n_days END AS n_days,
+    CASE WHEN dn.entity IS NULL THEN wk.coverage ELSE dn.coverage END AS coverage, CASE WHEN dn.entity IS NULL THEN wk.exposure ELSE dn.exposure END AS exposure,
+    CAST(dn.entity IS NOT NULL AS INTEGER) AS imputed_from_donor, dn.station AS donor_station
+  FROM wk LEFT JOIN dn ON wk.entity = dn.entity AND wk.week_start = dn.week_start
+  UNION ALL SELECT entity, week_start, n_days, coverage, exposure, 1, station FROM dn
+  WHERE NOT EXISTS (SELECT 1 FROM wk WHERE wk.entity = dn.entity AND wk.week_start = dn.week_start)"""), "coverage exposure", 4))
+def gap_repair_by_station_priority(spark, sf):
+    """Weeks of coverage gaps, in all entities at once, replaced by the preferred of three donor series."""
+    from weekwise.plans.feeds import repair_gaps
+
+    weekly = panel(spark, sf).select("entity", "week_start", F.col("outcome").alias("n_days"),
+                                     F.least(F.col("outcome") / 7, F.lit(1.0)).alias("coverage"), "exposure")
+    lines = table(spark, sf, "lineitem", "l_orderkey", "l_shipdate", "l_extendedprice", "l_returnflag")
+    orders = table(spark, sf, "orders", "o_orderkey", "o_custkey")
+    customer = table(spark, sf, "customer", "c_custkey", "c_nationkey")
+    rows = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(customer, orders.o_custkey == customer.c_custkey)
+    rows = rows.withColumnsRenamed({"c_nationkey": "entity", "l_returnflag": "station"})
+    stations = weekly_agg(rows, ["entity", "station"], "l_shipdate", {
+        "n_days": F.count("*"), "coverage": F.least(F.count("*") / 7, F.lit(1.0)), "exposure": F.avg("l_extendedprice") / 100})
+    ranked = stations.withColumn("priority", -F.ascii("station"))
+    return tidy(repair_gaps(weekly, ranked), 4)

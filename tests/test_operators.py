@@ -127,6 +127,12 @@ def test_gaps(spark):
     assert got == [(day(7), day(20), 2), (day(28), day(34), 1), (day(42), day(48), 1)]
 
 
+def test_gaps_outside_the_data(spark):
+    df = frame(spark, weeks([1.0, 1.0]), "entity string, week_start date, coverage double")
+    out = window.detect_gaps(df, "entity", "coverage", start="2019-12-25", end="2020-01-27").collect()
+    assert sorted((r.gap_start, r.gap_end) for r in out) == [(D(2019, 12, 23), D(2020, 1, 5)), (D(2020, 1, 20), D(2020, 2, 2))]
+
+
 def test_patch_overwrites_with_null_and_appends(spark):
     main = frame(spark, weeks([1.0, 2.0, 3.0]))
     donor = frame(spark, weeks([None, 20.0], start=MON + dt.timedelta(days=14)))

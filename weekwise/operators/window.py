@@ -11,9 +11,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from weekwise.functions.dates import week_start
+
 from ._util import add_group_values, as_list, col
 from .aggregate import group_stat_back
-from .calendar import complete_calendar
+from .calendar import _date, complete_calendar
 from .ordered import quantiles
 
 
@@ -109,8 +111,12 @@ def runs(df: DataFrame, c: str, entity, key: str = "week_start") -> DataFrame:
 def detect_gaps(
     df: DataFrame, entity, coverage: str, key: str = "week_start", threshold: float = 4 / 7, start=None, end=None
 ) -> DataFrame:
-    """Ranges of adjacent weeks that are absent or under the coverage threshold, as (start, end) dates."""
+    """Ranges of adjacent weeks that are absent or under the coverage threshold, as (start, end) dates.
+
+    ``start`` may be any day; the week that holds it is the first one expected.
+    """
     keys = as_list(entity)
+    start = None if start is None else week_start(_date(start))
     full = complete_calendar(df.select(*map(col, keys), key, col(coverage)), keys, key, start=start, end=end)
     poor = full.where(F.coalesce(col(coverage), F.lit(0.0)) < threshold)
     island = F.date_sub(col(key), (F.row_number().over(by_entity(keys, key)) * 7).cast("int"))
