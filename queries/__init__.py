@@ -30,6 +30,7 @@ def query(sql: str | None = None, name: str | None = None):
 def load_all() -> None:
     from . import (  # noqa: F401
         aggregates,
+        chains,
         cleaning,
         joining,
         models,
