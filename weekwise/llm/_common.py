@@ -87,8 +87,8 @@ def _powers_of(base: int, n: int) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i < n, kept between calls."""
     if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, 1 << 20)
-        _POWERS[:] = [_powers_of(BASE, n), _powers_of(pow(BASE, -1, 1 << 64), n)]
+        size = max(n, 1 << 20)
+        _POWERS[:] = [_powers_of(BASE, size), _powers_of(pow(BASE, -1, 1 << 64), size)]
     return _POWERS[0][:n], _POWERS[1][:n]
 
 

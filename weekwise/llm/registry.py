@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, quality, simhash
-from ._common import BENCHMARK, DOCUMENTS, read
+from . import bpe, decontaminate, html, quality, simhash, suffix_array, toxicity, warc
+from ._common import BENCHMARK, DOCUMENTS, LABELS, PAGES, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -19,6 +19,25 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents", DOCUMENTS), read(spark, sf_dir, "labels", LABELS)
+    held_out = toxicity.fold("doc_id", 3) == 1
+    model = toxicity.learn(docs, labels.where(~held_out))
+    return toxicity.toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_array.remove_repeats(read(spark, sf_dir, "documents", DOCUMENTS))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages", PAGES))
+
+
 @query
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, sf_dir, "documents", DOCUMENTS))
@@ -39,6 +58,24 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+@query
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the digest columns need no payload, so none leaves the reader
+    archives = warc.write_archives(warc.deduplicated(pages := read(spark, sf_dir, "pages", PAGES)), warc.train_dictionary(pages, "html"))
+    records = warc.read_archives(archives, with_payload=False)
+    return records.where(F.assert_true(F.col("error").isNull(), F.col("error")).isNull()).select(
+        warc.page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_of(F.col("refers_to_id")).alias("refers_to")
+    )
+
+
+SQL["op9_warc_round_trip"] = """
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+lead AS (SELECT payload_digest, max(page_id) AS leader FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
+SELECT p.page_id, payload_bytes, p.payload_digest, CASE WHEN page_id < leader THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < leader THEN leader END AS refers_to
+FROM p LEFT JOIN lead USING (payload_digest)"""
+
+
 @query
 def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", DOCUMENTS)
