@@ -17,11 +17,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ._common import BYTE_VALUE, LOWER, as_bytes, map_slices, prefix_hash, slices, span_hash, word_spans
 
 SAMPLE_ROWS = 12_000  # bound of the labelled sample that the model is fitted on
-MAX_TERMS = 50_000  # bound of the terms in the model, the most frequent of the sample
+MAX_TERMS = 50_000  # bound of the terms in the model, those that tell most about the labels of the sample
 FACTORS = 4
-MIN_DOCS = 8  # a term needs so many sample documents
-STEMS = (4, 5)  # lengths of word beginnings that are terms, in bytes
-EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.08, 2e-4
+MIN_DOCS, STRENGTH = 4, 3.0  # a term needs so many sample documents, and labels so many standard deviations from the share of all
+STEMS = (4, 5, 6, 7, 8)  # lengths of word beginnings that are terms, in bytes
+EPOCHS, BATCH, RATE, DECAY = 30, 64, 0.3, 1e-5
+POSITIVE = 2.0  # weight of a toxic document in the loss
 ONLY_LETTERS = LOWER.translate(bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)))
 
 
@@ -36,6 +37,7 @@ class Model(NamedTuple):
 
 def terms_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(document, term): distinct hashed terms of each text, sorted by both."""
+    texts = [t if t.isascii() else t.decode("utf-8", "replace").lower().encode() for t in texts]
     joined = b" ".join(texts).translate(ONLY_LETTERS)
     if not joined:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -89,13 +91,15 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
         terms.append(t)
     doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
     term = np.concatenate(terms) if terms else np.zeros(0, np.uint64)
-    kinds, counts = np.unique(term, return_counts=True)
-    usable = np.flatnonzero(counts >= min(MIN_DOCS, max(1, n // 50)))
+    kinds, which, counts = np.unique(term, return_inverse=True, return_counts=True)
+    share = float(np.clip(labels.mean() if n else 0.0, 1e-3, 1 - 1e-3))
+    # how far a term's labels are from the share of all, in standard deviations
+    strength = np.abs(np.bincount(which, labels[doc], len(kinds)) - counts * share) / np.sqrt(counts * share * (1 - share))
+    usable = np.flatnonzero((counts >= MIN_DOCS) & (strength >= STRENGTH))
     if len(usable) > MAX_TERMS:
-        usable = np.sort(usable[np.lexsort((kinds[usable], -counts[usable]))[:MAX_TERMS]])
+        usable = np.sort(usable[np.lexsort((kinds[usable], -strength[usable]))[:MAX_TERMS]])
     kept = kinds[usable]
     doc, at = _known(kept, doc, term)
-    share = float(np.clip(labels.mean() if n else 0.0, 1e-3, 1 - 1e-3))
     rng = np.random.default_rng(seed)
     model = Model(kept, float(np.log(share / (1 - share))), np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS)))
     if not n or not len(kept):
@@ -111,7 +115,7 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Model:
             own = np.repeat(np.arange(len(rows)), [len(s) for s in spans])
             terms_at = np.concatenate(spans)
             logit, sums = _logit(model._replace(bias=bias), own, terms_at, len(rows))
-            error = (_sigmoid(logit) - labels[rows]) / len(rows)
+            error = (_sigmoid(logit) - labels[rows]) * np.where(labels[rows] > 0, POSITIVE, 1.0) / len(rows)
             seen_b += error.sum() ** 2
             bias -= RATE * error.sum() / np.sqrt(seen_b)
             if not len(terms_at):
