@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html, quality, simhash, substring, suffix_array, toxicity, warc
+from . import bpe, decontaminate, html, katz, quality, simhash, substring, suffix_array, toxicity, warc
 from ._common import BENCHMARK, DOCUMENTS, LABELS, PAGES, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query
+def op2_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(katz.fit(read(spark, sf_dir, "documents", DOCUMENTS), toxicity.fold("doc_id", 7) == 2))
+
+
 @query
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_array.remove_repeats(read(spark, sf_dir, "documents", DOCUMENTS))
