@@ -132,12 +132,12 @@ def candidates(docs: DataFrame, bits: np.ndarray, size: int, doc_id: str, text:
                         for i, w in enumerate(words) if w in hot
                     ] if hot else [])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(counts, pa.int64()), pa.array(found, FOUND)], ["doc_id", "n_words", "found"]
+                    [part.column(0), part.column(2), pa.array(counts, pa.int64()), pa.array(found, FOUND)], ["doc_id", "print", "n_words", "found"]
                 )
 
-    rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].alias("text"))
+    rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("print"))
     return rows.mapInArrow(
-        run, "doc_id BIGINT, n_words BIGINT, found ARRAY<STRUCT<word: STRING, place: INT, left: INT, around: ARRAY<STRING>>>"
+        run, "doc_id BIGINT, print BIGINT, n_words BIGINT, found ARRAY<STRUCT<word: STRING, place: INT, left: INT, around: ARRAY<STRING>>>"
     )
 
 
@@ -150,6 +150,7 @@ def contamination(
 ) -> DataFrame:
     """Per row of ``docs``: n_words, n_hit (words inside an occurrence of an item window), items (ids as sorted strings).
 
+    ``print`` is Spark's xxhash64 of the text; with the id it finds the row again.
     NULL and empty texts and items have no words and no windows. Repeated rows stay, each with its own counts; rows of items
     with the same id add up to one item. Other columns are not read. An empty benchmark hits nothing.
     """
@@ -177,9 +178,15 @@ def contamination(
         hits.select("row", "window").distinct().join(windows, "window").groupBy("row").agg(F.collect_set("item").alias("items"))
     )
     return (
-        rows.select("row", "doc_id", "n_words").join(words, "row", "left").join(owners, "row", "left")
+        rows.select("row", "doc_id", "print", "n_words").join(words, "row", "left").join(owners, "row", "left")
         .select(
-            "doc_id", "n_words", F.coalesce(F.col("n_hit").cast("bigint"), F.lit(0).cast("bigint")).alias("n_hit"),
+            "doc_id", "print", "n_words", F.coalesce(F.col("n_hit").cast("bigint"), F.lit(0).cast("bigint")).alias("n_hit"),
             F.array_sort(F.coalesce("items", F.array().cast("array<string>"))).alias("items"),
         )
     )
+
+
+def clean_rows(docs: DataFrame, items: DataFrame, size: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without those that hold a window of an item."""
+    hit = contamination(docs, items, size, doc_id, text).where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("print").alias("__print"))
+    return docs.join(hit, docs[doc_id].cast("bigint").eqNullSafe(hit["__id"]) & (F.xxhash64(docs[text]) == hit["__print"]), "left_anti")

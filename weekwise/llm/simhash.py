@@ -46,14 +46,17 @@ def fingerprint(text: bytes, size: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): fingerprint of every whole text as a signed 64-bit number; NULL and empty texts have 0."""
+    """(doc_id, print, fp): fingerprint of every whole text as a signed 64-bit number; NULL and empty texts have 0.
+
+    ``print`` is Spark's xxhash64 of the text; with the id it finds the row again.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = np.array([fingerprint(x) for x in as_bytes(batch.column(1))], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(values)], ["doc_id", "print", "fp"])
 
-    rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].alias("text"))
-    return map_slices(rows, run, "doc_id BIGINT, fp BIGINT")
+    rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("print"))
+    return map_slices(rows, run, "doc_id BIGINT, print BIGINT, fp BIGINT")
 
 
 def planes(values: np.ndarray) -> np.ndarray:
@@ -201,14 +204,27 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id): fingerprint and the smallest doc_id reachable over links of ``radius`` bits or fewer.
+    """(doc_id, print, fp, root, component_id): fingerprint and the smallest doc_id reachable over links of ``radius`` bits or fewer.
 
     NULL and empty texts have fingerprint 0 and link like any other. Copies share a fingerprint and are one vertex; repeated rows stay. A NULL
-    id takes part but never names a component (the component of NULL ids alone has NULL).
+    id takes part but never names a component (the component of NULL ids alone has NULL). ``root`` is the fingerprint that names the component.
     """
     prints = shared_table(fingerprints(docs, doc_id, text), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     edges = linked_pairs(distinct, radius)
     roots = distinct.join(components(edges).withColumnRenamed("a", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = roots.join(roots.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = roots.join(roots.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "root", "component_id")
+    return prints.join(named, "fp").select("doc_id", "print", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: of each component the one with the smallest doc_id (NULL ids last).
+
+    Rows that repeat both id and text of the one that stays are one document and leave one row.
+    """
+    found = near_duplicates(docs, radius, doc_id, text)
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("b"))
+    kept = best.select(F.col("b.doc_id").alias("__id"), F.col("b.print").alias("__print"))
+    rows = docs.withColumns({"__own": docs[doc_id].cast("bigint"), "__text": F.xxhash64(docs[text])})
+    matched = rows.join(kept, rows["__own"].eqNullSafe(kept["__id"]) & (rows["__text"] == kept["__print"]), "left_semi")
+    return matched.dropDuplicates(["__own", "__text"]).drop("__own", "__text")

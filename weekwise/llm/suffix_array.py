@@ -7,7 +7,7 @@ show the repeated strings. On a corpus, suffixes meet only where a repeat is pos
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -135,9 +135,12 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _rows(docs: DataFrame, doc_id: str, text: str, carry: Sequence[str] = ()) -> DataFrame:
     """Id, print and text: id and print name a row, up to rows that are equal in both."""
-    return docs.select(docs[doc_id].cast("bigint").alias("doc_id"), F.xxhash64(docs[text]).alias("print"), docs[text].alias("text"))
+    return docs.select(
+        docs[doc_id].cast("bigint").alias("doc_id"), F.xxhash64(docs[text]).alias("print"), docs[text].alias("text"),
+        *[docs[c].alias(f"carried_{k}") for k, c in enumerate(carry)],
+    )
 
 
 def _anchor_counts(rows: DataFrame, window: int) -> DataFrame:
@@ -256,12 +259,15 @@ def repeated_blocks(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame]
     return blocks, whole.union(once.join(partial, ["core", "variant"]).select("core", "variant", "runs"))
 
 
-def remove_repeats(docs: DataFrame, window: int = 400, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, window: int = 400, doc_id: str = "doc_id", text: str = "text", carry: Sequence[str] = (), as_text: bool = False,
+) -> DataFrame:
     """Remove every byte covered by a string of ``window`` bytes that starts anywhere else too, in any row of the table.
 
-    One row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes). NULL is an empty text.
-    Matches never cross rows. Repeated rows are copies of each other and go whole if they are long enough; overlaps
-    count; shorter texts are kept. ``window`` must be over 2 * GRAM.
+    One row per input row: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes) and the columns ``carry``. With
+    ``as_text`` the last is the column ``text``: the remaining bytes without the letters that a removed run cut through.
+    NULL is an empty text. Matches never cross rows. Repeated rows are copies of each other and go whole if they are long
+    enough; overlaps count; shorter texts are kept. ``window`` must be over 2 * GRAM.
     """
     if window <= 2 * GRAM:
         raise ValueError(f"window must be over {2 * GRAM}")
@@ -273,23 +279,31 @@ def remove_repeats(docs: DataFrame, window: int = 400, doc_id: str = "doc_id", t
         .groupBy("doc_id", "print").agg(F.collect_list("span").alias("spans"))
         .select(F.col("doc_id").alias("span_id"), F.col("print").alias("span_print"), "spans")
     )
-    joined = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("span_id")) & (F.col("print") == F.col("span_print")), "left")
+    carried = [f"carried_{k}" for k in range(len(carry))]
+    joined = _rows(docs, doc_id, text, carry).join(spans, F.col("doc_id").eqNullSafe(F.col("span_id")) & (F.col("print") == F.col("span_print")), "left")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, gone, many, kept = [], [], [], []
         for raw, spans in zip(as_bytes(batch.column(1)), batch.column(2), strict=True):
             sizes.append(len(raw))
-            if not spans.is_valid:
-                gone.append(0), many.append(0), kept.append(raw)
-                continue
-            flat = spans.values.flatten()
-            out = covered(len(raw), flat[0].to_numpy(), flat[1].to_numpy(), window)
-            gone.append(int(out.sum())), many.append(len(runs_of(out)[0])), kept.append(np.frombuffer(raw, np.uint8)[~out].tobytes())
+            if spans.is_valid:
+                flat = spans.values.flatten()
+                out = covered(len(raw), flat[0].to_numpy(), flat[1].to_numpy(), window)
+                gone.append(int(out.sum()))
+                many.append(len(runs_of(out)[0]))
+                raw = np.frombuffer(raw, np.uint8)[~out].tobytes()
+            else:
+                gone.append(0)
+                many.append(0)
+            kept.append(raw.decode("utf-8", "ignore") if as_text else raw)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, gone, many)), pa.array(kept, pa.binary())],
-            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+            [batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, gone, many)), pa.array(kept, pa.string() if as_text else pa.binary()),
+             *(batch.column(3 + k) for k in range(len(carried)))],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", last, *carried],
         )
 
-    return map_slices(joined.select("doc_id", "text", "spans"), run, "doc_id BIGINT, n_bytes BIGINT, n_removed BIGINT, n_spans BIGINT, kept BINARY")
-
-
+    last = "text" if as_text else "kept"
+    kinds = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(carried, carry, strict=True))
+    schema = f"doc_id BIGINT, n_bytes BIGINT, n_removed BIGINT, n_spans BIGINT, {last} {'STRING' if as_text else 'BINARY'}{kinds}"
+    out = map_slices(joined.select("doc_id", "text", "spans", *carried), run, schema)
+    return out.withColumnsRenamed(dict(zip(carried, carry, strict=True)))

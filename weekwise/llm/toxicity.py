@@ -193,3 +193,15 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = 0.7, doc_id: str
 
     rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].alias("text"))
     return map_slices(rows, run, "doc_id BIGINT, score DOUBLE, predicted INT")
+
+
+def clean_rows(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that score below ``threshold``; filtered where they are read."""
+    shared, column = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, column, 1 << 20):
+                yield part.filter(pa.array(score(shared.value, as_bytes(part.column(column))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
