@@ -27,7 +27,8 @@ from weekwise.session import shared_dir
 from ._common import BYTE_VALUE, LOWER, as_bytes, mix, prefix_hash, shared_table, slices, span_hash, word_spans
 
 BATCH_BYTES = 8 << 20  # text of a batch; a longer text is a batch of its own
-BUCKET_BYTES = 12 << 20  # text whose words and pairs one bucket counts, on average
+HASH_BYTES = 1 << 20  # text whose words are hashed at a time
+BUCKET_BYTES = 8 << 20  # text whose words and pairs one bucket counts, on average
 TOP = 5  # counts up to so many are discounted
 HOT = 10_000  # at most so many first words are spread over the buckets
 START, UNKNOWN, FIRST = 0, 1, 2  # ids: start of a text (as first word only), unknown word, first known word
@@ -130,15 +131,20 @@ class Batch(NamedTuple):
 
 def open_batch(ids: list, held: np.ndarray, sizes: np.ndarray, blob: bytes) -> Batch:
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    data = np.frombuffer(raw, np.uint8)
-    n, ends = len(ids), np.cumsum(sizes + 1)
-    start, end = word_spans(data) if len(data) else (np.zeros(0, np.int64),) * 2
-    doc = np.searchsorted(ends, start, "right")
-    tokens = np.full(len(start) + n, END_HASH, np.uint64)
-    if len(data):
-        tokens[np.arange(len(start)) + doc] = span_hash(prefix_hash(BYTE_VALUE[data]), start, end)
-    docs = np.repeat(np.arange(n), np.bincount(doc, minlength=n) + 1)
-    hashes, token = np.unique(tokens, return_inverse=True)
+    n, begins = len(ids), np.concatenate([[0], np.cumsum(sizes + 1)])
+    parts, owners, k = [], [], 0
+    while k < n:  # words of about HASH_BYTES at a time
+        stop = max(k + 1, int(np.searchsorted(begins, begins[k] + HASH_BYTES, "right")) - 1)
+        data = np.frombuffer(raw, np.uint8)[begins[k] : begins[stop]]
+        start, end = word_spans(data)
+        doc = k + np.searchsorted(begins[k + 1 : stop + 1] - begins[k], start, "right")
+        words = np.full(len(start) + stop - k, END_HASH, np.uint64)
+        words[np.arange(len(start)) + doc - k] = span_hash(prefix_hash(BYTE_VALUE[data]), start, end)
+        parts.append(words)
+        owners.append(np.repeat(np.arange(k, stop), np.bincount(doc - k, minlength=stop - k) + 1))
+        k = stop
+    docs = np.concatenate(owners)
+    hashes, token = np.unique(np.concatenate(parts), return_inverse=True)
     first = np.ones(len(docs), bool)
     first[1:] = docs[1:] != docs[:-1]
     return Batch(ids, held, hashes, token, docs, first)
@@ -196,7 +202,10 @@ def _count_words(key: tuple, table: pa.Table, buckets: int) -> pa.Table:
     known = total > 0
     if known.sum() * buckets >= (1 << 31) - FIRST - buckets:
         raise OverflowError("more words than 31-bit ids")
-    ids = np.where(known, FIRST + (np.cumsum(known) - 1) * buckets + bucket, UNKNOWN)
+    # frequent words get small ids: pairs then sort into runs that pack well
+    rank = np.empty(len(words), np.int64)
+    rank[np.argsort(-total, kind="stable")] = np.arange(len(words))
+    ids = np.where(known, FIRST + rank * buckets + bucket, UNKNOWN)
     out, at = [], 0
     for r, p in zip(rows, parts, strict=True):
         w = where[at : at + len(p)]
@@ -226,13 +235,15 @@ def _count_pairs(key: tuple, table: pa.Table, words: Words, hot: np.ndarray) ->
     small = np.stack([np.bincount(group[total == r], minlength=len(contexts)) for r in range(1, TOP + 1)], 1)
     used = np.bincount(group, total, len(contexts)).astype(np.int64)
     spread = np.isin(contexts, hot)
+    present = ((small > 0) << np.arange(TOP)).sum(1).astype(np.uint8)
     out, at = [], 0
     for r, p in zip(rows, parts, strict=True):
         w = where[at : at + len(p)]
         at += len(p)
-        own = np.unique(group[w])
-        own = own[~spread[own]]
-        out.append({"kind": "answer", "bucket": bucket, "batch": r["batch"], "x": pack(total[w].astype(np.uint32)), "y": pack(small[own].astype(np.uint32).reshape(-1)), "z": pack(mass[own])})
+        own, asking = np.unique(group[w]), np.unique(group[w[total[w] == 0]])
+        own, asking = own[~spread[own]], asking[~spread[asking]]
+        full = pack(np.column_stack([small[asking].astype(np.float64), mass[asking]]).reshape(-1))
+        out.append({"kind": "answer", "bucket": bucket, "batch": r["batch"], "x": pack(total[w].astype(np.uint32)), "y": pack(present[own]), "z": full})
     kinds = np.bincount(np.minimum(total[seen], TOP + 2), minlength=TOP + 3)[: TOP + 2].tolist()
     out.append({"kind": "sum", "bucket": bucket, "counts": kinds})
     for k in np.flatnonzero(spread):
@@ -377,29 +388,36 @@ def score(model: Model) -> DataFrame:
             ids, counts = _vocabulary(batch, b, word_answers, buckets)
             pairs, where = _pairs(b, ids)
             u = (pairs >> np.uint64(32)).astype(np.int64)
-            n, small, mass = np.zeros(len(pairs), np.int64), np.zeros((len(pairs), TOP), np.int64), np.zeros(len(pairs))
+            n, small, mass = np.zeros(len(pairs), np.int64), np.zeros((len(pairs), TOP)), np.zeros(len(pairs))
+            present = np.zeros(len(pairs), np.uint8)
             found = _answers(pair_answers, batch)
             for k, own in enumerate(_split(_pair_bucket(pairs, u, hot, buckets), buckets)):
                 if not len(own):
                     continue
                 n[own] = unpack(found[k]["x"], np.uint32)
                 plain = own[~np.isin(u[own], hot)]
-                if len(plain):
-                    _, group = np.unique(u[plain], return_inverse=True)
-                    small[plain] = unpack(found[k]["y"], np.uint32).reshape(-1, TOP)[group]
-                    mass[plain] = unpack(found[k]["z"], np.float64)[group]
-            # how often a first word was seen: as often as the word itself; hot ones come with the model
+                present[plain] = unpack(found[k]["y"], np.uint8)[np.unique(u[plain], return_inverse=True)[1]]
+                asking = plain[n[plain] == 0]
+                table = unpack(found[k]["z"], np.float64).reshape(-1, TOP + 1)[np.unique(u[asking], return_inverse=True)[1]]
+                small[asking], mass[asking] = table[:, :TOP], table[:, TOP]
+            # how often a first word was seen: as often as the word itself; spread ones come with the model
             order = np.argsort(ids, kind="stable")
             at = np.minimum(np.searchsorted(ids[order], u), len(ids) - 1)
             used = np.where(ids[order][at] == u, counts[order][at], 0)
-            for h in hot:
+            for h in np.intersect1d(hot, u):
                 mine = slice(*np.searchsorted(u, [h, h + 1]))
                 total, few, m = stats.get(int(h), (0, [0] * TOP, 0.0))
                 used[mine], small[mine], mass[mine] = total, few, m
-            alpha, scale = backoff(used, small, mass, factor, words.unknown)
+                present[mine] = sum((x > 0) << r for r, x in enumerate(few))
+            # a context with nothing to discount sets one count aside, as ``backoff`` does
+            lowered = np.flatnonzero(factor[1 : TOP + 1] < 1)
+            none = ~((present[:, None] >> lowered[None, :].astype(np.uint8)) & 1).any(1)
             second = np.zeros(len(pairs), np.int64)
             second[where] = counts[b.token]
-            p = np.where(n > 0, factor[np.minimum(n, TOP + 1)] * n * scale, alpha * words.p(second))
+            p = factor[np.minimum(n, TOP + 1)] * n / np.maximum(used + none, 1)
+            unseen = np.flatnonzero(n == 0)
+            alpha, _ = backoff(used[unseen], small[unseen], mass[unseen], factor, words.unknown)
+            p[unseen] = alpha * words.p(second[unseen])
             docs, c = len(b.ids), counts[b.token]
             sums = [np.bincount(b.doc, x, docs) for x in (np.log10((c + 1) / (words.total + words.distinct + 1)), np.log10(p)[where])]
             many = [np.bincount(b.doc, x, docs).astype(np.int64) for x in (np.ones(len(c)), c > 0)]
