@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html, katz, quality, simhash, substring, suffix_array, toxicity, warc
+from . import bpe, decontaminate, html, katz, oracles, quality, simhash, substring, suffix_array, toxicity, warc
 from ._common import BENCHMARK, DOCUMENTS, LABELS, PAGES, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,15 +79,13 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SQL["op9_warc_round_trip"] = """
-WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
-lead AS (SELECT payload_digest, max(page_id) AS leader FROM p WHERE payload_bytes >= 1000 GROUP BY 1)
-SELECT p.page_id, payload_bytes, p.payload_digest, CASE WHEN page_id < leader THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN page_id < leader THEN leader END AS refers_to
-FROM p LEFT JOIN lead USING (payload_digest)"""
-
-
 @query
 def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", DOCUMENTS)
     return bpe.bpe_encode(docs, str(public_tokenizers.path("word_bpe_49k.json")), digests=True)
+
+
+SQL |= {
+    "op5_substring_dedup": oracles.SUBSTRING, "op7_quality_rules": oracles.QUALITY,
+    "op8_benchmark_decontamination": oracles.CONTAMINATION, "op9_warc_round_trip": oracles.WARC,
+}
