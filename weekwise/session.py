@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # AQE is what splits skewed join partitions, coalesces small ones and turns a join into a broadcast
 # once the *measured* size of a side is under the threshold; no operator forces a broadcast itself.
@@ -33,10 +34,13 @@ def build_session(app: str = "weekwise", master: str | None = None, **extra: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only when the cluster names none (local runs and tests) a temporary folder is chosen.
+    A session in one process (``local[...]``, as in tests) gets a temporary folder if none is named; on a
+    cluster that would be a folder of each machine, so there a missing setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="weekwise-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -46,9 +50,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_dir(spark)}/weekwise/{name}-{uuid.uuid4().hex}"
 
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage by writing ``df`` once to the shared folder and reading it back (runs a job)."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
