@@ -62,7 +62,7 @@ def idempotent_partitioned_sink(spark, sf):
     fs.write_partitioned_idempotent(rows, path)
     fs.write_partitioned_idempotent(rows.withColumn("value", F.col("value") * 2), path)
     fs.write_partitioned_idempotent(rows, path, resume=True)
-    return fs.read_partitioned(spark, path).where("year_onset >= 2024").select("event_id", "value", "year_onset", "chunk_key")
+    return fs.read_chunks(spark, path).where("year_onset >= 2024").select("event_id", "value", "year_onset", "chunk_key")
 
 
 @query(on(PANEL, """
@@ -199,9 +199,25 @@ def unpacked_payloads(spark, sf):
 def incremental_weekly_ingest(spark, sf):
     """The weekly aggregate kept up to date by a stream over the stored files."""
     stream = spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf)
-    weekly = inc.weekly_stream(stream.select("user_id", "ts", "value"), "user_id", "ts", {
-        "value_mean": F.avg("value"), "value_max": F.max("value"), "n": F.count("*"), "days": inc.distinct_days("ts")})
+    measures = {"value_mean": ("mean", F.col("value")), "value_max": ("max", F.col("value")), "n": ("count", F.lit(1)), "days": ("days", F.col("ts"))}
     path = scratch_path(spark, "stream")
-    inc.ingest(weekly, f"{path}/data", f"{path}/checkpoint")
-    out = inc.current(spark, f"{path}/data", "user_id").withColumn("coverage", F.col("days") / F.lit(7.0)).drop("days")
-    return tidy(out)
+    inc.ingest(stream.select("user_id", "ts", "value"), "user_id", "ts", measures, path, f"{path}/checkpoint")
+    out = inc.current(spark, path, "user_id", {k: kind for k, (kind, _) in measures.items()})
+    return tidy(out.withColumn("coverage", F.col("days") / F.lit(7.0)).drop("days"))
+
+
+@query(rounded("""
+  SELECT user_id, CAST(date_trunc('week', ts) AS DATE) AS week_start, avg(value) AS value_mean, max(value) AS value_max, count(*) AS n FROM events GROUP BY 1, 2""", "value_mean"))
+def incremental_ingest_of_late_rows(spark, sf):
+    """The same table built by three runs over extracts that share weeks, the latest weeks first, compacted in between."""
+    path, rows = scratch_path(spark, "late"), table(spark, sf, "events", "user_id", "ts", "value", "event_id")
+    measures = {"value_mean": ("mean", F.col("value")), "value_max": ("max", F.col("value")), "n": ("count", F.lit(1))}
+    kinds = {k: kind for k, (kind, _) in measures.items()}
+    half = F.when(F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz"), 0).otherwise(1 + F.col("event_id") % 2)
+    for k in range(3):
+        rows.where(half == k).drop("event_id").write.mode("append").parquet(f"{path}/extracts")
+        stream = spark.readStream.schema("user_id BIGINT, ts TIMESTAMP_NTZ, value DOUBLE").parquet(f"{path}/extracts")
+        inc.ingest(stream, "user_id", "ts", measures, f"{path}/table", f"{path}/checkpoint")
+        if k == 1:
+            inc.compact(spark, f"{path}/table", "user_id", kinds)
+    return tidy(inc.current(spark, f"{path}/table", "user_id", kinds))

@@ -1,4 +1,8 @@
-"""Weekly aggregates over a stream of raw rows, and a resumable ingest that keeps them in a table."""
+"""A resumable ingest of raw rows that keeps weekly aggregates in a table.
+
+Every micro-batch stores *partial* aggregates (sums, counts, extremes, sets of days) of its own rows and reading combines them.
+There is no state and no watermark, so a row counts however late it comes.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +11,13 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from weekwise.operators._util import as_list, col
-from weekwise.operators.dedup import dedup_last
+
+# how each measure is stored and combined: name suffixes of its partial columns
+PARTS = {"sum": ("sum",), "count": ("n",), "mean": ("sum", "n"), "min": ("min",), "max": ("max",), "days": ("days",)}
 
 
 def utc_instant(ts: str, kind: str) -> Column:
-    """Event time as the TIMESTAMP that streams need; a zoneless value is read as UTC."""
+    """Event time as the TIMESTAMP that windows need; a zoneless value is read as UTC."""
     if kind != "timestamp_ntz":
         return col(ts)
     return F.convert_timezone(F.lit("UTC"), F.current_timezone(), col(ts)).cast("timestamp")
@@ -22,41 +28,80 @@ def weekly_window(ts: str) -> Column:
     return F.window(col(ts), "7 days", "7 days", "4 days")
 
 
-def distinct_days(ts: str) -> Column:
-    """Exact number of different weekdays seen, as a mergeable bit set (streams allow no distinct count)."""
-    return F.bit_count(F.bit_or(F.pow(F.lit(2.0), F.weekday(col(ts))).cast("int")))
+def _partial(part: str, value: Column, event: str) -> Column:
+    if part == "days":
+        return F.bit_or(F.when(value.isNotNull(), F.expr("shiftleft(1, weekday(`" + event + "`))")))
+    return {"sum": F.sum, "n": F.count, "min": F.min, "max": F.max}[part](value)
+
 
+def weekly_partials(df: DataFrame, entity, ts: str, measures: Mapping[str, tuple[str, Column]]) -> DataFrame:
+    """Partial aggregates per entity and week: ``measures`` names a kind of PARTS and a column for each result.
 
-def weekly_stream(df: DataFrame, entity, ts: str, spec: Mapping[str, Column], late: str = "14 days") -> DataFrame:
-    """Weekly aggregate of a stream (or a batch) per entity; state older than ``late`` is dropped."""
+    ``days`` marks the weekdays on which the column is known. Rows without an event time belong to no week and are left out.
+    """
     keys = as_list(entity)
-    rows = df.withColumn("__event", utc_instant(ts, df.schema[ts].dataType.typeName()))
-    rows = rows.withWatermark("__event", late) if df.isStreaming else rows
-    out = rows.groupBy(*map(col, keys), weekly_window("__event")).agg(*[e.alias(n) for n, e in spec.items()])
+    rows = df.withColumn("__event", utc_instant(ts, df.schema[ts].dataType.typeName())).where("__event is not null")
+    out = rows.groupBy(*map(col, keys), weekly_window("__event")).agg(
+        *[_partial(part, value, "__event").alias(f"{name}__{part}") for name, (kind, value) in measures.items() for part in PARTS[kind]]
+    )
     start = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("window.start").cast("timestamp_ntz"))
-    return out.select(*map(col, keys), F.to_date(start).alias("week_start"), *spec)
+    return out.select(*map(col, keys), F.to_date(start).alias("week_start"), *[c for c in out.columns if "__" in c and c not in keys])
+
+
+def _combined(parts: DataFrame, keys: list[str], measures: Mapping[str, str]) -> DataFrame:
+    merge = {"sum": F.sum, "n": F.sum, "min": F.min, "max": F.max, "days": F.bit_or}
+    return parts.groupBy(*map(col, keys)).agg(
+        *[merge[part](f"{name}__{part}").alias(f"{name}__{part}") for name, kind in measures.items() for part in PARTS[kind]]
+    )
 
 
-def ingest(weekly: DataFrame, path: str, checkpoint: str) -> None:
+def ingest(stream: DataFrame, entity, ts: str, measures: Mapping[str, tuple[str, Column]], path: str, checkpoint: str) -> None:
     """Process everything that is new since the last run, then stop.
 
-    Each micro-batch writes the weeks it changed into its own directory, replacing it when the batch is
+    Each micro-batch writes its partial aggregates into its own directory, replacing it when the batch is
     run again, so a lost executor or a restarted run leaves no duplicate.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        weekly_partials(batch, entity, ts, measures).write.mode("overwrite").parquet(f"{path}/batches/batch_id={batch_id}")
 
     query = (
-        weekly.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .foreachBatch(write)
-        .start()
+        stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
     )
     query.awaitTermination()
 
 
-def current(spark: SparkSession, path: str, entity, key: str = "week_start") -> DataFrame:
-    """Latest state of every entity and week written by ``ingest``."""
-    return dedup_last(spark.read.parquet(path), [*as_list(entity), key], "batch_id").drop("batch_id")
+def _parts(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """The latest compacted base and the batches after it, and the last batch among them."""
+    batches = spark.read.parquet(f"{path}/batches")
+    last = batches.agg(F.max("batch_id")).first()[0]
+    try:
+        bases = spark.read.parquet(f"{path}/bases")
+    except Exception as error:  # never compacted
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return batches.drop("batch_id"), last
+    upto = bases.agg(F.max("upto")).first()[0]
+    newer = batches.where(F.col("batch_id") > upto).drop("batch_id")
+    return bases.where(F.col("upto") == upto).drop("upto").unionByName(newer), last
+
+
+def compact(spark: SparkSession, path: str, entity, measures: Mapping[str, str], key: str = "week_start") -> None:
+    """Combine all batches so far into one base, so that reading stays proportional to the panel.
+
+    The base is complete before readers see its directory; batches it holds are skipped from then on.
+    """
+    parts, last = _parts(spark, path)
+    _combined(parts, [*as_list(entity), key], measures).write.mode("overwrite").parquet(f"{path}/bases/upto={last}")
+
+
+def current(spark: SparkSession, path: str, entity, measures: Mapping[str, str], key: str = "week_start") -> DataFrame:
+    """Measures of every entity and week over all rows ever ingested (``days``: how many different weekdays)."""
+    keys = [*as_list(entity), key]
+    whole = _combined(_parts(spark, path)[0], keys, measures)
+    done = {
+        "sum": lambda n: F.col(f"{n}__sum"), "count": lambda n: F.col(f"{n}__n"), "min": lambda n: F.col(f"{n}__min"),
+        "max": lambda n: F.col(f"{n}__max"), "mean": lambda n: F.try_divide(f"{n}__sum", f"{n}__n"),
+        "days": lambda n: F.bit_count(F.coalesce(f"{n}__days", F.lit(0))),
+    }
+    return whole.select(*map(col, keys), *[done[kind](name).alias(name) for name, kind in measures.items()])
