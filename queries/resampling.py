@@ -1,4 +1,4 @@
-"""Extreme-week audit and bootstrap replicates. Draws are md5 hashes, so SQL can repeat every sample."""
+"""Extreme-week audit and bootstrap replicates. Draws are hashes of counters, so SQL can repeat every sample."""
 
 from pyspark.sql import functions as F
 
@@ -7,21 +7,32 @@ from weekwise.operators import resample as rs
 from . import query
 from .base import FULL, full_panel, on, rounded, tidy
 
-SEED, B, LAG = 42, 40, 2
+SEED, B, LAG, Q = 42, 3000, 2, 0.95
 
 AUDIT = FULL + f""",
 kn AS (SELECT entity, week_start, exposure AS x, outcome AS y FROM full_panel WHERE exposure IS NOT NULL AND outcome IS NOT NULL),
-th AS (SELECT entity, quantile_cont(x, 0.9) AS q FROM kn GROUP BY entity),
+th AS (SELECT entity, quantile_cont(x, {Q}) AS q FROM kn GROUP BY entity),
 fl AS (SELECT k.*, CAST(x > q AS INTEGER) AS f FROM kn k JOIN th ON k.entity = th.entity),
 st AS (SELECT *, CASE WHEN f = 1 AND coalesce(lag(f) OVER w, 0) = 0 THEN 1 ELSE 0 END AS s, lag(f, {LAG}) OVER w AS ext_lag FROM fl WINDOW w AS (PARTITION BY entity ORDER BY week_start)),
 ep AS (SELECT *, CASE WHEN f = 1 THEN sum(s) OVER (PARTITION BY entity ORDER BY week_start ROWS UNBOUNDED PRECEDING) END AS e FROM st),
 au AS (SELECT *, CASE WHEN ext_lag IS NOT NULL THEN y - avg(y) OVER (PARTITION BY entity, ext_lag IS NOT NULL, weekofyear(week_start)) END AS y_anom FROM ep)"""
 
-DRAW = "CAST(('0x' || substr(md5(concat_ws('|', {parts})), 1, 8)) AS BIGINT) % {n}"
+
+
+def draw_sql(src: str, base: str, b: str, i: str, n: str) -> str:
+    """``src`` with a column ``d``, the draw of ``resample.hashed_draws``; ``base`` are the 28 bits of the md5."""
+    sql = f"SELECT *, ({base} + ({b})::BIGINT * {rs.PER_REPLICATE} + ({i})::BIGINT * {rs.PER_POSITION}) % {rs.PRIME} AS z FROM {src}"
+    for shift, factor in ((15, rs.MIX_1), (13, rs.MIX_2)):
+        sql = f"SELECT * REPLACE (xor(z, z >> {shift}) * {factor} % {rs.PRIME} AS z) FROM ({sql})"
+    return f"(SELECT * EXCLUDE (z), xor(z, z >> 16) % ({n}) AS d FROM ({sql}))"
+
+
+def base_sql(tag: int) -> str:
+    return f"CAST('0x' || substr(md5(concat_ws('|', '{SEED}', entity::VARCHAR, '{tag}')), 1, 7) AS BIGINT)"
 
 
 def audit_rows(spark, sf):
-    return rs.extreme_rows(full_panel(spark, sf), "exposure", "outcome", "entity", 0.9, LAG)
+    return rs.extreme_rows(full_panel(spark, sf), "exposure", "outcome", "entity", Q, LAG)
 
 
 SUMMARY = """
@@ -37,13 +48,14 @@ def extreme_week_summary(spark, sf):
 
 
 WEEKS = AUDIT + f""",
-g AS (SELECT entity, list(y_anom ORDER BY week_start) FILTER (WHERE ext_lag = 1) AS g1, list(y_anom ORDER BY week_start) FILTER (WHERE ext_lag = 0) AS g0 FROM au WHERE ext_lag IS NOT NULL GROUP BY entity),
-r AS (SELECT entity, g1, g0, unnest(range(1, {B + 1})) AS b FROM g WHERE len(g1) > 0 AND len(g0) > 0),
-d1 AS (SELECT entity, b, g1, unnest(range(0, len(g1))) AS i FROM r), d0 AS (SELECT entity, b, g0, unnest(range(0, len(g0))) AS i FROM r),
-m1 AS (SELECT entity, b, avg(g1[1 + {DRAW.format(parts=f"'{SEED}', entity::VARCHAR, '1', b::VARCHAR, i::VARCHAR", n="len(g1)")}]) AS m,
-              quantile_cont(g1[1 + {DRAW.format(parts=f"'{SEED}', entity::VARCHAR, '1', b::VARCHAR, i::VARCHAR", n="len(g1)")}], 0.5) AS md FROM d1 GROUP BY 1, 2),
-m0 AS (SELECT entity, b, avg(g0[1 + {DRAW.format(parts=f"'{SEED}', entity::VARCHAR, '0', b::VARCHAR, i::VARCHAR", n="len(g0)")}]) AS m,
-              quantile_cont(g0[1 + {DRAW.format(parts=f"'{SEED}', entity::VARCHAR, '0', b::VARCHAR, i::VARCHAR", n="len(g0)")}], 0.5) AS md FROM d0 GROUP BY 1, 2),
+g AS (SELECT entity, list(y_anom ORDER BY week_start) FILTER (WHERE ext_lag = 1) AS g1, list(y_anom ORDER BY week_start) FILTER (WHERE ext_lag = 0) AS g0,
+  {base_sql(1)} AS h1, {base_sql(0)} AS h0 FROM au WHERE ext_lag IS NOT NULL GROUP BY entity),
+r AS (SELECT entity, h1, h0, len(g1) AS n1, len(g0) AS n0, unnest(range(1, {B + 1})) AS b FROM g WHERE len(g1) > 0 AND len(g0) > 0),
+d1 AS (SELECT entity, b, n1 AS n, h1, unnest(range(1, n1 + 1)) AS i FROM r), d0 AS (SELECT entity, b, n0 AS n, h0, unnest(range(1, n0 + 1)) AS i FROM r),
+p1 AS (SELECT entity, h1, len(g1) AS n, unnest(g1) AS v, unnest(range(0, len(g1))) AS d FROM g), p0 AS (SELECT entity, h0, len(g0) AS n, unnest(g0) AS v, unnest(range(0, len(g0))) AS d FROM g),
+w1 AS {draw_sql("d1", "h1", "b", "i", "n")}, w0 AS {draw_sql("d0", "h0", "b", "i", "n")},
+v1 AS (SELECT w1.entity, b, v FROM w1 JOIN p1 ON w1.entity = p1.entity AND w1.d = p1.d), v0 AS (SELECT w0.entity, b, v FROM w0 JOIN p0 ON w0.entity = p0.entity AND w0.d = p0.d),
+m1 AS (SELECT entity, b, avg(v) AS m, quantile_cont(v, 0.5) AS md FROM v1 GROUP BY 1, 2), m0 AS (SELECT entity, b, avg(v) AS m, quantile_cont(v, 0.5) AS md FROM v0 GROUP BY 1, 2),
 rep AS (SELECT m1.entity, CAST(m1.b AS INTEGER) AS b, m1.m - m0.m AS delta_mean, m1.md - m0.md AS delta_median FROM m1 JOIN m0 ON m1.entity = m0.entity AND m1.b = m0.b)"""
 
 
@@ -63,10 +75,11 @@ def bootstrap_interval(spark, sf):
 def _episodes(y: str, anomaly: bool) -> str:
     value = "y - avg(y) OVER (PARTITION BY entity, b, weekofyear(week_start))" if anomaly else "y"
     return f""",
-kw AS (SELECT entity, week_start, {y} AS y, f, CASE WHEN f = 1 THEN dense_rank() OVER (PARTITION BY entity, f ORDER BY e) END AS e FROM au WHERE ext_lag IS NOT NULL),
-ne AS (SELECT entity, count(DISTINCT e) AS n_ep FROM kw GROUP BY entity HAVING count(DISTINCT e) > 0),
-dr AS (SELECT entity, n_ep, b, unnest(range(1, n_ep + 1)) AS k FROM (SELECT *, unnest(range(1, {B + 1})) AS b FROM ne)),
-dw AS (SELECT entity, b, k, 1 + {DRAW.format(parts=f"'{SEED}', entity::VARCHAR, b::VARCHAR, k::VARCHAR", n="n_ep")} AS e FROM dr),
+ka AS (SELECT entity, week_start, ext_lag, {y} AS y, f, CASE WHEN f = 1 THEN dense_rank() OVER (PARTITION BY entity, f ORDER BY e) END AS e FROM au),
+kw AS (SELECT * FROM ka WHERE ext_lag IS NOT NULL),
+ne AS (SELECT entity, count(DISTINCT e) AS n_ep, {base_sql(2)} AS h FROM ka GROUP BY entity HAVING count(DISTINCT e) > 0),
+dr AS (SELECT entity, n_ep, h, b, unnest(range(1, n_ep + 1)) AS k FROM (SELECT *, unnest(range(1, {B + 1})) AS b FROM ne)),
+dw AS (SELECT entity, b, k, 1 + d AS e FROM {draw_sql("dr", "h", "b", "k", "n_ep")}),
 bo AS (SELECT kw.entity, week_start, y, f, unnest(range(1, {B + 1})) AS b, 0 AS k FROM kw JOIN ne ON kw.entity = ne.entity WHERE f = 0
        UNION ALL SELECT kw.entity, week_start, y, f, b, k FROM dw JOIN kw ON dw.entity = kw.entity AND dw.e = kw.e WHERE f = 1),
 lg AS (SELECT * FROM (SELECT *, lag(f, {LAG}) OVER (PARTITION BY entity, b ORDER BY week_start, k) AS g FROM bo) WHERE g IS NOT NULL),
@@ -78,14 +91,12 @@ HAVING count(*) FILTER (WHERE g = 1) >= 5 AND count(*) FILTER (WHERE g = 0) >= 2
 
 @query(rounded(on(AUDIT + _episodes("y", True), "SELECT * FROM er"), "delta_mean"))
 def bootstrap_by_episodes(spark, sf):
-    known = audit_rows(spark, sf).where("ext_lag is not null")
-    return tidy(rs.bootstrap_episodes(known, "y", "entity", B, LAG, seed=SEED))
+    return tidy(rs.bootstrap_episodes(audit_rows(spark, sf), "y", "entity", B, LAG, seed=SEED))
 
 
 @query(rounded(on(AUDIT + _episodes("y_anom", False), "SELECT * FROM er"), "delta_mean"))
 def bootstrap_by_episodes_fixed_anomaly(spark, sf):
-    known = audit_rows(spark, sf).where("ext_lag is not null")
-    return tidy(rs.bootstrap_episodes(known, "y_anom", "entity", B, LAG, seed=SEED, recompute=False))
+    return tidy(rs.bootstrap_episodes(audit_rows(spark, sf), "y_anom", "entity", B, LAG, seed=SEED, recompute=False))
 
 
 def _ci(src: str, stem: str) -> str:
@@ -94,12 +105,12 @@ def _ci(src: str, stem: str) -> str:
 
 
 @query(rounded(on(WEEKS + _episodes("y", True) + "," + SUMMARY, f"""
-  SELECT su.*, w.* EXCLUDE (entity), e.* EXCLUDE (entity), 0.9::DOUBLE AS quantile, {LAG} AS lag, 'woy' AS season, {SEED} AS seed
+  SELECT su.*, w.* EXCLUDE (entity), e.* EXCLUDE (entity), {Q}::DOUBLE AS quantile, {LAG} AS lag, 'woy' AS season, {SEED} AS seed
   FROM su LEFT JOIN {_ci("rep", "ci_week")} w ON su.entity = w.entity LEFT JOIN {_ci("er", "ci_episode")} e ON su.entity = e.entity"""),
   "smallest_extreme delta_mean ci_week_low ci_week_high ci_episode_low ci_episode_high quantile"))
 def extreme_week_audit(spark, sf):
     """The whole audit with both bootstrap intervals in one plan."""
-    return tidy(rs.extreme_audit(full_panel(spark, sf), "exposure", "outcome", "entity", 0.9, LAG, replicates=B, seed=SEED))
+    return tidy(rs.extreme_audit(full_panel(spark, sf), "exposure", "outcome", "entity", Q, LAG, replicates=B, seed=SEED))
 
 
 def _delta(src: str, label: str) -> str:

@@ -1,12 +1,16 @@
 """Extreme-week audit and bootstrap confidence intervals on panels.
 
-Draws are hashes of (seed, entity, replicate, position), never ``rand()``: a task that is run again
-after an executor loss draws the same sample.
+The periods of one entity are gathered once, and all its replicates are drawn in that task; only replicates leave it. Draws are hashes
+of (seed, entity, replicate, position), never ``rand()``: a task that is run again after an executor loss draws the same sample.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import hashlib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ._util import as_list, col, join_nullsafe
 from .score import threshold_flags
@@ -15,10 +19,27 @@ from .window import add_lags, anomaly, episodes
 CI = (0.025, 0.975)
 
 
-def hashed_draw(n: Column, *parts) -> Column:
-    """Repeatable draw from 0..n-1: the first 32 bits of an md5 of the joined parts, modulo ``n``."""
-    text = F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
-    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), n)
+MAX_PERIODS = 200_000  # periods of one entity in a task; more is no panel, and an error
+PRIME, PER_REPLICATE, PER_POSITION, MIX_1, MIX_2 = 2_147_483_647, 73_856_093, 19_349_663, 1_664_525_791, 1_103_515_245
+
+
+def hashed_draws(seed: int, ident: str, tag: int, b: np.ndarray, count: int, n: int) -> np.ndarray:
+    """Repeatable draws from 0..n-1: one row per replicate in ``b``, ``count`` positions each.
+
+    Replicate and position, offset by 28 bits of md5(``seed|ident|tag``), go through two rounds of shift, xor and multiplication modulo
+    2**31 - 1; products stay within 62 bits, so SQL can repeat them in whole numbers.
+    """
+    base = int(hashlib.md5(f"{seed}|{ident}|{tag}".encode()).hexdigest()[:7], 16)
+    z = (base + b.astype(np.int64)[:, None] * PER_REPLICATE + np.arange(1, count + 1)[None, :] * PER_POSITION) % PRIME
+    z = (z ^ (z >> 15)) * MIX_1 % PRIME
+    z = (z ^ (z >> 13)) * MIX_2 % PRIME
+    return (z ^ (z >> 16)) % n
+
+
+def _checked(pdf: pd.DataFrame) -> pd.DataFrame:
+    if len(pdf) > MAX_PERIODS:
+        raise ValueError(f"an entity with {len(pdf)} periods: resample panels only")
+    return pdf.sort_values("k", kind="stable")
 
 
 def season_part(season: str, key: str = "week_start") -> Column:
@@ -59,45 +80,35 @@ def bootstrap_diff(
 ) -> DataFrame:
     """Replicates of the difference of means (and medians) between flag 1 and flag 0, per entity.
 
-    Both groups are resampled with replacement at their own size. The values of one entity form an
-    array (a panel has at most one per period); every replicate draws from it in place, so the only
-    shuffles are the one that gathers the arrays and the one that spreads the replicates.
+    Both groups are resampled with replacement at their own size. One shuffle gathers the entities (a panel has at most one
+    row per period); an entity without rows on both sides has no replicates.
     """
     keys = as_list(entity)
     if not keys:
         raise ValueError("resample within entities")
-    rows = df.where(col(flag).isNotNull() & col(y).isNotNull())
-
-    def values(tag: int) -> Column:
-        pairs = F.collect_list(F.when(col(flag) == tag, F.struct(col(key).alias("k"), col(y).cast("double").alias("v"))))
-        return F.transform(F.array_sort(pairs), lambda p: p["v"])
-
-    groups = rows.groupBy(*map(col, keys)).agg(values(1).alias("__g1"), values(0).alias("__g0"))
-    groups = groups.where((F.size("__g1") > 0) & (F.size("__g0") > 0))
-    spread = groups.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).repartition(*keys, "b")
-    ident = F.concat_ws("/", *[col(k).cast("string") for k in keys])
-
-    def drawn(name: str, tag: int) -> Column:
-        size = F.size(name)
-        return F.transform(
-            F.sequence(F.lit(0), size - 1),
-            lambda i: F.get(F.col(name), hashed_draw(size, seed, ident, tag, F.col("b"), i).cast("int")),
-        )
-
-    spread = spread.withColumns({"__s1": drawn("__g1", 1), "__s0": drawn("__g0", 0)})
-
-    def mean(name: str) -> Column:
-        return F.aggregate(name, F.lit(0.0), lambda a, v: a + v) / F.size(name)
-
-    out = [(mean("__s1") - mean("__s0")).alias("delta_mean")]
-    if median:
-        def middle(name: str) -> Column:
-            s, n = F.array_sort(name), F.size(name)
-            low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
-            return (F.get(s, low) + F.get(s, high)) / 2
+    rows = df.where(col(flag).isNotNull() & col(y).isNotNull()).select(
+        *map(col, keys), F.concat_ws("/", *[col(k).cast("string") for k in keys]).alias("__ident"), col(key).alias("k"),
+        col(flag).cast("int").alias("f"), col(y).cast("double").alias("y"),
+    )
 
-        out.append((middle("__s1") - middle("__s0")).alias("delta_median"))
-    return spread.select(*map(col, keys), "b", *out)
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = _checked(pdf)
+        groups = [pdf.loc[pdf.f == tag, "y"].to_numpy() for tag in (1, 0)]
+        if not all(map(len, groups)):
+            return pd.DataFrame(columns=names)
+        parts, step = [], max(1, 2_000_000 // len(pdf))
+        for k in range(1, replicates + 1, step):
+            b = np.arange(k, min(replicates + 1, k + step))
+            one, rest = (v[hashed_draws(seed, pdf["__ident"].iloc[0], tag, b, len(v), len(v))] for v, tag in zip(groups, (1, 0)))
+            out = pd.DataFrame({"b": b, "delta_mean": one.mean(1) - rest.mean(1)})
+            if median:
+                out["delta_median"] = np.median(one, 1) - np.median(rest, 1)
+            parts.append(out)
+        return pd.concat(parts).assign(**{k: pdf[k].iloc[0] for k in keys})[names]
+
+    names = [*keys, "b", "delta_mean", *(["delta_median"] if median else [])]
+    kinds = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + ["b INT"] + [f"{n} DOUBLE" for n in names[len(keys) + 1 :]])
+    return rows.groupBy(*map(col, keys)).applyInPandas(draw, kinds)
 
 
 def percentile_ci(reps: DataFrame, entity, c: str = "delta_mean", stem: str = "ci") -> DataFrame:
@@ -111,41 +122,50 @@ def percentile_ci(reps: DataFrame, entity, c: str = "delta_mean", stem: str = "c
 def bootstrap_episodes(
     rows: DataFrame, y: str, entity, replicates: int, lag: int = 2, season: str = "woy", seed: int = 42,
     key: str = "week_start", flag: str = "is_extreme", episode: str = "episode_id", recompute: bool = True,
-    min_exposed: int = 5, min_rest: int = 20,
+    min_exposed: int = 5, min_rest: int = 20, known: str | None = "ext_lag",
 ) -> DataFrame:
     """Replicates that resample whole episodes and always keep the quiet weeks.
 
     ``recompute=True``: lagged flag and seasonal anomaly are taken anew in every replicate.
     ``recompute=False``: ``y`` already is an anomaly and only the lag is taken anew.
+    Episodes are counted over all rows; rows whose ``known`` column is NULL are not drawn, so an
+    episode that lies among them alone stays in the draw and adds no row.
     Replicates with fewer than ``min_exposed`` exposed or ``min_rest`` other weeks are left out.
     """
     keys = as_list(entity)
-    base = rows.select(*map(col, keys), col(key), col(y).alias("y"), col(flag).alias("f"), col(episode).alias("e"))
-    reps = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("b")
-    quiet = base.where("f = 0").select("*", reps).withColumn("k", F.lit(0)).drop("e")
-    counts = base.groupBy(*map(col, keys)).agg(F.count_distinct("e").alias("n_ep"))
-    ident = F.concat_ws("/", *[col(k).cast("string") for k in keys])
-    draws = (
-        counts.where("n_ep > 0")
-        .select(*map(col, keys), "n_ep", reps)
-        .select("*", F.explode(F.sequence(F.lit(1), F.col("n_ep").cast("int"))).alias("k"))
-        .withColumn("e", hashed_draw(F.col("n_ep"), seed, ident, F.col("b"), F.col("k")) + 1)
-        .drop("n_ep")
+    base = rows.select(
+        *map(col, keys), F.concat_ws("/", *[col(k).cast("string") for k in keys]).alias("__ident"), col(key).alias("k"), col(y).cast("double").alias("y"),
+        col(flag).cast("int").alias("f"), col(episode).cast("long").alias("e"), season_part(season, key).cast("int").alias("s"),
+        (col(known).isNotNull() if known else F.lit(True)).alias("known"),
     )
-    members = base.where("f = 1 and e is not null")
-    ranked = members.withColumn("e", F.dense_rank().over(Window.partitionBy(*map(col, keys)).orderBy("e")))
-    sampled = draws.join(ranked, [*keys, "e"]).drop("e")
-    both = quiet.join(draws.select(*keys).distinct(), keys, "left_semi").unionByName(sampled)
-    w = Window.partitionBy(*map(col, keys), "b").orderBy(col(key), "k")
-    both = both.withColumn("g", F.lag("f", lag).over(w)).where("g is not null")
-    if recompute:
-        per = Window.partitionBy(*map(col, keys), "b", season_part(season, key))
-        both = both.withColumn("y", F.col("y") - F.avg("y").over(per))
-    out = both.groupBy(*map(col, keys), "b").agg(
-        F.count_if(F.col("g") == 1).alias("n1"), F.count_if(F.col("g") == 0).alias("n0"),
-        (F.avg(F.when(F.col("g") == 1, F.col("y"))) - F.avg(F.when(F.col("g") == 0, F.col("y")))).alias("delta_mean"),
-    )
-    return out.where((F.col("n1") >= min_exposed) & (F.col("n0") >= min_rest))
+
+    def draw(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = _checked(pdf)
+        episodes_of = np.sort(pdf.e.dropna().unique())
+        many = len(episodes_of)
+        if not many:
+            return pd.DataFrame(columns=names)
+        own = pdf[pdf.known].reset_index(drop=True)
+        f, value, part = own.f.to_numpy(), own.y.to_numpy(float), own.s.to_numpy()
+        quiet = np.flatnonzero(f == 0)
+        members = [np.flatnonzero((f == 1) & (own.e == e).to_numpy()) for e in episodes_of]
+        draws, found = hashed_draws(seed, pdf["__ident"].iloc[0], 2, np.arange(1, replicates + 1), many, many), []
+        for b, chosen in enumerate(draws, 1):
+            at = np.concatenate([quiet, *[members[e] for e in chosen]])
+            at = np.sort(at, kind="stable")  # by week; a week that is drawn twice stands twice
+            now, exposed = at[lag:], f[at[: len(at) - lag]] == 1
+            x = value[now]
+            if recompute:
+                sums, sizes = np.bincount(part[now], x, 54), np.bincount(part[now], minlength=54)
+                x = x - (sums / np.maximum(sizes, 1))[part[now]]
+            n1, n0 = int(exposed.sum()), int((~exposed).sum())
+            if n1 >= min_exposed and n0 >= min_rest:
+                found.append((b, n1, n0, x[exposed].mean() - x[~exposed].mean()))
+        return pd.DataFrame(found, columns=names[len(keys) :]).assign(**{k: pdf[k].iloc[0] for k in keys})[names]
+
+    names = [*keys, "b", "n1", "n0", "delta_mean"]
+    kinds = ", ".join([f"`{k}` {df_type}" for k, df_type in ((k, rows.schema[k].dataType.simpleString()) for k in keys)] + ["b INT, n1 LONG, n0 LONG, delta_mean DOUBLE"])
+    return base.groupBy(*map(col, keys)).applyInPandas(draw, kinds)
 
 
 def audit_summary(rows: DataFrame, entity, x: str = "x") -> DataFrame:
@@ -175,7 +195,7 @@ def extreme_audit(
     known = rows.where("ext_lag is not null")
     weeks = percentile_ci(bootstrap_diff(known, "ext_lag", "y_anom", keys, replicates, seed, key), keys, stem="ci_week")
     eps = percentile_ci(
-        bootstrap_episodes(known, "y", keys, replicates, lag, season, seed, key), keys, stem="ci_episode"
+        bootstrap_episodes(rows, "y", keys, replicates, lag, season, seed, key), keys, stem="ci_episode"
     )
     out = join_nullsafe(join_nullsafe(audit_summary(rows, keys), weeks, keys), eps, keys)
     return out.withColumns({"quantile": F.lit(q), "lag": F.lit(lag), "season": F.lit(season), "seed": F.lit(seed)})
