@@ -138,3 +138,47 @@ def rounded(sql: str, cols: str, digits: int = 6) -> str:
 
 def on(ctes: str, body: str) -> str:
     return f"WITH {ctes} {body}"
+
+
+def inner(sql: str) -> str:
+    """The statement that ``rounded`` wrapped."""
+    return sql.split(") FROM (", 1)[1][:-1]
+
+
+def with_f_tail(sql: str, f: str, d1: str, d2: str, steps: int = 8000, name: str = "p") -> str:
+    """Add the upper tail of Fisher's F by Simpson's rule: with x = atan(sqrt(d1 F / d2)) the density is sin**(d1 - 1) * cos**(d2 - 1)."""
+    value = "pow(sin({x}), d1 - 1) * pow(cos({x}), d2 - 1)"
+    weight = f"CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    low, high = value.format(x=f"th * i / {steps}"), value.format(x=f"(th + (pi() / 2 - th) * i / {steps})")
+    return f"""WITH tb AS (SELECT *, row_number() OVER () AS rid FROM ({sql})),
+tp AS (SELECT rid, ({d1})::DOUBLE AS d1, ({d2})::DOUBLE AS d2, atan(sqrt(({d1})::DOUBLE * ({f}) / ({d2}))) AS th FROM tb),
+tg AS (SELECT *, unnest(range(0, {steps} + 1)) AS i FROM tp WHERE th IS NOT NULL),
+ts AS (SELECT rid, any_value(th) * sum(({weight}) * {low}) AS below, (pi() / 2 - any_value(th)) * sum(({weight}) * {high}) AS above FROM tg GROUP BY rid)
+SELECT tb.* EXCLUDE (rid), above / (below + above) AS {name} FROM tb LEFT JOIN ts ON tb.rid = ts.rid"""
+
+
+def with_normal_tail(sql: str, z: str, steps: int = 8000, name: str = "p") -> str:
+    """Add the two-sided tail of a standard normal statistic by Simpson's rule over the next twelve units."""
+    x = f"(abs({z}) + 12.0::DOUBLE * i / {steps})"
+    weight = f"CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"""WITH tb AS (SELECT *, row_number() OVER () AS rid FROM ({sql})),
+tg AS (SELECT rid, {z}, unnest(range(0, {steps} + 1)) AS i FROM tb WHERE {z} IS NOT NULL),
+ts AS (SELECT rid, 2 / sqrt(2 * pi()) * 12.0::DOUBLE / {steps} / 3 * sum(({weight}) * exp(-{x} * {x} / 2)) AS p FROM tg GROUP BY rid)
+SELECT tb.* EXCLUDE (rid), ts.p AS {name} FROM tb LEFT JOIN ts ON tb.rid = ts.rid"""
+
+
+# Coefficients of the published algorithm AS 241 for normal quantiles (central part, tails down to exp(-25)).
+_CENTRE = ((3.3871328727963666080e0, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3),
+           (1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3, 2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3))
+_TAIL = ((1.42343711074968357734e0, 4.63033784615654529590e0, 5.76949722146069140550e0, 3.64784832476320460504e0, 1.27045825245236838258e0, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4),
+         (1.0, 2.05319162663775882187e0, 1.67638483018380384940e0, 6.89767334985100004550e-1, 1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9))
+
+
+def normal_quantile_sql(p: str) -> str:
+    def ratio(x: str, table) -> str:
+        poly = lambda c: " + ".join(f"{v!r}::DOUBLE * pow({x}, {k})" for k, v in enumerate(c))
+        return f"(({poly(table[0])}) / ({poly(table[1])}))"
+
+    centre = f"(({p}) - 0.5) * " + ratio(f"(0.180625 - (({p}) - 0.5) * (({p}) - 0.5))", _CENTRE)
+    tail = f"sign(({p}) - 0.5) * " + ratio(f"(sqrt(-ln(least({p}, 1 - ({p})))) - 1.6)", _TAIL)
+    return f"CASE WHEN abs(({p}) - 0.5) <= 0.425 THEN {centre} ELSE {tail} END"

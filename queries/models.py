@@ -6,7 +6,7 @@ from weekwise.operators import models as md
 from weekwise.operators.window import add_lags
 
 from . import query
-from .base import FULL, full_panel, on, rounded, scored, tidy
+from .base import FULL, full_panel, inner, normal_quantile_sql, on, rounded, scored, tidy, with_f_tail
 
 TREND = FULL + """,
 trended AS (SELECT *, CAST(week_start - DATE '1995-01-02' AS DOUBLE) / 70 AS trend FROM full_panel)"""
@@ -133,7 +133,10 @@ def normal_quantile_positions(spark, sf):
     return tidy(md.qq_points(full_panel(spark, sf), "exposure", "entity").drop("theoretical").withColumn("i", F.col("i").cast("long")))
 
 
-@query()
+@query(rounded(on(RES, f"""
+  , o AS (SELECT entity, residual AS ordered, row_number() OVER (PARTITION BY entity ORDER BY residual, week_start) AS i, count(*) OVER (PARTITION BY entity) AS n FROM e0),
+  po AS (SELECT *, CASE WHEN i = n THEN pow(0.5, 1.0 / n) WHEN i = 1 THEN 1 - pow(0.5, 1.0 / n) ELSE (i - 0.3175) / (n + 0.365) END::DOUBLE AS position FROM o)
+  SELECT entity, ordered, CAST(i AS INTEGER) AS i, n, position, {normal_quantile_sql("position")} AS theoretical FROM po"""), "ordered position theoretical"))
 def normal_quantile_points(spark, sf):
     return tidy(md.qq_points(residual_rows(spark, sf), "residual", "entity"))
 

@@ -1,5 +1,5 @@
-"""Correlations, tests and effect sizes. p-values need distribution functions that SQL lacks, so the
-SQL counterparts compare every other column; ``*_with_p`` queries carry the p-values."""
+"""Correlations, tests and effect sizes. SQL has no distribution functions; the counterparts of the ``*_with_p`` queries
+integrate the densities numerically."""
 
 from pyspark.sql import functions as F
 
@@ -7,9 +7,9 @@ from weekwise.operators import stats as st
 from weekwise.operators.score import threshold_flags
 from weekwise.operators.window import anomaly
 
-from . import query
+from . import SQL, query
 from .aggregates import ROLLUP, rolled
-from .base import FULL, SCORED, full_panel, on, rounded, scored, table, tidy
+from .base import FULL, SCORED, full_panel, inner, on, rounded, scored, table, tidy, with_f_tail, with_normal_tail
 from .reports import HOT, hot
 
 
@@ -62,7 +62,7 @@ def correlation_test(spark, sf):
     return tidy(st.corr_test(full_panel(spark, sf), "exposure", "outcome", "entity", with_p=False))
 
 
-@query()
+@query(rounded(with_f_tail(on(FULL, CORR_T), "t * t", "1", "n - 2"), "r t p"))
 def correlation_test_with_p(spark, sf):
     return tidy(st.corr_test(full_panel(spark, sf), "exposure", "outcome", "entity"))
 
@@ -76,7 +76,7 @@ def linear_fit(spark, sf):
     return tidy(st.linreg(full_panel(spark, sf), "share", "exposure", "entity", with_p=False))
 
 
-@query()
+@query(rounded(with_f_tail(inner(SQL["linear_fit"]), "t * t", "1", "n - 2"), "slope intercept r stderr t p"))
 def linear_fit_with_p(spark, sf):
     return tidy(st.linreg(full_panel(spark, sf), "share", "exposure", "entity"))
 
@@ -96,10 +96,14 @@ def anova_by_entity(spark, sf):
     return tidy(st.anova(scored(spark, sf), "level", "peak", "entity", with_p=False), 4)
 
 
-@query()
+_LABELS = """SELECT *, CASE WHEN eta2 >= 0.14 THEN 'large' WHEN eta2 >= 0.06 THEN 'medium' WHEN eta2 >= 0.01 THEN 'small' WHEN eta2 IS NOT NULL THEN 'negligible' END AS effect,
+  CASE WHEN p < 0.001 THEN 'p<0.001' WHEN p < 0.01 THEN 'p<0.01' WHEN p < 0.05 THEN 'p<0.05' WHEN p IS NOT NULL THEN 'n.s.' END AS significance FROM ({})"""
+
+
+@query(rounded(_LABELS.format(with_f_tail(inner(SQL["anova_by_entity"]), "f", "k - 1", "n - k")), "ss_between ss_within ss_total f eta2 p", 4))
 def anova_by_entity_with_p(spark, sf):
     out = st.anova(scored(spark, sf), "level", "peak", "entity")
-    return tidy(out.withColumns({"effect": st.effect_label("eta2"), "significance": st.significance_label("p")}))
+    return tidy(out.withColumns({"effect": st.effect_label("eta2"), "significance": st.significance_label("p")}), 4)
 
 
 @query(rounded(on(SCORED, _anova_sql("scored", "", "level", "peak")), "ss_between ss_within ss_total f eta2", 4))
@@ -131,7 +135,7 @@ def two_sample_t(spark, sf):
     return tidy(st.ttest(hot(spark, sf), "heat", "outcome", "entity", with_p=False))
 
 
-@query()
+@query(rounded(with_f_tail(inner(SQL["two_sample_t"]), "t * t", "1", "dof"), "m1 m0 v1 v0 delta dof t p"))
 def two_sample_t_with_p(spark, sf):
     return tidy(st.ttest(hot(spark, sf), "heat", "outcome", "entity"))
 
@@ -149,7 +153,7 @@ def pairwise_level_tests(spark, sf):
     return tidy(st.pairwise_ttests(scored(spark, sf), "level", "outcome", with_p=False))
 
 
-@query()
+@query(rounded(with_f_tail(f"SELECT * FROM ({inner(SQL['pairwise_level_tests'])}) WHERE pair LIKE 'intense vs%'", "t * t", "1", "dof"), "m1 m0 v1 v0 delta dof t p"))
 def intense_against_each_level(spark, sf):
     return tidy(st.pairwise_ttests(scored(spark, sf), "level", "outcome", against="intense"))
 
@@ -180,7 +184,7 @@ def welch_extremes(spark, sf):
     return tidy(st.welch_table(extremes(spark, sf), ["p90", "p95"], ["outcome", "outcome_lead1"], with_p=False))
 
 
-@query()
+@query(rounded(with_f_tail(f"SELECT * EXCLUDE (median1, median0) FROM ({inner(SQL['welch_extremes'])})", "t * t", "1", "dof"), "m1 m0 v1 v0 delta dof t p"))
 def welch_extremes_with_p(spark, sf):
     return tidy(st.welch_table(extremes(spark, sf), ["p90", "p95"], ["outcome", "outcome_lead1"], medians=False))
 
@@ -199,7 +203,19 @@ def mann_whitney(spark, sf):
     return tidy(st.mannwhitney(x, "f", "l_quantity", "l_linestatus", with_p=False))
 
 
-@query()
+def _mann_whitney_sql(ctes: str, by: str, src: str, flag: str, y: str) -> str:
+    return on(ctes, f"""
+  , mx AS (SELECT {by}, {flag} AS f, {y} AS x FROM {src} WHERE {flag} IS NOT NULL AND {y} IS NOT NULL),
+  mr AS (SELECT *, rank() OVER (PARTITION BY {by} ORDER BY x) + (count(*) OVER (PARTITION BY {by}, x) - 1) / 2 AS rk FROM mx),
+  mc AS (SELECT {by}, sum(n::DOUBLE * (n::DOUBLE * n - 1)) AS ties FROM (SELECT {by}, x, count(*) AS n FROM mx GROUP BY 1, 2) GROUP BY 1),
+  mu AS (SELECT mr.{by}, count(*) FILTER (WHERE f = 1) AS n1, count(*) FILTER (WHERE f = 0) AS n0,
+    sum(rk) FILTER (WHERE f = 1) - count(*) FILTER (WHERE f = 1) * (count(*) FILTER (WHERE f = 1) + 1) / 2 AS u, max(ties) AS ties
+    FROM mr JOIN mc ON mr.{by} = mc.{by} GROUP BY 1)
+  SELECT {by}, n1, n0, u, greatest(abs(u - n1 * n0 / 2) - 0.5, 0)
+    / sqrt(n1 * n0 / 12 * ((n1 + n0 + 1) - ties / ((n1 + n0)::DOUBLE * (n1 + n0 - 1)))) AS z FROM mu""")
+
+
+@query(rounded(with_normal_tail(_mann_whitney_sql(HOT, "entity", "hot", "heat", "outcome"), "z"), "u z p"))
 def mann_whitney_with_p(spark, sf):
     return tidy(st.mannwhitney(hot(spark, sf), "heat", "outcome", "entity"))
 

@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType
 
 from ._util import as_list, col, join_nullsafe
 from .aggregate import group_stat_back
-from .pvalues import f_upper, p_chi2_2, t_critical, t_two_sided
+from .pvalues import f_upper, normal_quantile, p_chi2_2, t_critical, t_two_sided
 from .report import bias_corrected_skew
 from .window import by_entity
 
@@ -184,7 +182,7 @@ def durbin_watson(df: DataFrame, entity, residual: str = "residual", key: str =
     )
     return out.withColumn(
         "autocorrelation",
-        F.when(F.col("dw") < 1.5, "positive").when(F.col("dw") > 2.5, "negative").otherwise("none"),
+        F.when(F.col("dw") < 1.5, "positive").when(F.col("dw") > 2.5, "negative").when(F.col("dw").isNotNull(), "none"),
     )
 
 
@@ -198,12 +196,6 @@ def compare_models(models: dict[str, DataFrame], by=()) -> DataFrame:
     ])
 
 
-@F.pandas_udf(DoubleType())
-def _normal_quantile(p: pd.Series) -> pd.Series:
-    inv = NormalDist().inv_cdf
-    return p.map(lambda v: inv(v) if 0 < v < 1 else None)
-
-
 def qq_points(df: DataFrame, e: str, entity, tie: str = "week_start") -> DataFrame:
     """Ordered values of each entity against normal order-statistic medians."""
     keys = as_list(entity)
@@ -217,7 +209,7 @@ def qq_points(df: DataFrame, e: str, entity, tie: str = "week_start") -> DataFra
         .when(F.col("i") == 1, 1 - edge)
         .otherwise((F.col("i") - 0.3175) / (F.col("n") + 0.365))
     )
-    return out.withColumn("position", position).withColumn("theoretical", _normal_quantile("position"))
+    return out.withColumn("position", position).withColumn("theoretical", normal_quantile("position"))
 
 
 def jarque_bera(df: DataFrame, e: str, by=()) -> DataFrame:

@@ -1,91 +1,178 @@
 """Tail probabilities for test statistics.
 
-Spark has no distribution functions, so these few are vectorised pandas UDFs. They are applied to
-*aggregated* rows only (one per test), never to raw data.
+Spark has no distribution functions, so these are pandas UDFs that work on whole columns at once. They are applied to
+*aggregated* rows only (one per test), never to raw data. Series and fractions run until they have converged, however many
+terms that takes, and large arguments are handled by differences that do not cancel.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
 
-
-def _beta_fraction(a: float, b: float, x: float) -> float:
-    """Continued fraction of the incomplete beta function (modified Lentz evaluation)."""
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    value = d
-    for m in range(1, 1000):
-        for step in (
-            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-        ):
-            d = 1.0 + step * d
-            c = 1.0 + step / c
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = c if abs(c) > tiny else tiny
-            value *= c * d
-        if abs(c * d - 1.0) < 1e-15:
-            break
+STEPS = 20_000_000  # a fraction that has not converged by then is an error, never a result
+
+
+def stirling_rest(a: np.ndarray) -> np.ndarray:
+    """log gamma(a) minus ((a - 1/2) log a - a + log(2 pi) / 2), without cancellation for large ``a``."""
+    a = np.asarray(a, float)
+    shift, z = np.zeros_like(a), a.copy()
+    for _ in range(12):  # raise small arguments: rest(z) = rest(z + 1) + (z + 1/2) log(1 + 1/z) - 1
+        low = z < 12
+        shift = np.where(low, shift + (z + 0.5) * np.log1p(1 / z) - 1, shift)
+        z = np.where(low, z + 1, z)
+    w = 1 / (z * z)
+    series = (1 / 12 - w * (1 / 360 - w * (1 / 1260 - w * (1 / 1680 - w * (1 / 1188 - w * 691 / 360360))))) / z
+    return shift + series
+
+
+def beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """I_x(a, b) over x**a * y**b / B(a, b), for y = 1 - x and gap = (a + b) * y - b >= 0.
+
+    The continued fraction of DiDonato and Morris (1992), which never subtracts x from its mean.
+    """
+    value = np.full(len(a), np.nan)
+    at, n = np.arange(len(a)), 0
+    first = (1 + gap) / (1 + 1 / a)
+    top, low, ratio = np.zeros(len(a)), 1 / first, 1 / first
+    while len(at):
+        n += 1
+        if n > STEPS:
+            raise ArithmeticError("the incomplete beta function did not converge")
+        even = a + 2 * n - 1
+        alpha = (a + n - 1) * (a + b + n - 1) * n * (b - n) * (x / even) ** 2
+        beta = n + n * (b - n) * x / even + (a + n) / (a + 1 + 2 * n) * (1 + gap + n * (1 + y))
+        # both sequences are divided by the last denominator, so they stay near one
+        bottom = alpha * low + beta
+        following = (alpha * top + beta * ratio) / bottom
+        done = np.abs(following - ratio) <= 2e-16 * np.abs(following)
+        top, low, ratio = ratio / bottom, 1 / bottom, following
+        if done.any():
+            value[at[done]] = ratio[done]
+            left = ~done
+            at, a, b, x, y, gap, top, low, ratio = (v[left] for v in (at, a, b, x, y, gap, top, low, ratio))
     return value
 
 
+def f_tail(f, d1, d2) -> np.ndarray:
+    """Upper tail of Fisher's F for arrays; NaN where an argument is missing, infinite or out of range."""
+    f, d1, d2 = (np.array(v, float) for v in np.broadcast_arrays(f, d1, d2))
+    out = np.full(f.shape, np.nan)
+    ok = np.isfinite(f) & np.isfinite(d1) & np.isfinite(d2) & (f >= 0) & (d1 > 0) & (d2 > 0)
+    out[ok & (f == 0)] = 1.0
+    ok &= f > 0
+    f, d1, d2 = f[ok], d1[ok], d2[ok]
+    a, b = d2 / 2, d1 / 2
+    below, above = d2 / (d2 + d1 * f), d1 * f / (d2 + d1 * f)
+    # x and 1 - x against the mean of the beta distribution: both logarithms keep their digits when a and b are large
+    drift = np.log1p(d1 * (1 - f) / (d2 + d1 * f))
+    front = np.exp(
+        a * drift + b * (np.log(f) + drift) + 0.5 * (np.log(a) + np.log(b) - np.log(a + b) - np.log(2 * np.pi))
+        + stirling_rest(a + b) - stirling_rest(a) - stirling_rest(b)
+    )
+    got = np.empty(len(f))
+    direct = f >= 1
+    got[direct] = front[direct] * beta_fraction(*(v[direct] for v in (a, b, below, above, b * d2 * (f - 1) / (d2 + d1 * f))))
+    other = ~direct
+    got[other] = 1 - front[other] * beta_fraction(*(v[other] for v in (b, a, above, below, a * d1 * (1 - f) / (d2 + d1 * f))))
+    out[ok] = got
+    return out
+
+
 def beta_cdf(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function I_x(a, b)."""
-    if not (math.isfinite(a) and math.isfinite(b) and math.isfinite(x)):
-        return math.nan
-    if x <= 0.0:
-        return 0.0
-    if x >= 1.0:
-        return 1.0
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
-    if x < (a + 1.0) / (a + b + 2.0):
-        return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+    if x <= 0.0 or x >= 1.0:
+        return float("nan") if np.isnan(x) else float(x >= 1.0)
+    return float(f_tail([a * (1 - x) / (b * x)], [2 * b], [2 * a])[0])
 
 
 def t_two_sided(t: float, df: float) -> float:
-    return beta_cdf(df / 2.0, 0.5, df / (df + t * t)) if df > 0 else math.nan
+    return float(f_tail([t * t], [1.0], [df])[0])
 
 
 def f_upper(f: float, d1: float, d2: float) -> float:
-    return beta_cdf(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f)) if d1 > 0 and d2 > 0 and f >= 0 else math.nan
+    return float(f_tail([f], [d1], [d2])[0])
 
 
 def t_critical(df: float, level: float = 0.95) -> float:
     """Two-sided critical value of Student's t, by bisection on its tail."""
-    low, high = 0.0, 1e3
-    for _ in range(200):
+    low, high = 0.0, 1.0
+    while t_two_sided(high, df) > 1.0 - level:
+        high *= 2
+    while high - low > 4e-16 * high:
         mid = (low + high) / 2.0
+        if mid in (low, high):
+            break
         low, high = (mid, high) if t_two_sided(mid, df) > 1.0 - level else (low, mid)
     return (low + high) / 2.0
 
 
-def _apply(fn, *cols: pd.Series) -> pd.Series:
-    out = [None if any(pd.isna(v) for v in row) else fn(*map(float, row)) for row in zip(*cols)]
-    return pd.Series(np.array([math.nan if v is None else v for v in out], dtype=float)).replace({np.nan: None})
+# coefficients of the published rational approximation of erfc (W. J. Cody 1969), fixed values
+_ERF = ((3.16112374387056560e00, 1.13864154151050156e02, 3.77485237685302021e02, 3.20937758913846947e03, 1.85777706184603153e-1),
+        (2.36012909523441209e01, 2.44024637934444173e02, 1.28261652607737228e03, 2.84423683343917062e03))
+_MID = ((5.64188496988670089e-1, 8.88314979438837594e0, 6.61191906371416295e01, 2.98635138197400131e02, 8.81952221241769090e02,
+         1.71204761263407058e03, 2.05107837782607147e03, 1.23033935479799725e03, 2.15311535474403846e-8),
+        (1.57449261107098347e01, 1.17693950891312499e02, 5.37181101862009858e02, 1.62138957456669019e03, 3.29079923573345963e03,
+         4.36261909014324716e03, 3.43936767414372164e03, 1.23033935480374942e03))
+_FAR = ((3.05326634961232344e-1, 3.60344899949804439e-1, 1.25781726111229246e-1, 1.60837851487422766e-2, 6.58749161529837803e-4, 1.63153871373020978e-2),
+        (2.56852019228982242e00, 1.87295284992346047e00, 5.27905102951428412e-1, 6.05183413124413191e-2, 2.33520497626869185e-3))
+
+
+def _ratio(x, table):
+    p, q = table
+    top, low = p[-1] * x, x
+    for i in range(len(q) - 1):
+        top, low = (top + p[i]) * x, (low + q[i]) * x
+    return (top + p[len(q) - 1]) / (low + q[-1])
+
+
+def erfc(x) -> np.ndarray:
+    """Complementary error function for arrays of x >= 0."""
+    x = np.asarray(x, float)
+    with np.errstate(all="ignore"):
+        small = 1 - x * _ratio(x * x, _ERF)
+        cut = np.trunc(x * 16) / 16
+        scale = np.exp(-cut * cut) * np.exp(-(x - cut) * (x + cut))
+        middle = scale * _ratio(x, _MID)
+        w = 1 / (x * x)
+        far = scale * (1 / np.sqrt(np.pi) - w * _ratio(w, _FAR)) / x
+        return np.where(x <= 0.46875, small, np.where(x <= 4, middle, far))
+
+
+def _column(out: np.ndarray) -> pd.Series:
+    return pd.Series(out).astype(object).where(~np.isnan(out), None).astype("Float64")
 
 
 @F.pandas_udf(DoubleType())
 def _p_t(t: pd.Series, df: pd.Series) -> pd.Series:
-    return _apply(t_two_sided, t, df)
+    return _column(f_tail(t.astype(float) ** 2, 1.0, df.astype(float)))
 
 
 @F.pandas_udf(DoubleType())
 def _p_f(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return _apply(f_upper, f, d1, d2)
+    return _column(f_tail(f.astype(float), d1.astype(float), d2.astype(float)))
 
 
 @F.pandas_udf(DoubleType())
 def _p_norm(z: pd.Series) -> pd.Series:
-    return _apply(lambda v: math.erfc(abs(v) / math.sqrt(2.0)), z)
+    return _column(erfc(np.abs(z.astype(float).to_numpy()) / np.sqrt(2)))
+
+
+@F.pandas_udf(DoubleType())
+def _normal_quantile(p: pd.Series) -> pd.Series:
+    """Inverse of the normal distribution: a start from the tail's expansion, then Newton steps on the exact tail."""
+    p = p.astype(float).to_numpy()
+    inside = (p > 0) & (p < 1)
+    tail = np.where(inside, np.minimum(p, 1 - p), 0.5)
+    r = np.sqrt(-2 * np.log(tail))
+    z = np.maximum(r - (2.30753 + 0.27061 * r) / (1 + r * (0.99229 + 0.04481 * r)), 0)
+    for _ in range(4):
+        error = erfc(z / np.sqrt(2)) / 2 - tail
+        step = error * np.sqrt(2 * np.pi) * np.exp(z * z / 2)
+        z = np.maximum(z + step / (1 + z * step / 2), 0)
+    return _column(np.where(inside, np.where(p < 0.5, -z, z), np.nan))
 
 
 def _d(c) -> Column:
@@ -107,6 +194,11 @@ def p_norm(z) -> Column:
     return _p_norm(_d(z))
 
 
+def normal_quantile(p) -> Column:
+    """Quantile of the standard normal distribution; NULL outside (0, 1)."""
+    return _normal_quantile(_d(p))
+
+
 def p_chi2_2(x) -> Column:
     """Upper-tail p-value of chi-square with two degrees of freedom."""
     return F.exp(-_d(x) / 2)
