@@ -119,3 +119,8 @@ def test_nan_is_missing(one):
 def test_valid_until(spark):
     df = spark.createDataFrame([(D(2022, 3, 14), "a"), (D(2022, 3, 14), None), (D(2022, 3, 21), "a")], "w date, l string").coalesce(1)
     assert [r[0] for r in df.select(numbers.valid_until("l", "w", "2022-03-18", "blue")).collect()] == ["a", "blue", None]
+
+
+def test_decode_latin_9(one):
+    raw = bytes([0xA4, 0xA6, 0xA8, 0xB4, 0xB8, 0xBC, 0xBD, 0xBE, 0xE9])
+    assert one([bytearray(raw)], text.decode_bytes("x"), "binary") == [raw.decode("iso-8859-15")]

@@ -350,9 +350,61 @@ def test_constant_series_give_null(spark):
     assert flat.r2 is None and flat.n == 6
 
 
-def test_materialize_keeps_rows_and_schema(spark):
-    from weekwise.session import materialize
-
-    df = frame(spark, weeks([1.0, None]))
-    out = materialize(df, "t")
-    assert out.schema.simpleString() == df.schema.simpleString() and set(out.collect()) == set(df.collect())
+def test_ties_never_prefer_a_missing_value(spark):
+    df = spark.createDataFrame([("k", 1, None, "b"), ("k", 1, 10.0, "a"), ("j", 2, 5.0, None), ("j", 2, 7.0, None)], "k string, o int, v double, s string")
+    first = {r.k: r.v for r in dedup.dedup_first(df, "k", "o").collect()}
+    last = {r.k: r.v for r in dedup.dedup_last(df, "k", "o").collect()}
+    assert first == {"k": 10.0, "j": 5.0} and last == {"k": 10.0, "j": 7.0}
+    assert {r.k: r.s for r in dedup.dedup_first(df, "k", "o", ties="s").collect()}["k"] == "a"
+
+
+def test_tails_of_large_samples():
+    import math
+
+    assert pvalues.t_two_sided(2, 1e12) == pytest.approx(math.erfc(math.sqrt(2)), rel=1e-9)
+    assert pvalues.t_two_sided(10, 1e12) == pytest.approx(math.erfc(10 / math.sqrt(2)), rel=1e-8)
+    assert pvalues.f_upper(1, 1e9, 1e10) == pytest.approx(0.5, abs=1e-5) and pvalues.f_upper(1, 1e8, 1e8) == pytest.approx(0.5, abs=1e-9)
+    assert pvalues.t_two_sided(1, 1) == pytest.approx(0.5, rel=1e-12) and pvalues.t_critical(1) == pytest.approx(12.7062047361747, rel=1e-12)
+
+
+def test_unknown_stays_unknown(spark):
+    row = spark.range(1).select(
+        stats.effect_label(F.lit(None).cast("double")).alias("e"), stats.significance_label(F.lit(None).cast("double")).alias("s"),
+        pvalues.p_t(F.lit(None).cast("double"), F.lit(5.0)).alias("p"), pvalues.normal_quantile(F.lit(1.0)).alias("q"),
+    ).first()
+    assert tuple(row) == (None, None, None, None)
+
+
+def test_interpolate_edges_and_runs(spark):
+    from weekwise.operators.clean import interpolate
+
+    df = spark.createDataFrame([("a", i, v, None) for i, v in enumerate([None, 2.0, None, None, 8.0, None])], "entity string, week_start int, v double, w double")
+    rows = interpolate(df, ["v", "w"], "entity").orderBy("week_start").collect()
+    assert [r.v for r in rows] == [2.0, 2.0, 4.0, 6.0, 8.0, 8.0] and {r.w for r in rows} == {0.0}
+
+
+def test_episodes_among_unknown_rows_stay_in_the_draw(spark):
+    """The episode in the first two weeks has no known rows; a draw that picks it alone leaves too few exposed weeks."""
+    flags = [1, 0, 0, 0, 0, 1] + [0] * 44
+    rows = [("a", dt.date(2020, 1, 6) + dt.timedelta(weeks=i), float(i % 7), f, {0: 1, 5: 2}.get(i), flags[i - 2] if i > 1 else None) for i, f in enumerate(flags)]
+    df = spark.createDataFrame(rows, "entity string, week_start date, y double, is_extreme int, episode_id int, ext_lag int")
+    some = resample.bootstrap_episodes(df, "y", "entity", 200, min_exposed=1, min_rest=1).count()
+    every = resample.bootstrap_episodes(df, "y", "entity", 200, min_exposed=0, min_rest=1).count()
+    assert 110 < some < 190 and every == 200  # about three quarters of the draws hold the later episode
+
+
+def test_late_rows_count(spark, tmp_path):
+    from weekwise.streaming import incremental as inc
+
+    measures = {"n": ("count", F.lit(1)), "s": ("sum", F.col("v")), "m": ("mean", F.col("v")), "hi": ("max", F.col("v")), "days": ("days", F.col("ts"))}
+    kinds = {k: v[0] for k, v in measures.items()}
+    D = dt.datetime
+    runs = [[("a", D(2024, 1, 2), 1.0), ("a", D(2024, 6, 5), 2.0)], [("a", D(2024, 1, 3), 5.0), ("a", D(2024, 6, 6), 3.0)], [("a", D(2024, 1, 3), 0.5)]]
+    for k, rows in enumerate(runs):
+        spark.createDataFrame(rows, "e string, ts timestamp_ntz, v double").write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("e string, ts timestamp_ntz, v double").parquet(str(tmp_path / "in"))
+        inc.ingest(stream, "e", "ts", measures, str(tmp_path / "out"), str(tmp_path / "cp"))
+        if k == 1:
+            inc.compact(spark, str(tmp_path / "out"), "e", kinds)
+    got = {r.week_start: (r.n, r.s, r.m, r.hi, r.days) for r in inc.current(spark, str(tmp_path / "out"), "e", kinds).collect()}
+    assert got == {dt.date(2024, 1, 1): (3, 6.5, 6.5 / 3, 5.0, 2), dt.date(2024, 6, 3): (2, 5.0, 2.5, 3.0, 2)}

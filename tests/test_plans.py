@@ -36,6 +36,15 @@ def test_outcome_by_parent(spark):
     assert [tuple(r) for r in feeds.outcome_by_parent(raw, names).collect()] == [("sc_tenerife", D(2020, 12, 21), 1000.0)]
 
 
+def test_outcome_by_parent_keeps_counts_only(spark):
+    schema = "Provincias string, Islas string, `Tipo de dato` string, Periodo string, Total string"
+    rows = [("38 Santa Cruz", None, "Dato base", "2020SM52", "7"), ("38 Santa Cruz", None, "Tasa", "2020SM52", "9,5")]
+    names = spark.createDataFrame([("38 santa cruz", "sc_tenerife")], "alias string, canonical string")
+    assert [tuple(r) for r in feeds.outcome_by_parent(spark.createDataFrame(rows, schema), names).collect()] == [("sc_tenerife", D(2020, 12, 21), 7.0)]
+    with pytest.raises(Exception, match="repeated outcome row"):
+        feeds.outcome_by_parent(spark.createDataFrame(rows[:1] * 2, schema), names).collect()
+
+
 def weather_rows(spark, entity="tenerife", days=range(0, 21), **gap):
     rows = [(entity, str(D(2020, 1, 6) + dt.timedelta(days=i)), "20,5", "25,0", "15,0", "60", "Ip" if i < 7 else "1,5", "1015,0", "1005,0") for i in days]
     return spark.createDataFrame(rows, ["entity", "fecha", "tmed", "tmax", "tmin", "hrMedia", "prec", "presMax", "presMin"])
@@ -103,6 +112,19 @@ def test_alert_feed(spark):
     assert weekly[D(2020, 3, 2)].cap_coverage_week == 0.0 and weekly[D(2020, 3, 9)].cap_heat_yellow_plus_week == 1
 
 
+def test_alert_feed_of_all_entities(spark):
+    fields = ["chunk_key", "path", "info_pos", "identifier", "event", "headline", "description", "severity", "onset", "expires", "areaDesc"]
+    rows = [("k", "p", 0, "1", "polvo", "", "", "Severe", "2020-02-24T06:00:00", "", "La Gomera | El Hierro"),
+            ("k", "p", 0, "2", "temperaturas", "", "", "Moderate", "2020-02-25T06:00:00", "", "El Hierro"),
+            ("k", "p", 0, "3", "polvo", "", "", "Minor", "2020-02-26T06:00:00", "", "nowhere")]
+    alerts = feeds.classify_alerts(spark.createDataFrame(rows, fields))
+    got = {r.entity: (r.cap_dust_level_max_week, r.cap_heat_level_max_week) for r in feeds.alerts_weekly_by_entity(alerts).collect()}
+    assert got == {"gomera": (3, 0), "hierro": (3, 2)}
+    for area in ("gomera", "la_gomera"):
+        rows = feeds.alerts_weekly(alerts, area, "gomera").collect()
+        assert [(r.entity, r.cap_dust_level_max_week) for r in rows] == [("gomera", 3)]
+
+
 def test_dust_events(spark):
     rows = [("30/12/2019", "02/01/2020", "1"), ("01/01/2020", "01/01/2020", "5"), ("20/01/2020", "19/01/2020", "9"), ("27/01/2020", "27/01/2020", "3")]
     out = feeds.dust_weekly(spark.createDataFrame(rows, ["Fecha ini", "Fecha fin", "DAI"])).orderBy("week_start")

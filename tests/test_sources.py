@@ -51,7 +51,7 @@ def test_idempotent_sink(spark, tmp_path):
     files.write_partitioned_idempotent(df, path, resume=True)
     files.write_partitioned_idempotent(df.where("chunk_key = 'k1'").withColumn("v", F.lit(9)), path)
     files.write_partitioned_idempotent(df.withColumn("v", F.lit(0)), path, resume=True)
-    got = {r.chunk_key: r.v for r in files.read_partitioned(spark, path).collect()}
+    got = {r.chunk_key: r.v for r in files.read_chunks(spark, path).collect()}
     assert got == {"k1": 9, "k2": 2}
 
 
@@ -107,3 +107,41 @@ def test_archives(spark, tmp_path):
     raw = spark.read.format("binaryFile").load(str(tmp_path / "x.tar"))
     got = {r.member: r.xml for r in alerts.unpack_archives(raw).collect()}
     assert got == {"day.tar.gz::i1.xml": "<alert>1</alert>", "day.tar.gz::i2.xml": "<alert>ñ</alert>", "plain.xml": "<alert>2</alert>"}
+
+
+def test_files_with_titles_and_repeated_lines(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Station X;\nFecha;v\nStation X;\n1;2\n")
+    (tmp_path / "b.csv").write_text("Station Y;\nFecha;v\nFecha;v\n3;4\n")
+    df = files.read_delimited(spark, str(tmp_path), ["Fecha"], title_rows=1)
+    assert sorted((r.Fecha, r.v) for r in df.collect()) == [("1", "2"), ("3", "4"), ("Fecha", "v"), ("Station X", None)]
+    (tmp_path / "c.csv").write_text("Station Z;\nv;Fecha\n1;2\n")
+    with pytest.raises(ValueError, match="different headers"):
+        files.read_delimited(spark, str(tmp_path), title_rows=1)
+
+
+def test_chunk_that_loses_a_year(spark, tmp_path):
+    path = str(tmp_path / "chunks")
+    df = spark.createDataFrame([(1, 2023, "k1"), (2, 2024, "k1"), (3, 2024, "k2")], "v int, year_onset int, chunk_key string")
+    files.write_partitioned_idempotent(df, path)
+    files.write_partitioned_idempotent(spark.createDataFrame([(9, 2024, "k1")], df.schema), path)
+    assert sorted((r.v, r.year_onset, r.chunk_key) for r in files.read_chunks(spark, path).collect()) == [(3, 2024, "k2"), (9, 2024, "k1")]
+
+
+def test_deep_and_broken_archives(spark):
+    def tar(members):
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as t:
+            for name, data in members:
+                info = tarfile.TarInfo(name)
+                info.size = len(data)
+                t.addfile(info, io.BytesIO(data))
+        return out.getvalue()
+
+    deep = b"<alert>deep</alert>"
+    for level in range(7):
+        deep = gzip.compress(tar([(f"l{level}", deep)]))
+    bad = tar([("ok.xml", b"fine"), ("bad.gz", gzip.compress(bytes(range(256)) * 9)[:60]), ("last.xml", b"\xa4 caf\xe9")])
+    raw = spark.createDataFrame([("d", bytearray(deep)), ("b", bytearray(bad)), ("n", None)], "path string, content binary")
+    got = {(r.path, r.member): (r.xml, r.error) for r in alerts.unpack_archives(raw, batch_bytes=10).collect()}
+    assert got[("d", "::".join(f"l{k}" for k in range(6, -1, -1)))] == ("<alert>deep</alert>", None)
+    assert got[("b", "ok.xml")] == ("fine", None) and got[("b", "last.xml")] == ("€ café", None) and got[("b", "bad.gz")][1]

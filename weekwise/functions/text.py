@@ -103,10 +103,15 @@ def alert_level(severity: ColumnOrName, *texts: ColumnOrName) -> Column:
     return F.greatest(severity_level(severity), colour_level(blob(*texts)))
 
 
+# The eight code points in which ISO-8859-15 differs from ISO-8859-1.
+LATIN_1, LATIN_9 = "¤¦¨´¸¼½¾", "€ŠšŽžŒœŸ"
+
+
 def decode_bytes(c: ColumnOrName) -> Column:
-    """Bytes -> text as UTF-8 when valid, else ISO-8859-1 (which accepts every byte)."""
+    """Bytes -> text as UTF-8 when valid, else ISO-8859-15 (which accepts every byte)."""
     raw = _col(c)
-    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(F.decode(raw, "ISO-8859-1"))
+    latin = F.translate(F.decode(raw, "ISO-8859-1"), LATIN_1, LATIN_9)
+    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(latin)
 
 
 def clean_xml_text(c: ColumnOrName) -> Column:

@@ -137,20 +137,21 @@ def unify_spelling(df: DataFrame, c: str, spellings: Mapping[str, str]) -> DataF
 def interpolate(df: DataFrame, cols: Sequence[str], entity, order: str = "week_start") -> DataFrame:
     """Fill NULLs linearly by row position between neighbours, edges by the nearest value, else 0.
 
-    Works on a panel: one window over the periods of each entity.
+    Works on a panel: two running windows over the periods of each entity, one forwards and one backwards.
     """
-    w = Window.partitionBy(*as_list(entity)).orderBy(order)
-    before = w.rowsBetween(Window.unboundedPreceding, 0)
-    after = w.rowsBetween(0, Window.unboundedFollowing)
-    out = df.withColumn("__i", F.row_number().over(w))
-    for c in cols:
-        v = col(c)
-        at = F.when(v.isNotNull(), F.col("__i"))
-        out = out.withColumns({
-            "__v0": F.last(v, True).over(before), "__i0": F.last(at, True).over(before),
-            "__v1": F.first(v, True).over(after), "__i1": F.first(at, True).over(after),
-        })
-        share = F.try_divide(F.col("__i") - F.col("__i0"), F.col("__i1") - F.col("__i0"))
-        inner = F.col("__v0") + (F.col("__v1") - F.col("__v0")) * share
-        out = out.withColumn(c, F.coalesce(v, inner, "__v0", "__v1", F.lit(0.0)))
-    return out.drop("__i", "__v0", "__v1", "__i0", "__i1")
+    part = Window.partitionBy(*as_list(entity))
+    forward = part.orderBy(col(order).asc()).rowsBetween(Window.unboundedPreceding, 0)
+    backward = part.orderBy(col(order).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    out = df.withColumn("__i", F.row_number().over(part.orderBy(col(order).asc())))
+
+    def pair(c: str) -> Column:
+        return F.when(col(c).isNotNull(), F.struct(F.col("__i").alias("i"), col(c).alias("v")))
+
+    out = out.withColumns({f"__before{k}": F.last(pair(c), True).over(forward) for k, c in enumerate(cols)})
+    out = out.withColumns({f"__after{k}": F.last(pair(c), True).over(backward) for k, c in enumerate(cols)})
+    filled = {}
+    for k, c in enumerate(cols):
+        a, b = F.col(f"__before{k}"), F.col(f"__after{k}")
+        share = F.try_divide(F.col("__i") - a["i"], b["i"] - a["i"])
+        filled[c] = F.coalesce(col(c), a["v"] + (b["v"] - a["v"]) * share, a["v"], b["v"], F.lit(0.0))
+    return out.withColumns(filled).drop("__i", *[f"__{s}{k}" for k in range(len(cols)) for s in ("before", "after")])

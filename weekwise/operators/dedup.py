@@ -1,8 +1,8 @@
 """Deduplication, priority picks, top-k and unions.
 
-The winner of each key is an aggregate (``max``/``min`` of a struct), not a window: partial results
-combine before the shuffle, so a key with a huge number of copies never lands in one task.
-Ties on ``order`` are broken by all remaining columns, which makes the result repeatable.
+The winner of each key is ``row_number() = 1``: Spark keeps one row per key and task before the shuffle, so a
+key with a huge number of copies never lands in one task. Ties on ``order`` go to the row with fewer NULLs, then
+by the remaining columns with NULLs last, which makes the result repeatable and never prefers a missing value.
 """
 
 from __future__ import annotations
@@ -10,32 +10,44 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._util import as_list, col
 
 
-def _winner(df: DataFrame, keys, ranks: list[Column], agg) -> DataFrame:
-    names = as_list(keys)
-    rest = [c for c in df.columns if c not in names]
-    packed = F.struct(*[r.alias(f"__o{i}") for i, r in enumerate(ranks)], F.struct(*map(col, rest)).alias("__rest"))
-    picked = df.groupBy(*map(col, names)).agg(agg(packed).alias("__w"))
-    return picked.select(*map(col, names), "__w.__rest.*").select(*map(col, df.columns))
-
-
 def _columns(order) -> list[Column]:
     return [col(o) if isinstance(o, str) else o for o in ([order] if isinstance(order, (str, Column)) else order)]
 
 
-def dedup_last(df: DataFrame, keys, order) -> DataFrame:
-    """The row of each key that comes last in ``order`` (NULL order values count as earliest)."""
-    return _winner(df, keys, _columns(order), F.max)
+def _ties(df: DataFrame, keys, ties, order_of) -> list[Column]:
+    if ties is not None:
+        return [order_of(c) for c in _columns(ties)]
+    rest = [f.name for f in df.schema if f.name not in keys and f.dataType.typeName() not in ("map", "variant")]
+    if not rest:
+        return []
+    nulls = reduce(lambda a, b: a + b, [col(c).isNull().cast("int") for c in rest])
+    return [nulls.asc(), *[order_of(col(c)) for c in rest]]
+
+
+def _winner(df: DataFrame, keys, ranks: list[Column]) -> DataFrame:
+    w = Window.partitionBy(*map(col, as_list(keys))).orderBy(*ranks)
+    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
 
+def dedup_last(df: DataFrame, keys, order, ties=None) -> DataFrame:
+    """The row of each key that comes last in ``order`` (NULL order values count as earliest).
 
-def dedup_first(df: DataFrame, keys, order) -> DataFrame:
-    """The row of each key that comes first in ``order`` (NULL order values count as latest)."""
-    ranks = [x for o in _columns(order) for x in (o.isNull(), o)]
-    return _winner(df, keys, ranks, F.min)
+    ``ties`` (columns, the last wins, NULLs lose) replaces the default order of equal rows.
+    """
+    return _winner(df, keys, [c.desc_nulls_last() for c in _columns(order)] + _ties(df, as_list(keys), ties, Column.desc_nulls_last))
+
+
+def dedup_first(df: DataFrame, keys, order, ties=None) -> DataFrame:
+    """The row of each key that comes first in ``order`` (NULL order values count as latest).
+
+    ``ties`` (columns, the first wins, NULLs lose) replaces the default order of equal rows.
+    """
+    return _winner(df, keys, [c.asc_nulls_last() for c in _columns(order)] + _ties(df, as_list(keys), ties, Column.asc_nulls_last))
 
 
 def pick_by_priority(df: DataFrame, keys, priority: str, cond: Column | None = None) -> DataFrame:

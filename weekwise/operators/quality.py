@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import NumericType
 
 from ._util import as_list, col, stack_rows
 
@@ -128,7 +129,6 @@ def missing_table(df: DataFrame, cols: Sequence[str] | None = None, by=()) -> Da
     })
 
 
-null_counts = missing_table
 
 
 def missing_by(df: DataFrame, c: str, part: Column, name: str, by=()) -> DataFrame:
@@ -163,7 +163,7 @@ def column_audit(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     types = dict(df.dtypes)
     pairs = stack_rows(df, [], "column", {
         c: {"text": col(c).cast("string"),
-            "zero": (col(c) == 0) if types[c] in ("int", "bigint", "double", "float") else F.lit(False)}
+            "zero": (col(c) == 0) if isinstance(df.schema[c].dataType, NumericType) else F.lit(False)}
         for c in names
     })
     values = pairs.groupBy("column", "text").agg(F.count("*").alias("n"), F.bool_or("zero").alias("zero"))

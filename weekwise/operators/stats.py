@@ -11,7 +11,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weekwise.functions.numbers import LEVELS, ordinal
+from weekwise.functions.numbers import LEVELS
 
 from ._util import add_group_values, as_list, col, join_nullsafe, stack_rows
 from .ordered import ladder, quantiles
@@ -167,12 +167,12 @@ def anova_from_moments(groups: DataFrame, by=(), with_p: bool = True) -> DataFra
 # Conventional bounds of eta squared and of the p-value.
 def effect_label(eta2) -> Column:
     v = F.col(eta2) if isinstance(eta2, str) else eta2
-    return F.when(v >= 0.14, "large").when(v >= 0.06, "medium").when(v >= 0.01, "small").otherwise("negligible")
+    return F.when(v >= 0.14, "large").when(v >= 0.06, "medium").when(v >= 0.01, "small").when(v.isNotNull(), "negligible")
 
 
 def significance_label(p) -> Column:
     v = F.col(p) if isinstance(p, str) else p
-    return F.when(v < 0.001, "p<0.001").when(v < 0.01, "p<0.01").when(v < 0.05, "p<0.05").otherwise("n.s.")
+    return F.when(v < 0.001, "p<0.001").when(v < 0.01, "p<0.01").when(v < 0.05, "p<0.05").when(v.isNotNull(), "n.s.")
 
 
 def _two_sample(out: DataFrame, equal_var: bool, with_p: bool) -> DataFrame:
@@ -415,7 +415,3 @@ def excess_by_lag(df: DataFrame, flags: Sequence[str], y: str, ks: Sequence[int]
                  "diff": F.col(f"__{i}_m1") - F.col(f"__{i}_m0")}
         for i, (f, k) in enumerate(names)
     }).drop("__c")
-
-
-def level_ordinal(df: DataFrame, level: str, name: str, order: Sequence[str] = LEVELS) -> DataFrame:
-    return df.withColumn(name, ordinal(level, order))

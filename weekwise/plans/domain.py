@@ -45,7 +45,7 @@ EVENT_PATTERNS = {
 }
 
 # Place names per entity. "santa cruz" alone is ambiguous between two entities; rows that
-# name "santa cruz de la palma" are told apart in ``plans.alerts``.
+# name "santa cruz de la palma" are told apart in ``feeds.classify_alerts``.
 AREA_KEYWORDS = {
     "tenerife": ("tenerife", "tfe", "santa cruz", "sta cruz", "la laguna", "candelaria", "arona", "granadilla"),
     "gran_canaria": ("gran canaria", "las palmas", "telde", "gáldar", "galdar", "aguimes", "agüimes"),
@@ -56,6 +56,9 @@ AREA_KEYWORDS = {
     "el_hierro": ("el hierro", "hierro", "valverde", "frontera", "el pinar"),
 }
 
+# Areas of alerts whose name is not the id of their entity.
+AREA_ENTITY = {"la_gomera": "gomera", "el_hierro": "hierro"}
+
 # Spellings of the entities.
 ENTITY_ALIASES = {
     "tenerife": ("tfe", "tenerife"),

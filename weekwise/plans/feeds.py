@@ -18,7 +18,7 @@ from weekwise.operators.joins import canonical_entity, nearest_in_day, patch_fro
 from weekwise.operators.score import quantile_flag, tercile_level
 from weekwise.operators.window import detect_gaps
 
-from .domain import AREA_KEYWORDS, EVENT_KEYWORDS, EVENT_PATTERNS
+from .domain import AREA_ENTITY, AREA_KEYWORDS, EVENT_KEYWORDS, EVENT_PATTERNS
 
 KEYS = ["entity", "week_start"]
 
@@ -51,16 +51,23 @@ def outcome_weekly(
 
 def outcome_by_parent(
     raw: DataFrame, parents: DataFrame, parent_col: str = "Provincias", place: str = "Islas",
-    period: str = "Periodo", value: str = "Total", name: str = "deaths",
+    period: str = "Periodo", value: str = "Total", kind: str = "Tipo de dato", base: str = "Dato base", name: str = "deaths",
 ) -> DataFrame:
-    """Outcome of the parent level: rows whose place is blank."""
+    """Outcome counts of the parent level: rows of the base measure type whose place is blank.
+
+    Two rows of one parent and week contradict the feed's contract and raise an error when the result is read.
+    """
     rows = filter_series(raw, place, None)
+    if kind in raw.columns:
+        rows = rows.where(F.trim(col(kind)) == base)
     weekly = canonical_entity(rows, parent_col, parents, "parent").select(
         "parent", iso_period_to_week(col(period)).alias("week_start"), parse_eu_number(col(value)).alias(name)
     )
-    return weekly.where("parent is not null and week_start is not null").groupBy("parent", "week_start").agg(
-        F.max(name).alias(name)
+    one = weekly.where("parent is not null and week_start is not null").groupBy("parent", "week_start").agg(
+        F.count("*").alias("__n"), F.first(name).alias(name)
     )
+    twice = F.raise_error(F.concat(F.lit("repeated outcome row: "), F.col("parent"), F.lit(" "), F.col("week_start").cast("string")))
+    return one.select("parent", "week_start", F.when(F.col("__n") == 1, F.col(name)).otherwise(twice.cast("double")).alias(name))
 
 
 # -- weather ----------------------------------------------------------------------------------------
@@ -114,6 +121,7 @@ def repair_gaps(
 
 # -- air quality ------------------------------------------------------------------------------------
 
+# Names of the pollutants in the weekly tables.
 POLLUTANTS = ("PM10", "PM2.5", "SO2", "NO2", "O3")
 
 
@@ -164,6 +172,7 @@ def visibility_weekly(observations: DataFrame, station_entity: DataFrame, target
         flagged, "entity", "station", "date", {"confirmed": "confirmed", "possible": "possible"}, ["vis_m", "rh_pct"]
     )
     weeks = agg.entity_week_flags(days, "entity", "date", ["confirmed", "possible"], ["vis_m", "rh_pct"])
+    # fixed values: names of the weekly columns
     stems = {f"{s}_{p}_week": f"low_vis_{s}_{p}_week" for s in ("confirmed", "possible") for p in ("days", "any")}
     return weeks.withColumnsRenamed({
         **stems, "any_days_week": "low_vis_any_days_week", "any_any_week": "low_vis_any_week",
@@ -192,18 +201,14 @@ def classify_alerts(flat: DataFrame, areas: dict[str, Sequence[str]] = AREA_KEYW
     return out.withColumns(flags)
 
 
-def alerts_weekly(
-    alerts: DataFrame, area: str, needle: str, start: str | None = None, end: str | None = None
-) -> DataFrame:
-    """Alerts of one area -> complete weekly table of the highest dust and heat levels."""
-    kept = filter_by_flag_or_text(dedup_alerts(alerts), f"has_{area}", "areaDesc", needle).where("onset_dt is not null")
+def _weekly_levels(kept: DataFrame, start: str | None, end: str | None) -> DataFrame:
     if start and end:
         kept = kept.where(
             (F.col("onset_dt") >= F.lit(start).cast("timestamp"))
             & (F.col("onset_dt") < F.date_add(F.lit(end).cast("date"), 1).cast("timestamp"))
         )
     kept = kept.withColumns({
-        "entity": F.lit(area), **event_class(["event", "headline"], EVENT_PATTERNS), "level_score": severity_level("severity"),
+        **event_class(["event", "headline"], EVENT_PATTERNS), "level_score": severity_level("severity"),
     })
     classes = {"cap_heat": "is_heat_event", "cap_dust": "is_dust_event"}
     weekly = agg.alerts_weekly(kept, "entity", "onset_dt", classes).withColumnRenamed("coverage_week", "cap_coverage_week")
@@ -211,6 +216,30 @@ def alerts_weekly(
     return complete_calendar(weekly.drop("days_with_alerts"), "entity", fills=fills)
 
 
+def alerts_weekly(
+    alerts: DataFrame, area: str, needle: str, start: str | None = None, end: str | None = None
+) -> DataFrame:
+    """Alerts of one area -> complete weekly table of the highest dust and heat levels.
+
+    ``area`` is the name of the area or the id of its entity; the result carries the id either way.
+    """
+    area = {entity: name for name, entity in AREA_ENTITY.items()}.get(area, area)
+    kept = filter_by_flag_or_text(dedup_alerts(alerts), f"has_{area}", "areaDesc", needle).where("onset_dt is not null")
+    return _weekly_levels(kept.withColumn("entity", F.lit(AREA_ENTITY.get(area, area))), start, end)
+
+
+def alerts_weekly_by_entity(
+    classified: DataFrame, areas: Sequence[str] = tuple(AREA_KEYWORDS), start: str | None = None, end: str | None = None
+) -> DataFrame:
+    """Classified alerts -> complete weekly table of every entity, from one pass over the alerts.
+
+    An alert that names several areas counts for each of them.
+    """
+    named = F.array_compact(F.array(*[F.when(F.col(f"has_{a}") == 1, F.lit(AREA_ENTITY.get(a, a))) for a in areas]))
+    kept = dedup_alerts(classified).where("onset_dt is not null").withColumn("entity", F.explode(named))
+    return _weekly_levels(kept, start, end)
+
+
 # -- dust events ------------------------------------------------------------------------------------
 
 

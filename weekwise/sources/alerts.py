@@ -5,9 +5,10 @@ from __future__ import annotations
 import gzip
 import io
 import tarfile
+import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weekwise.functions.text import clean_xml_text, decode_bytes
@@ -55,31 +56,54 @@ def flatten_alerts(df: DataFrame, xml: str = "xml", keep: tuple[str, ...] = ("pa
     )
 
 
-def _members(name: str, payload: bytes, depth: int = 0) -> Iterator[tuple[str, bytes]]:
-    """Documents inside a possibly nested tar/gzip payload, with ``outer::inner`` names."""
-    if payload[:2] == b"\x1f\x8b":
-        payload = gzip.decompress(payload)
-    if depth < 4 and tarfile.is_tarfile(io.BytesIO(payload)):
-        with tarfile.open(fileobj=io.BytesIO(payload)) as archive:
-            for member in archive:
-                handle = archive.extractfile(member) if member.isfile() else None
-                if handle is not None:
-                    yield from _members(f"{name}::{member.name}" if name else member.name, handle.read(), depth + 1)
-    else:
-        yield name, payload
+def _members(payload: bytes) -> Iterator[tuple[str, bytes, str | None]]:
+    """Documents inside a tar/gzip payload of any depth, with ``outer::inner`` names.
 
-
-def unpack_archives(df: DataFrame) -> DataFrame:
-    """``binaryFile`` rows -> ``(path, member, xml)``, one archive at a time per task.
-
-    The only step on raw bytes that Spark has no expression for; decoding is native again.
+    A member that cannot be read gives one row with its error; the rest of the archive goes on.
+    """
+    waiting = [("", payload)]
+    while waiting:
+        name, data = waiting.pop()
+        try:
+            while data[:2] == b"\x1f\x8b":
+                data = gzip.decompress(data)
+            if not tarfile.is_tarfile(io.BytesIO(data)):
+                yield name, data, None
+                continue
+            found = []
+            with tarfile.open(fileobj=io.BytesIO(data)) as archive:
+                for member in archive:
+                    handle = archive.extractfile(member) if member.isfile() else None
+                    if handle is not None:
+                        found.append((f"{name}::{member.name}" if name else member.name, handle.read()))
+            waiting += reversed(found)
+        except (OSError, EOFError, zlib.error, tarfile.TarError) as error:
+            yield name, b"", f"{type(error).__name__}: {error}"
+
+
+def unpack_archives(df: DataFrame, batch_bytes: int = 16 << 20) -> DataFrame:
+    """``binaryFile`` rows -> ``(path, member, xml, error)``, one archive after the other in a task.
+
+    The only step on raw bytes that Spark has no expression for; decoding is native again. Results leave in
+    batches of about ``batch_bytes``; the memory of a task is bounded by the largest single archive, unpacked.
     """
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                for member, payload in _members("", bytes(content)):
-                    yield pd.DataFrame({"path": [path], "member": [member], "payload": [payload]})
-
-    raw = df.select("path", "content").mapInPandas(unpack, "path string, member string, payload binary")
-    return raw.select("path", "member", decode_bytes("payload").alias("xml"))
+            for i in range(batch.num_rows):
+                path = batch.column(0)[i].as_py()
+                for member, payload, error in _members(batch.column(1)[i].as_py() or b""):
+                    rows.append({"path": path, "member": member, "payload": payload, "error": error})
+                    size += len(payload)
+                    if size >= batch_bytes:
+                        yield pa.RecordBatch.from_pylist(rows, MEMBERS)
+                        rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, MEMBERS)
+
+    raw = df.select("path", "content").mapInArrow(unpack, "path string, member string, payload binary, error string")
+    return raw.select("path", "member", decode_bytes("payload").alias("xml"), "error")
+
+
+MEMBERS = pa.schema([("path", pa.string()), ("member", pa.string()), ("payload", pa.binary()), ("error", pa.string())])

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 from weekwise.operators._util import as_list, col
 from weekwise.operators.dedup import dedup_last
@@ -40,18 +40,28 @@ def read_delimited(
     """Delimited text with a header line, every column STRING, encoding chosen line by line.
 
     The text source hands over raw bytes, so one read serves UTF-8 (with or without byte-order mark) and
-    Windows-1252/Latin-1 files alike and stays splittable. The header is read once (a one-row job), its
-    names are cleaned and checked against ``required``. ``title_rows`` lines above it are skipped.
+    Windows-1252/Latin-1 files alike and stays splittable. The first lines of *every* file, ``title_rows`` and the header, are found by
+    their place and left out by their place, so a data row that equals one of them stays. The headers must
+    agree, names and order (a small job reads them); they are cleaned and checked against ``required``.
     """
-    lines = spark.read.text(path).select(decode_line(F.col("value")).alias("line"))
-    head = [r["line"] for r in lines.where(F.length(F.trim("line")) > 0).take(title_rows + 1)]
-    if len(head) <= title_rows:
+    lines = spark.read.text(path).select(
+        decode_line(F.col("value")).alias("line"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+    )
+    # numbers rise within a file's first block, and a scan of the same files is cut the same way again
+    w = Window.partitionBy("file").orderBy("at")
+    first = lines.where((F.col("block") == 0) & (F.length(F.trim("line")) > 0)).withColumn("n", F.row_number().over(w))
+    heads = first.where(F.col("n") <= title_rows + 1)
+    found = [r["line"] for r in heads.where(F.col("n") == title_rows + 1).select("line").distinct().limit(100).collect()]
+    headers = {tuple(n.strip().strip(quote).strip() for n in line.split(sep)) for line in found}
+    if not headers:
         raise ValueError(f"{path}: no header line")
-    names = [n.strip().strip(quote).strip() for n in head[-1].split(sep)]
-    schema = StructType([StructField(n, StringType()) for n in names])
-    rows = lines.where(~F.col("line").isin(*head) & (F.length(F.trim("line")) > 0))
+    if len(headers) > 1:
+        raise ValueError(f"{path}: files with different headers: {sorted(headers)[:2]}")
+    (names,) = headers
+    rows = lines.where(F.length(F.trim("line")) > 0).join(heads.select("at"), "at", "left_anti")
     options = {"sep": sep, "quote": quote, "mode": "PERMISSIVE"}
-    ddl = ", ".join(f"`{f.name}` STRING" for f in schema)
+    ddl = ", ".join(f"`{n}` STRING" for n in names)
     out = rows.select(F.inline(F.array(F.from_csv("line", ddl, options))))
     require_columns(out, required, str(path))
     return out
@@ -125,18 +135,26 @@ def write_table(
 def write_partitioned_idempotent(
     df: DataFrame, path: str, year: str = "year_onset", chunk: str = "chunk_key", resume: bool = False
 ) -> None:
-    """Write by year and chunk so that writing a chunk again replaces just that chunk.
+    """Write by year and chunk so that writing a chunk again replaces just that chunk, in all years.
 
-    ``resume=True`` leaves chunks that are already stored untouched and writes only the others.
+    A year that a chunk no longer has is replaced by an empty part. ``resume=True`` leaves chunks that are already stored untouched and
+    writes only the others.
     """
-    if resume:
-        try:
-            stored = df.sparkSession.read.parquet(path).select(chunk).distinct()
-        except Exception as error:  # nothing stored yet
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-        else:
-            df = df.join(stored, chunk, "left_anti")
+    try:
+        stored = df.sparkSession.read.parquet(path).select(year, chunk).distinct()
+    except Exception as error:  # nothing stored yet
+        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+            raise
+        stored = None
+    if stored is not None and resume:
+        df = df.join(stored.select(chunk).distinct(), chunk, "left_anti")
+    elif stored is not None:
+        # a row of NULLs keeps the directory, so that dynamic overwrite replaces what it held
+        old = stored.select(F.col(year).cast(df.schema[year].dataType).alias(year), F.col(chunk).cast(df.schema[chunk].dataType).alias(chunk))
+        gone = old.join(df.select(chunk).distinct(), chunk, "left_semi").join(df.select(year, chunk).distinct(), [year, chunk], "left_anti")
+        df = df.withColumn("__row", F.lit(True)).unionByName(gone.withColumn("__row", F.lit(None).cast("boolean")), allowMissingColumns=True)
+    if "__row" not in df.columns:
+        df = df.withColumn("__row", F.lit(True))
     (
         df.hint("rebalance", year, chunk)
         .write.mode("overwrite")
@@ -144,3 +162,8 @@ def write_partitioned_idempotent(
         .partitionBy(year, chunk)
         .parquet(path)
     )
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a table written by ``write_partitioned_idempotent``."""
+    return spark.read.parquet(path).where(F.col("__row")).drop("__row")
