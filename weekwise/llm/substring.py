@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from ._common import BYTE_VALUE, as_bytes, map_slices, mix, prefix_hash, shared_table, span_hash, word_spans
 from ._repeats import Blocks, anchor_runs, bit_filter, covered, gram_keys, offset_blocks, passes
 
+SLICE_BYTES = 1 << 20  # text that is hashed at a time, at least a whole document
 BLOCKS = "doc_id BIGINT, print BIGINT, start INT, starts INT, core BIGINT, variant BIGINT"
 
 
@@ -49,7 +50,7 @@ def _first_level(rows: DataFrame, window: int) -> DataFrame:
         keys, n = np.unique(gram_keys(prefix, anchor_runs(prefix, begins, ends, gram, window), gram), return_counts=True)
         return pa.RecordBatch.from_arrays([_signed(keys), pa.array(n)], ["key", "n"])
 
-    return map_slices(rows, run, "key BIGINT, n BIGINT", text=2).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    return map_slices(rows, run, "key BIGINT, n BIGINT", text=2, limit=SLICE_BYTES).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
 
 
 def _candidates(prefix: np.ndarray, begins: np.ndarray, ends: np.ndarray, window: int, bits: np.ndarray) -> Blocks:
@@ -78,7 +79,7 @@ def earliest(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
             ["doc_id", "print", "start", "starts", "core", "variant"],
         )
 
-    blocks = shared_table(map_slices(rows, find, BLOCKS, text=2), "blocks")
+    blocks = shared_table(map_slices(rows, find, BLOCKS, text=2, limit=SLICE_BYTES), "blocks")
     variants = blocks.groupBy("core", "variant").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("low"), F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "start")).alias("spot")
     )
@@ -107,7 +108,7 @@ def earliest(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
         return pa.RecordBatch.from_arrays([_signed(b.core[chosen]), _signed(b.variant[chosen]), hashes], ["core", "variant", "hashes"])
 
     # the filter may let a block pass twice: one of a variant's is enough
-    pieces = map_slices(rows, take_apart, "core BIGINT, variant BIGINT, hashes ARRAY<BIGINT>", text=2).dropDuplicates(["core", "variant"])
+    pieces = map_slices(rows, take_apart, "core BIGINT, variant BIGINT, hashes ARRAY<BIGINT>", text=2, limit=SLICE_BYTES).dropDuplicates(["core", "variant"])
     windows = shared_table(
         pieces.join(mixed.select("core", "variant", "low"), ["core", "variant"]).select("core", "variant", "low", F.posexplode("hashes").alias("at", "hash")), "windows"
     )

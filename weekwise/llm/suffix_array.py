@@ -19,6 +19,7 @@ from ._repeats import Blocks, anchor_runs, bit_filter, covered, gram_keys, offse
 GRAM, GRID = 64, 128
 SORT_BYTES = 1 << 19  # bytes of text that one suffix array is built over, at least a whole group
 HOT_VARIANTS = 1_500  # groups of more variants are told apart by the hash of each whole window instead
+SLICE_BYTES = 1 << 20  # text that is hashed at a time, at least a whole document
 BLOCKS = "doc_id BIGINT, print BIGINT, start INT, starts INT, core BIGINT, variant BIGINT"
 
 
@@ -149,7 +150,7 @@ def _anchor_counts(rows: DataFrame, window: int) -> DataFrame:
         keys, n = np.unique(gram_keys(prefix, anchor_runs(prefix, begins, ends, GRAM, window), GRAM), return_counts=True)
         return pa.RecordBatch.from_arrays([_signed(keys), pa.array(n)], ["key", "n"])
 
-    return map_slices(rows, run, "key BIGINT, n BIGINT", text=2).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    return map_slices(rows, run, "key BIGINT, n BIGINT", text=2, limit=SLICE_BYTES).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
 
 
 def _likely_blocks(prefix: np.ndarray, begins: np.ndarray, ends: np.ndarray, window: int, bits: np.ndarray) -> Blocks:
@@ -178,7 +179,7 @@ def repeated_blocks(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame]
             ["doc_id", "print", "start", "starts", "core", "variant"],
         )
 
-    blocks = shared_table(map_slices(rows, find, BLOCKS, text=2), "blocks")
+    blocks = shared_table(map_slices(rows, find, BLOCKS, text=2, limit=SLICE_BYTES), "blocks")
     variants = blocks.groupBy("core", "variant").agg(
         F.count("*").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "start")).alias("spot"), F.max("starts").alias("starts")
     )
@@ -219,7 +220,7 @@ def repeated_blocks(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame]
             ["core", "variant", "part", "hashes"],
         )
 
-    pieces = shared_table(map_slices(rows, cut, "core BIGINT, variant BIGINT, part BINARY, hashes ARRAY<BIGINT>", text=2), "pieces")
+    pieces = shared_table(map_slices(rows, cut, "core BIGINT, variant BIGINT, part BINARY, hashes ARRAY<BIGINT>", text=2, limit=SLICE_BYTES), "pieces")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: list[tuple[int, int]] = []
