@@ -32,6 +32,7 @@ def load_all() -> None:
         aggregates,
         chains,
         cleaning,
+        contracts,
         joining,
         models,
         ordering,

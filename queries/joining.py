@@ -176,3 +176,18 @@ def gap_repair_by_station_priority(spark, sf):
         "n_days": F.count("*"), "coverage": F.least(F.count("*") / 7, F.lit(1.0)), "exposure": F.avg("l_extendedprice") / 100})
     ranked = stations.withColumn("priority", -F.ascii("station"))
     return tidy(repair_gaps(weekly, ranked), 4)
+
+
+@query(on(SCORED, "SELECT f.entity, f.week_start, f.outcome, s.level FROM full_panel f JOIN scored s ON f.entity = s.entity AND f.week_start = s.week_start"))
+def one_to_one_join(spark, sf):
+    """A join whose keys are checked on both sides; a repeated key on either side is an error before any row is joined."""
+    from weekwise.operators.quality import assert_one_to_one
+
+    keys = ["entity", "week_start"]
+    a, b = full_panel(spark, sf).select(*keys, "outcome"), scored(spark, sf).select(*keys, "level")
+    assert_one_to_one(a, b, keys)
+    try:
+        assert_one_to_one(a, b.unionByName(b.limit(1)), keys)
+    except ValueError:
+        return jn.join_inner(a, b, keys)
+    raise AssertionError("a repeated key went unnoticed")

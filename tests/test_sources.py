@@ -145,3 +145,9 @@ def test_deep_and_broken_archives(spark):
     got = {(r.path, r.member): (r.xml, r.error) for r in alerts.unpack_archives(raw, batch_bytes=10).collect()}
     assert got[("d", "::".join(f"l{k}" for k in range(6, -1, -1)))] == ("<alert>deep</alert>", None)
     assert got[("b", "ok.xml")] == ("fine", None) and got[("b", "last.xml")] == ("€ café", None) and got[("b", "bad.gz")][1]
+
+
+def test_headers_of_all_pollutants(spark):
+    names = ["Fecha", "HORA", "PM10 (µg/m3)", "PM2,5", "Dióxido de azufre", "NO", "NO2", "NOx", "NO3", "Ozono troposférico", "Norte"]
+    got = records.normalize_headers(spark.createDataFrame([tuple("x" * len(names))], names)).columns
+    assert got == ["date", "hour", "PM10", "PM2.5", "SO2", "NO", "NO2", "NOx", "NO3", "O3", "Norte"]

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame, functions as F
 
 from weekwise.operators import aggregate as agg
-from weekwise.operators.calendar import complete_calendar
 from weekwise.operators.clean import drop_helpers, interpolate
 from weekwise.operators.joins import attach, build_master
+from weekwise.operators.quality import check_unique
 from weekwise.operators.score import Rule, score_and_level
 
 from .domain import PERCENTILE_CUTS, PERCENTILE_RULES, SCORE_RULES
@@ -17,13 +18,29 @@ from .domain import PERCENTILE_CUTS, PERCENTILE_RULES, SCORE_RULES
 KEYS = ["entity", "week_start"]
 
 
-def master_panel(outcome: DataFrame, feeds: Sequence[DataFrame], entities: DataFrame, start: str, end: str) -> DataFrame:
-    """Every expected week of every entity with all feeds, entity code and year; feeds keep all columns."""
-    calendar = complete_calendar(drop_helpers(outcome), "entity", start=start, end=end)
-    joined = build_master(calendar, [drop_helpers(f) for f in feeds], KEYS)
-    return joined.join(entities.select("entity", F.col("code").alias("entity_code")), "entity").withColumn(
-        "year", F.year("week_start")
-    )
+def master_panel(outcome: DataFrame, feeds: Sequence[DataFrame], entities: DataFrame, start: str, end: str, check: bool = True) -> DataFrame:
+    """Every expected week of every entity with all feeds, entity code and year; feeds keep all columns.
+
+    The calendar comes from the entity table, so an entity without outcome rows keeps its weeks. With ``check`` a
+    key that repeats in a feed is an error (one small job per feed, which stops at the first hit).
+    """
+    parts = [drop_helpers(f) for f in (outcome, *feeds)]
+    for k, part in enumerate(parts if check else []):
+        if not check_unique(part, KEYS).isEmpty():
+            raise ValueError(f"feed {k} has repeated weeks")
+    weeks = F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"), F.make_dt_interval(days=F.lit(7)))
+    calendar = entities.select("entity", F.col("code").alias("entity_code"), F.explode(weeks).alias("week_start"))
+    return build_master(calendar, parts, KEYS).withColumn("year", F.year("week_start"))
+
+
+def assert_master(panel: DataFrame, start: str, end: str) -> DataFrame:
+    """Raise unless every entity has each Monday of start..end exactly once (runs one job); returns ``panel``."""
+    expected = (date.fromisoformat(end) - date.fromisoformat(start)).days // 7 + 1
+    bad = panel.groupBy("entity").agg(F.count("*").alias("n"), F.count_distinct("week_start").alias("weeks"), F.count_if(F.weekday("week_start") != 0).alias("odd"))
+    wrong = bad.where((F.col("n") != expected) | (F.col("weeks") != expected) | (F.col("odd") > 0)).limit(5).collect()
+    if wrong:
+        raise ValueError(f"expected {expected} weeks per entity: {[tuple(r) for r in wrong]}")
+    return panel
 
 
 def tmax_anomaly(master: DataFrame, event_level: str = "dust_level_week") -> DataFrame:

@@ -68,10 +68,13 @@ HEADER_RULES = {
     "date": r"^(fecha|date|dia)$",
     "hour": r"^(hora|hour|horas)$",
     "PM10": r"^pm10",
-    "PM2.5": r"^pm25",
-    "SO2": r"^so2",
+    "PM2.5": r"^pm2.*5",
+    "SO2": r"^so2|dioxido.*azufre",
     "NO2": r"^no2",
-    "O3": r"^o3",
+    "NOx": r"^nox",
+    "NO3": r"^no3",
+    "NO": r"^no(ugm.*)?$",
+    "O3": r"^o3|ozono",
 }
 
 
