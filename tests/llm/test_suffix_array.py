@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
-from weekwise.llm import suffix_array
+from weekwise.llm import _repeats, suffix_array
 from weekwise.llm.registry import QUERIES
 
 
@@ -69,3 +69,24 @@ def test_query(spark):
     got = sorted(map(tuple, QUERIES["op3_suffix_array_dedup"](spark, sf).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()))
     assert got == [(i, *x) for (i, _), x in zip(texts, plain([t for _, t in texts], 400), strict=True)]
     assert sum(g[2] for g in got) > 0
+
+
+def test_full_filter(docs, monkeypatch):
+    """However full the filter is, one block of each variant of a mixed group is sorted and no copy of it."""
+    rng = np.random.default_rng(11)
+    long, other = words(rng, 700), words(rng, 700)
+    edited = long.split(" ")
+    edited[300] = "EDIT"
+    texts = [long] * 30 + [other] * 30 + [" ".join(edited), words(rng, 20) + long[500:1500]]
+    tables, written = {}, suffix_array.shared_table
+
+    def keep(df, name):
+        tables[name] = written(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(suffix_array, "shared_table", keep)
+    monkeypatch.setattr(_repeats, "FILTER_BITS", 6)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffix_array.remove_repeats(docs(texts)).collect())
+    assert got == [(i, *x) for i, x in enumerate(plain(texts, 400))]
+    pieces = sorted((r.core, r.variant) for r in tables["pieces"].collect())
+    assert pieces == sorted((r.core, r.variant) for r in tables["variants"].where("kinds > 1").collect())

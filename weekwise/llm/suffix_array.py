@@ -220,7 +220,11 @@ def repeated_blocks(rows: DataFrame, window: int) -> tuple[DataFrame, DataFrame]
             ["core", "variant", "part", "hashes"],
         )
 
-    pieces = shared_table(map_slices(rows, cut, "core BIGINT, variant BIGINT, part BINARY, hashes ARRAY<BIGINT>", text=2, limit=SLICE_BYTES), "pieces")
+    # the filter may let other copies pass, also of groups of one variant: one block of each variant of a mixed group is enough
+    found = map_slices(rows, cut, "core BIGINT, variant BIGINT, part BINARY, hashes ARRAY<BIGINT>", text=2, limit=SLICE_BYTES)
+    pieces = shared_table(
+        found.dropDuplicates(["core", "variant"]).join(mixed.select("core", "variant"), ["core", "variant"], "left_semi"), "pieces"
+    )
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: list[tuple[int, int]] = []
