@@ -53,3 +53,16 @@ def test_rows(spark):
     assert sorted((str(r.page_id), r.n_chars == len(r.text)) for r in rows) == [("1", True), ("1", True), ("None", True)]
     assert max(r.n_chars for r in rows) == 2 * 80000 - 1
     assert html.extract(frame.limit(0)).count() == 0
+
+
+def test_wrappers_and_captions():
+    """Captions and text below a wrapper that only tells of the layout belong to the article; what stands around it still goes."""
+    article = "<p>One two three.</p><figure><img src=x><figcaption>A caption.</figcaption></figure>"
+    want = "One two three.\nA caption."
+    for page in (
+        f"<article>{article}</article>", f"<main class='content has-sidebar'>{article}</main>", f"<div class='layout no-comments'><article>{article}</article></div>",
+        f"<div id='share-wrap'><article class='share'>{article}</article></div>", f"<div class='with-widget'><main>{article}</main></div>",
+    ):
+        assert html.main_text(page, TREE) == want, page
+        rest = "<div class='comments'><article><p>I like it very much, thanks</p></article></div><div class='sidebar'>Side</div>"
+        assert html.main_text(page + rest, TREE) == want, page

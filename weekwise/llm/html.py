@@ -22,7 +22,7 @@ from ._common import map_slices
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr output progress q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 RAW = frozenset("script style template noscript svg math iframe object applet canvas audio video select datalist textarea button title".split())
 UNSEEN = frozenset("script style template noscript".split())
-CHROME_TAGS = frozenset("nav footer aside form menu dialog figcaption fieldset".split())
+CHROME_TAGS = frozenset("nav footer aside form menu dialog fieldset".split())
 ARTICLE_TAGS = frozenset("article main".split())
 TRACKED = CHROME_TAGS | ARTICLE_TAGS | frozenset("div section header ul ol dl li table figure details body".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
@@ -32,6 +32,7 @@ CHROME_WORDS = frozenset(
     "promotion recommended related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
 ARTICLE_WORDS = frozenset("article articlebody content entry post story".split())
+LAYOUT_WORDS = frozenset("has no with without".split())  # has-sidebar tells what stands beside, not what the container is
 
 ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
 TOKEN = re.compile(
@@ -49,9 +50,9 @@ class Block(NamedTuple):
     chrome: bool
 
 
-def _marks(tag: str, rest: str) -> tuple[bool, bool]:
-    """Whether a container says that it is an article, or that it is something around one."""
-    article, chrome = tag in ARTICLE_TAGS, tag in CHROME_TAGS
+def _marks(tag: str, rest: str) -> tuple[bool, bool, bool]:
+    """Whether a container says that it is an article, that it is something around one by tag or role, and the same by class or id."""
+    article, chrome, worded = tag in ARTICLE_TAGS, tag in CHROME_TAGS, False
     for name, a, b, c in MARK.findall(rest) if rest else ():
         value, name = a or b or c, name.lower()
         if name == "role":
@@ -60,17 +61,19 @@ def _marks(tag: str, rest: str) -> tuple[bool, bool]:
         elif name == "hidden":
             chrome = True
         else:
-            parts = {p.lower() for p in PARTS.findall(value)}
-            chrome |= bool(parts & CHROME_WORDS) and tag != "body"
-            article |= bool(parts & ARTICLE_WORDS) and tag != "body"
-    return article and not chrome, chrome
+            for one in value.split():
+                parts = {p.lower() for p in PARTS.findall(one)}
+                worded |= bool(parts & CHROME_WORDS) and not parts & LAYOUT_WORDS and tag != "body"
+                article |= bool(parts & ARTICLE_WORDS) and tag != "body"
+    return article, chrome, worded
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, with words, words inside links and the marks of their containers."""
     found: list[Block] = []
     text: list[tuple[str, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []
+    opened: set[str] = set()
     at, link, size = 0, False, len(page)
 
     def flush() -> None:
@@ -79,7 +82,7 @@ def blocks(page: str) -> list[Block]:
             if clean:
                 linked = sum(len(entities.unescape(t).split()) for t, inside in text if inside)
                 words = len(clean.split(" "))
-                found.append(Block(clean, words, min(linked, words), any(s[1] for s in stack), any(s[2] for s in stack)))
+                found.append(Block(clean, words, min(linked, words), any(s[1] and not (s[2] or s[3]) for s in stack), any(s[2] or s[3] for s in stack)))
             text.clear()
 
     while at < size:
@@ -113,10 +116,14 @@ def blocks(page: str) -> list[Block]:
         if tag not in TRACKED:
             continue
         if not m["close"]:
-            article, chrome = _marks(tag, m["rest"])
-            if tag == "header" and not any(s[1] for s in stack):
+            article, chrome, worded = _marks(tag, m["rest"])
+            if tag in ARTICLE_TAGS and tag not in opened and opened <= {s[0] for s in stack} and not any(s[2] for s in stack):
+                # the first of the page is its text, whatever words it and the containers around it have
+                opened.add(tag)
+                worded, stack = False, [(*s[:3], False) for s in stack]
+            if tag == "header" and not any(s[1] and not (s[2] or s[3]) for s in stack):
                 chrome = True  # of the page; the header of an article is part of it
-            stack.append((tag, article, chrome))
+            stack.append((tag, article, chrome, worded))
         elif any(s[0] == tag for s in stack):
             while stack.pop()[0] != tag:
                 pass
