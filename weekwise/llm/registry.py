@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, html, katz, oracles, quality, simhash, substring, suffix_array, toxicity, warc
+from . import bpe, decontaminate, divergence, html, katz, oracles, quality, simhash, substring, suffix_array, toxicity, warc
 from ._common import BENCHMARK, DOCUMENTS, LABELS, PAGES, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,7 +85,13 @@ def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(docs, str(public_tokenizers.path("word_bpe_49k.json")), digests=True)
 
 
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(read(spark, sf_dir, "documents", DOCUMENTS))
+
+
 SQL |= {
     "op5_substring_dedup": oracles.SUBSTRING, "op7_quality_rules": oracles.QUALITY,
     "op8_benchmark_decontamination": oracles.CONTAMINATION, "op9_warc_round_trip": oracles.WARC,
+    "op12_source_divergence": oracles.DIVERGENCE,
 }
