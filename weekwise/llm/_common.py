@@ -15,6 +15,7 @@ from weekwise.session import shared_dir
 DOCUMENTS = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
 LABELS = "doc_id BIGINT, quality INT, toxic INT"
 PAGES = "page_id BIGINT, url STRING, html STRING"
+CONVERSATIONS = "conv_id BIGINT, turn BIGINT, role STRING, text STRING"
 BENCHMARK = "item_id BIGINT, text STRING"
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")

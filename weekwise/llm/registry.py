@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, divergence, html, katz, oracles, quality, simhash, substring, suffix_array, toxicity, warc
-from ._common import BENCHMARK, DOCUMENTS, LABELS, PAGES, read
+from . import bpe, decontaminate, divergence, html, katz, mixing, oracles, quality, simhash, substring, suffix_array, toxicity, trie, warc
+from ._common import BENCHMARK, CONVERSATIONS, DOCUMENTS, LABELS, PAGES, read, shared_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -85,11 +85,22 @@ def op10_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(docs, str(public_tokenizers.path("word_bpe_49k.json")), digests=True)
 
 
+@query
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents", DOCUMENTS)).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
 @query
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(read(spark, sf_dir, "documents", DOCUMENTS))
 
 
+@query
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = shared_table(trie.ordered_turns(read(spark, sf_dir, "conversations", CONVERSATIONS)), "turns")
+    return trie.prefix_trie(*trie.with_shared_heads(turns))
+
+
 SQL |= {
     "op5_substring_dedup": oracles.SUBSTRING, "op7_quality_rules": oracles.QUALITY,
     "op8_benchmark_decontamination": oracles.CONTAMINATION, "op9_warc_round_trip": oracles.WARC,
