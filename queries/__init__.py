@@ -42,6 +42,7 @@ def load_all() -> None:
         resampling,
         scalars,
         scoring,
+        series,
         sources,
         statistics,
         windows,

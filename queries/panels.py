@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from weekwise.functions.dates import analysis_window, week_start
 from weekwise.functions.numbers import rate_per
 from weekwise.operators import calendar as cal
-from weekwise.operators import clean
+from weekwise.operators import clean, intervals
 from weekwise.operators.aggregate import weekly_agg
 from weekwise.operators.joins import build_master
 
@@ -135,8 +135,22 @@ def spans(spark, sf):
   SELECT CAST(date_trunc('week', d) AS DATE) AS week_start, count(*) AS event_days FROM (
     SELECT unnest(generate_series(s, e, INTERVAL 1 DAY)) AS d FROM spans WHERE e >= s) GROUP BY 1""")
 def interval_expansion_days(spark, sf):
-    days = cal.expand_intervals(spans(spark, sf), "s", "e")
-    return days.groupBy(week_start("date").alias("week_start")).agg(F.count("*").alias("event_days"))
+    return intervals.interval_days_per_week(spans(spark, sf), [], "s", "e")
+
+
+DAYS_OPEN = f"""WITH {SPANS}
+  SELECT CAST(d AS DATE) AS date, count(*) AS open FROM (
+    SELECT unnest(generate_series(s, e, INTERVAL 1 DAY)) AS d FROM spans WHERE e >= s) GROUP BY 1"""
+
+
+@query(DAYS_OPEN)
+def intervals_open_per_day(spark, sf):
+    return intervals.open_per_day(spans(spark, sf), [], "s", "e")
+
+
+@query(DAYS_OPEN)
+def interval_expansion_rows(spark, sf):
+    return cal.expand_intervals(spans(spark, sf), "s", "e").groupBy("date").agg(F.count("*").alias("open"))
 
 
 @query(f"""WITH {SPANS}

@@ -11,6 +11,7 @@ from weekwise.functions.numbers import LEVELS, ordinal, rate_per, score_to_level
 
 from ._util import add_group_values, as_list, col, join_nullsafe
 from .calendar import expand_intervals
+from .intervals import highest_per_day
 from .ordered import quantiles
 
 _SIMPLE = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum, "count": F.count}
@@ -182,9 +183,8 @@ def event_intensity_weekly(df: DataFrame, entity, start: str, end: str, intensit
 
 
 def event_intensity_daily(df: DataFrame, entity, start: str, end: str, intensity: str) -> DataFrame:
-    """Overlapping interval events -> largest intensity per day."""
-    days = expand_intervals(df.select(*map(col, as_list(entity)), col(start), col(end), col(intensity)), start, end)
-    return days.groupBy(*map(col, as_list(entity)), "date").agg(F.max(col(intensity)).alias(intensity))
+    """Overlapping interval events -> largest intensity per day; two rows are shuffled per event, not one per day."""
+    return highest_per_day(df, entity, start, end, intensity)
 
 
 def ordinal_max(df: DataFrame, by, c: str, order: Sequence[str], name: str) -> DataFrame:

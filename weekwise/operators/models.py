@@ -1,4 +1,4 @@
-"""Least squares per entity from distributed cross-products, and diagnostics of the fit."""
+"""Least squares per entity by a distributed tall-and-skinny QR, and diagnostics of the fit."""
 
 from __future__ import annotations
 
@@ -7,11 +7,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._util import as_list, col, join_nullsafe
 from .aggregate import group_stat_back
-from .pvalues import f_upper, normal_quantile, p_chi2_2, t_critical, t_two_sided
+from .pvalues import f_tail, normal_quantile, p_chi2_2, t_critical
 from .report import bias_corrected_skew
 from .window import by_entity
 
@@ -27,44 +29,98 @@ def one_hot_terms(df: DataFrame, factor: Column, values: Sequence, prefix: str)
     }), names
 
 
-def cross_products(df: DataFrame, cols: Sequence[str], by=()) -> DataFrame:
-    """Per group: n, means and centred cross-products of the columns, over rows complete in all of them.
+FAN = 64  # factors of a group that one task of the first merging round reads, about
+HELD = 64 << 20  # bytes of factors a task holds before it hands them on
 
-    Covariance aggregates merge stably in any order, so nothing has to be centred beforehand.
-    """
-    rows = df.dropna(subset=list(cols))
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    v = [col(c).cast("double") for c in cols]
-    out = rows.groupBy(*map(col, as_list(by))).agg(
-        F.count("*").alias("n"), F.array(*[F.avg(x) for x in v]).alias("means"),
-        F.array(*[F.covar_pop(v[i], v[j]) for i, j in pairs]).alias("cov"),
-    )
-    return out.where("n > 0")
 
+def _merged(blocks: list[np.ndarray], size: int) -> np.ndarray:
+    """The R factor of stacked blocks, as a square matrix."""
+    r = np.linalg.qr(np.vstack(blocks), mode="r")
+    return np.vstack([r, np.zeros((size - len(r), size))]) if len(r) < size else r
+
+
+def r_factors(df: DataFrame, cols: Sequence[str], by=()) -> DataFrame:
+    """Per group: n and the R factor of the matrix (1, cols), over rows complete in all columns.
+
+    Each task reduces the rows of a group to one factor, and a tree of two rounds merges the factors of the tasks, so no task holds the
+    rows of a group. Unlike cross-products a factor keeps the condition of the columns, it does not square it.
+    """
+    keys, size = as_list(by), len(cols) + 1
+    rows = df.dropna(subset=list(cols)).select(*map(col, keys), *[col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(cols)])
 
-def _unpack(cov: np.ndarray, size: int) -> np.ndarray:
-    full = np.zeros((size, size))
-    full[np.triu_indices(size)] = cov
-    return full + np.triu(full, 1).T
+    def reduce_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[int, np.ndarray]] = {}
+        task = TaskContext.get().partitionId() // FAN
 
+        def emit() -> pa.RecordBatch:
+            parts = [pa.array([k[i] for k in held], type=kinds[i]) for i in range(len(keys))]
+            parts += [pa.array([task] * len(held), pa.int32()), pa.array([n for n, _ in held.values()], pa.int64())]
+            parts.append(pa.array([r.ravel() for _, r in held.values()], pa.list_(pa.float64())))
+            held.clear()
+            return pa.RecordBatch.from_arrays(parts, [*(f"__k{i}" for i in range(len(keys))), "__task", "n", "r"])
 
-def _solve(n: int, means: np.ndarray, cov: np.ndarray, terms: list[str], absorbed: int, constant: bool) -> dict:
-    """Least squares from centred moments; the last variable is the outcome."""
-    size = len(terms) + 1
-    s = _unpack(cov, size) * n
-    sxx, sxy, syy = s[:-1, :-1], s[:-1, -1], s[-1, -1]
-    inv = np.linalg.pinv(sxx, hermitian=True)
-    beta = inv @ sxy
-    rank = int(np.linalg.matrix_rank(sxx, hermitian=True)) if len(terms) else 0
-    rss = max(float(syy - beta @ sxy), 0.0)
+        kinds: list[pa.DataType] = []
+        for batch in batches:
+            kinds = [batch.column(i).type for i in range(len(keys))]
+            table = pa.table({f"k{i}": batch.column(i) for i in range(len(keys))} | {"row": np.arange(batch.num_rows)})
+            x = np.column_stack([np.ones(batch.num_rows), *(batch.column(len(keys) + i).to_numpy(zero_copy_only=False) for i in range(len(cols)))])
+            groups = table.group_by([f"k{i}" for i in range(len(keys))], use_threads=False).aggregate([("row", "list")])
+            names = zip(*(groups[f"k{i}"].to_pylist() for i in range(len(keys))), strict=True) if keys else [()] * groups.num_rows
+            for name, at in zip(names, groups["row_list"].to_pylist(), strict=True):
+                n, r = held.get(name, (0, None))
+                held[name] = n + len(at), _merged([x[at]] if r is None else [r, x[at]], size)
+            if len(held) * size * size * 8 > HELD:
+                yield emit()
+        if held:
+            yield emit()
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = _merged([np.asarray(v, float).reshape(size, size) for v in pdf["r"]], size)
+        return pdf.iloc[:1].assign(n=int(pdf["n"].sum()), r=[r.ravel()])
+
+    key_schema = "".join(f"__k{i} {df.schema[k].dataType.simpleString()}, " for i, k in enumerate(keys))
+    schema, ids = f"{key_schema}__task INT, n LONG, r ARRAY<DOUBLE>", [f"__k{i}" for i in range(len(keys))]
+    parts = rows.mapInArrow(reduce_rows, schema)
+    near = parts.groupBy(*ids, "__task").applyInPandas(merge, schema)
+    return near.groupBy(*ids).applyInPandas(merge, schema).drop("__task").withColumnsRenamed({f"__k{i}": k for i, k in enumerate(keys)})
+
+
+def _centred(r: np.ndarray, n: int) -> np.ndarray:
+    """The factor of the centred columns; what is rounding noise next to a column's mean is nothing."""
+    s = r[1:, 1:].copy()
+    noise = np.finfo(float).eps * max(n, 16) * np.abs(r[0, 1:])
+    s[:, np.sqrt((s * s).sum(0)) <= noise] = 0
+    return s
+
+
+def _svd(s: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(P, Q, rank) with P Q the pseudo-inverse of ``s``: with scaled columns if they are independent, else of least norm."""
+    norms = np.sqrt((s * s).sum(0))
+    least = np.finfo(float).eps * max(n, len(s), 16)
+    for scale in (np.where(norms > 0, norms, 1.0), np.ones(len(norms))):
+        u, d, vt = np.linalg.svd(s / scale)
+        keep = d > least * d.max(initial=0)
+        if keep.all() or (scale == 1).all():
+            break
+    return (vt.T / scale[:, None])[:, keep] / d[keep], u.T[keep], int(keep.sum())
+
+
+def _solve(n: int, r: np.ndarray, terms: list[str], absorbed: int, constant: bool) -> dict:
+    """Least squares from the factor of (1, terms, outcome); p-values and intervals are filled in by the caller."""
+    whole = _centred(r, n)
+    s, sy, rest = whole[:-1, :-1], whole[:-1, -1], float(whole[-1, -1])
+    means = r[0, 1:] / r[0, 0]
+    p, q, rank = _svd(s, n) if len(terms) else (np.zeros((0, 0)), np.zeros((0, 0)), 0)
+    beta, inv = p @ (q @ sy), p @ p.T
+    miss = sy - s @ beta
+    rss, syy = rest * rest + float(miss @ miss), rest * rest + float(sy @ sy)
     k = rank + 1
     dof = n - k - absorbed
-    out: dict = {"n": n, "k": k, "rss": rss}
+    out: dict = {"n": n, "k": k, "rss": rss, "rank": rank, "dof": dof}
     r2 = 1.0 - rss / syy if syy > 0 else math.nan
     out["r2"] = r2
     out["adj_r2"] = 1.0 - (1.0 - r2) * (n - 1) / dof if dof > 0 else math.nan
     out["f"] = (r2 / rank) / ((1.0 - r2) / dof) if rank and dof > 0 and r2 < 1 else math.nan
-    out["p_f"] = f_upper(out["f"], rank, dof) if math.isfinite(out["f"]) else math.nan
     out["aic"] = n * math.log(2 * math.pi * rss / n) + n + 2 * k if rss > 0 else math.nan
     out["bic"] = out["aic"] + k * (math.log(n) - 2)
     sigma2 = rss / dof if dof > 0 else math.nan
@@ -74,23 +130,39 @@ def _solve(n: int, means: np.ndarray, cov: np.ndarray, terms: list[str], absorbe
         coefs.insert(0, means[-1] - mx @ beta)
         variances.insert(0, sigma2 * (1.0 / n + mx @ inv @ mx))
         names.insert(0, "intercept")
-    crit = t_critical(dof) if dof > 0 else math.nan
     rows = []
     for name, b, v in zip(names, coefs, variances):
         se = math.sqrt(v) if v > 0 else math.nan
-        t = b / se if se > 0 else math.nan
-        p = t_two_sided(t, dof) if math.isfinite(t) else math.nan
-        rows.append({"term": name, "coef": b, "se": se, "t": t, "p": p, "ci_low": b - crit * se, "ci_high": b + crit * se})
-    out["coefs"] = [{k2: (None if isinstance(x, float) and math.isnan(x) else x) for k2, x in r.items()} for r in rows]
-    return {k2: (None if isinstance(x, float) and math.isnan(x) else x) for k2, x in out.items()}
+        rows.append({"term": name, "coef": b, "se": se, "t": b / se if se > 0 else math.nan})
+    out["coefs"] = rows
+    return out
+
+
+def _known(row: dict) -> dict:
+    return {k: (None if isinstance(x, float) and math.isnan(x) else x) for k, x in row.items()}
+
+
+def _tested(fits: list[dict]) -> list[dict]:
+    """Add p-values and intervals, each kind for all fits at once."""
+    if not fits:
+        return fits
+    dof = np.array([max(x["dof"], 0) for x in fits], float)
+    p_f, crit = f_tail([x["f"] for x in fits], [x["rank"] for x in fits], dof), t_critical(dof)
+    sizes = [len(x["coefs"]) for x in fits]
+    t = np.array([c["t"] for x in fits for c in x["coefs"]], float)
+    p_t = iter(f_tail(t * t, 1.0, np.repeat(dof, sizes)).tolist())
+    out = []
+    for fit, p, c in zip(fits, p_f.tolist(), crit.tolist(), strict=True):
+        rows = [_known({**r, "p": next(p_t), "ci_low": r["coef"] - c * r["se"], "ci_high": r["coef"] + c * r["se"]}) for r in fit["coefs"]]
+        out.append(_known({**fit, "p_f": p}) | {"coefs": rows})
+    return out
 
 
 def ols(df: DataFrame, terms: Sequence[str], y: str, by=(), absorb=()) -> DataFrame:
     """Least squares of ``y`` on ``terms`` with an intercept, one model per group.
 
-    Output: fit statistics and ``coefs``, an array of coefficient rows (see ``coefficients``). The
-    cross-products are one distributed aggregate; only the k-by-k solve runs in Python, on one row per
-    group. ``absorb`` names categorical columns whose *joint* effect is removed by centring within
+    Output: fit statistics and ``coefs``, an array of coefficient rows (see ``coefficients``). The rows become
+    one R factor per group (``r_factors``), from which solution and rank are taken. ``absorb`` names categorical columns whose *joint* effect is removed by centring within
     their groups first (a fixed effect with any number of values), in place of the intercept.
     """
     keys, names = as_list(by), list(terms)
@@ -102,7 +174,7 @@ def ols(df: DataFrame, terms: Sequence[str], y: str, by=(), absorb=()) -> DataFr
         levels = rows.groupBy(*map(col, keys), *map(col, effects)).agg(F.count("*").alias("__c"))
         levels = levels.groupBy(*map(col, keys)).agg((F.count("*") - 1).cast("int").alias("absorbed"))
         rows = rows.withColumns({c: col(c) - F.col(f"__g{i}") for i, c in enumerate(cols)})
-    moments = cross_products(rows, [*names, y], keys)
+    moments = r_factors(rows, [*names, y], keys)
     if effects:
         moments = join_nullsafe(moments, levels, keys) if keys else moments.withColumn(
             "absorbed", levels.select("absorbed").scalar())
@@ -111,11 +183,12 @@ def ols(df: DataFrame, terms: Sequence[str], y: str, by=(), absorb=()) -> DataFr
     constant = not effects
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        size = len(names) + 2
         for batch in batches:
-            fits = [
-                _solve(int(r.n), np.asarray(r.means, float), np.asarray(r.cov, float), names, int(r.absorbed), constant)
-                for r in batch.itertuples()
-            ]
+            fits = _tested([
+                _solve(int(r.n), np.asarray(r.r, float).reshape(size, size), names, int(r.absorbed), constant)
+                for r in batch[["n", "r", "absorbed"]].itertuples()
+            ])
             fitted = pd.DataFrame(fits, columns=[*_fit_names(), "coefs"])
             yield pd.concat([batch[keys].reset_index(drop=True), fitted], axis=1)
 
@@ -133,23 +206,23 @@ def coefficients(fits: DataFrame, by=()) -> DataFrame:
 
 
 def vif(df: DataFrame, cols: Sequence[str], by=()) -> DataFrame:
-    """Variance inflation factor per column: diagonal of the inverse correlation matrix, with flags."""
+    """Variance inflation factor per column: diagonal of the inverse correlation matrix, with flags; NULL for a constant column."""
     keys, names = as_list(by), list(cols)
 
     def factors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts = []
-            for i, r in enumerate(batch.itertuples()):
-                s = _unpack(np.asarray(r.cov, float), len(names))
-                sd = np.sqrt(np.diag(s))
-                inv = np.linalg.pinv(s / np.outer(sd, sd), hermitian=True)
-                part = pd.DataFrame({"column": names, "vif": np.diag(inv)})
+            for i, (n, r) in enumerate(zip(batch["n"], batch["r"], strict=True)):
+                s = _centred(np.asarray(r, float).reshape(len(names) + 1, -1), int(n))
+                sd = np.sqrt((s * s).sum(0))
+                p, _, _ = _svd(s / np.where(sd > 0, sd, 1.0), int(n))
+                part = pd.DataFrame({"column": names, "vif": np.where(sd > 0, (p * p).sum(1), np.nan)})
                 parts.append(pd.concat([batch.iloc[[i] * len(names)][keys].reset_index(drop=True), part], axis=1))
             if parts:
                 yield pd.concat(parts, ignore_index=True)
 
     key_schema = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in keys)
-    out = cross_products(df, names, keys).mapInPandas(factors, f"{key_schema}column string, vif double")
+    out = r_factors(df, names, keys).mapInPandas(factors, f"{key_schema}column string, vif double")
     return out.withColumns({"over_5": F.col("vif") > 5, "over_10": F.col("vif") > 10})
 
 

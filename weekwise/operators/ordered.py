@@ -2,8 +2,8 @@
 
 ``F.percentile`` keeps every distinct value of a group in one task, and ``rank()`` sorts a whole group
 in one task. For groups without a size bound the operators here work on a *ladder* instead: the
-distinct values with their counts, cut into value ranges of similar size. The cuts come from a sketch
-and only decide which task handles which range, so the result is exact whatever the sketch says.
+distinct values with their counts, cut into value ranges of similar size. Each group has cuts of its own
+(``cuts.py``), which only decide which task handles which range, so the result is exact whatever they are.
 """
 
 from __future__ import annotations
@@ -13,19 +13,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._util import as_list, col, join_nullsafe
+from .cuts import RANGES, group_cuts, with_range
 
-RANGES = 256  # value ranges per group; a range of a group holds about 1/256 of the distinct values
-
-
-def _with_range(df: DataFrame, c: str, cuts: Column, ranges: int) -> DataFrame:
-    """Index of the value range, by binary search in the sorted cut array."""
-    out = df.withColumns({"__cuts": cuts, "__range": F.lit(0)})
-    step = ranges // 2
-    while step:
-        probe = F.get("__cuts", F.col("__range") + (step - 1))
-        out = out.withColumn("__range", F.col("__range") + F.when(col(c) >= probe, step).otherwise(0))
-        step //= 2
-    return out.drop("__cuts")
+ROWS_PER_RANGE = 10_000  # distinct values from which on a group is cut into ranges
 
 
 def ladder(
@@ -45,10 +35,7 @@ def ladder(
     # The cuts are taken from the aggregated rows, and read all their columns, so that the exchange of
     # that aggregate is planned once and reused: the input is scanned a single time.
     present = sum((F.col(m) for m in measures), F.lit(0)) > 0
-    cuts = rows.where(present).agg(
-        F.percentile_approx(col(value), [i / ranges for i in range(1, ranges)], 20 * ranges)
-    ).scalar()
-    rows = _with_range(rows, value, cuts, ranges)
+    rows = with_range(rows, value, group_cuts(rows.where(present), value, keys, ROWS_PER_RANGE, ranges), keys, ranges=ranges)
     if descending:
         rows = rows.withColumn("__range", -F.col("__range"))
     per_range = rows.groupBy(*map(col, keys), "__range").agg(*[F.sum(m).alias(f"__s_{m}") for m in measures])

@@ -7,6 +7,9 @@ terms that takes, and large arguments are handled by differences that do not can
 
 from __future__ import annotations
 
+import math
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -96,17 +99,28 @@ def f_upper(f: float, d1: float, d2: float) -> float:
     return float(f_tail([f], [d1], [d2])[0])
 
 
-def t_critical(df: float, level: float = 0.95) -> float:
-    """Two-sided critical value of Student's t, by bisection on its tail."""
-    low, high = 0.0, 1.0
-    while t_two_sided(high, df) > 1.0 - level:
-        high *= 2
-    while high - low > 4e-16 * high:
-        mid = (low + high) / 2.0
-        if mid in (low, high):
+def t_critical(df, level: float = 0.95):
+    """Two-sided critical values of Student's t for one or many degrees of freedom; NaN where there are none.
+
+    Newton steps on the tail, all values at once. The tail is convex, so from a start below the root (the normal quantile is one) every
+    step stays below it.
+    """
+    wanted = np.atleast_1d(np.asarray(df, float))
+    v, back = np.unique(np.where(wanted > 0, wanted, np.nan), return_inverse=True)
+    tail, ok = 1.0 - level, np.isfinite(v)
+    log_gamma = np.vectorize(math.lgamma, otypes=[float])
+    half = np.where(ok, v, 1.0) / 2
+    scale = log_gamma(half + 0.5) - log_gamma(half) - 0.5 * np.log(2 * half * np.pi)
+    t = np.full(len(v), NormalDist().inv_cdf(1 - tail / 2))
+    for _ in range(200):
+        density = 2 * np.exp(scale - (half + 0.5) * np.log1p(t * t / (2 * half)))
+        following = t + (f_tail(t * t, 1.0, 2 * half) - tail) / density
+        done = np.abs(following - t) <= 4e-16 * t
+        t = following
+        if done[ok].all() or not ok.any():
             break
-        low, high = (mid, high) if t_two_sided(mid, df) > 1.0 - level else (low, mid)
-    return (low + high) / 2.0
+    out = np.where(ok, t, np.nan)[back].reshape(wanted.shape)
+    return out if np.ndim(df) else float(out[0])
 
 
 # coefficients of the published rational approximation of erfc (W. J. Cody 1969), fixed values
