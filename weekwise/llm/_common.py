@@ -34,6 +34,14 @@ def shared_table(df: DataFrame, name: str, *, partition_by: tuple[str, ...] = ()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores in front as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that the text of a slice stays under ``limit`` bytes (a longer text is a slice of its own)."""
     if not batch.num_rows:
