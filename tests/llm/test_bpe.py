@@ -38,6 +38,20 @@ def test_any_text(text):
     assert (ids, model.decode(ids)) == expected(text)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(st.sampled_from("abtheés'1.,!~日 \n"), max_size=70), max_size=8))
+def test_words_together(texts):
+    """Words encoded side by side, those of over 64 bytes apart, and caches that turn over at once."""
+    model = bpe.Bpe(PATH)
+    for most in (bpe.CACHED_BYTES, 0):
+        model.held += most == 0
+        for _ in range(2):
+            got = [([int.from_bytes(ids[k : k + 4], "little") for k in range(0, len(ids), 4)], decoded) for ids, decoded in model.encode_all(texts)]
+            assert got == [expected(t) for t in texts]
+            if not most:
+                model.held = bpe.CACHED_BYTES + 1
+
+
 def test_query_and_repeated_rows(spark, docs):
     sf = "/root/testdata/sf0.001"
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
