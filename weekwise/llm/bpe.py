@@ -28,8 +28,9 @@ from ._common import map_slices
 SCHEMA = "doc_id BIGINT, n_tokens BIGINT, ids ARRAY<INT>, decoded STRING"
 DIGESTS = "doc_id BIGINT, n_tokens BIGINT, ids_sha256 STRING, decoded_sha256 STRING"
 NONE = 1 << 62
-CACHED_BYTES = 128 << 20  # of the words a worker keeps, in each of two generations; results do not depend on it
+CACHED_BYTES = 48 << 20  # of the words a worker keeps, in each of two generations; results do not depend on it
 WORD_BYTES = 300  # what a known word takes besides its letters, about
+SLICE_BYTES = 2 << 20  # text whose words are looked up together
 TOGETHER = 64  # words of up to so many bytes are encoded together
 ROWS = 1 << 14  # trees in one array
 # characters whose case or order of marks changed after this Python's Unicode tables; unassigned ones count as newer too
@@ -307,4 +308,4 @@ def bpe_encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: s
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), first, second], names)
 
     rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].alias("text"))
-    return map_slices(rows, encode, DIGESTS if digests else SCHEMA)
+    return map_slices(rows, encode, DIGESTS if digests else SCHEMA, limit=SLICE_BYTES)
