@@ -66,3 +66,21 @@ def test_wrappers_and_captions():
         assert html.main_text(page, TREE) == want, page
         rest = "<div class='comments'><article><p>I like it very much, thanks</p></article></div><div class='sidebar'>Side</div>"
         assert html.main_text(page + rest, TREE) == want, page
+
+
+def test_attributes():
+    """Marks are attributes of their own name, never words within other values."""
+    text = "<p>One two three.</p>"
+    for page in (
+        f'<article style="overflow:hidden">{text}</article>', f'<div aria-hidden="false"><article>{text}</article></div>',
+        f'<article><div title="a hidden story">{text}</div></article>', f"<article><div data-class='sidebar' data-role=dialog>{text}</div></article>",
+        f"<article><section class='notification-basics'>{text}</section></article>", f"<article><div class='menu-of-the-day ads-explained'>{text}</div></article>",
+    ):
+        assert html.main_text(page, TREE) == "One two three.", page
+    for mark in ("hidden", "aria-hidden='true'", "class='comments-list'", "class=share-buttons", "id=ad-3", "class='x siteFooter'", "role='dialog'"):
+        assert html.main_text(f"<article>{text}<div {mark}><p>Something else stands here</p></div></article>", TREE) == "One two three.", mark
+
+
+def test_links_in_an_article():
+    page = "<nav><a href=/>Home</a></nav><article><p>Body text.</p><h2>References</h2><ul><li><a href=/1>First source</a></li><li><a href=/2>Second source</a></li><li><a href=/3>Third</a></li></ul></article>"
+    assert html.main_text(page, TREE) == "Body text.\nReferences\nFirst source\nSecond source\nThird"

@@ -32,13 +32,18 @@ CHROME_WORDS = frozenset(
     "promotion recommended related replies respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget widgets".split()
 )
 ARTICLE_WORDS = frozenset("article articlebody content entry post story".split())
+# what a container of such things is called after them: comment-list, share-buttons, ad-3
+CONTAINER_WORDS = frozenset(
+    "area bar block blocks body box button buttons column container content form group head header holder inner item items left link links list main modal "
+    "outer panel placeholder post posts right row section slot text title top unit wrap wrapper zone".split()
+)
 LAYOUT_WORDS = frozenset("has no with without".split())  # has-sidebar tells what stands beside, not what the container is
 
 ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![A-Za-z]))[^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>" + ATTRIBUTES + r")(?:>|\Z)", re.S
 )
-MARK = re.compile(r"""\b(class|id|role|hidden)\b\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -50,21 +55,31 @@ class Block(NamedTuple):
     chrome: bool
 
 
+def _around(name: str) -> bool:
+    """Whether a class or id names something around an article: it ends in such a word, or begins with one and goes on as containers are called.
+
+    So ``cookie-notice`` and ``comments-list`` do, ``notification-basics`` and ``has-sidebar`` do not.
+    """
+    parts = [p.lower() for p in PARTS.findall(name)]
+    if not parts or LAYOUT_WORDS & set(parts):
+        return False
+    return parts[-1] in CHROME_WORDS or (parts[0] in CHROME_WORDS and all(p in CHROME_WORDS or p in CONTAINER_WORDS or len(p) == 1 for p in parts))
+
+
 def _marks(tag: str, rest: str) -> tuple[bool, bool, bool]:
-    """Whether a container says that it is an article, that it is something around one by tag or role, and the same by class or id."""
+    """Whether a container says that it is an article, that it is something around one by tag, role or being hidden, and the same by class or id."""
     article, chrome, worded = tag in ARTICLE_TAGS, tag in CHROME_TAGS, False
-    for name, a, b, c in MARK.findall(rest) if rest else ():
+    for name, a, b, c in ATTRIBUTE.findall(rest) if rest else ():
         value, name = a or b or c, name.lower()
         if name == "role":
             chrome |= value.lower() in CHROME_ROLES
             article |= value.lower() in ("main", "article")
-        elif name == "hidden":
+        elif name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true"):
             chrome = True
-        else:
+        elif name in ("class", "id") and tag != "body":
             for one in value.split():
-                parts = {p.lower() for p in PARTS.findall(one)}
-                worded |= bool(parts & CHROME_WORDS) and not parts & LAYOUT_WORDS and tag != "body"
-                article |= bool(parts & ARTICLE_WORDS) and tag != "body"
+                worded |= _around(one)
+                article |= bool({p.lower() for p in PARTS.findall(one)} & ARTICLE_WORDS)
     return article, chrome, worded
 
 
@@ -141,7 +156,7 @@ LABELLED: list[tuple[float, ...]] = [
     (3, 0.0, 4, 1.0, 6, 0.0, 1, 0, 1), (1, 0.0, 1, 1.0, 1, 0.0, 1, 0, 1), (2, 0.0, 5, 1.0, 0, 0.0, 1, 0, 1), (4, 0.0, 2, 1.0, 3, 1.0, 1, 0, 1),
     (10, 0.3, 6, 1.0, 8, 1.0, 1, 0, 1), (70, 0.0, 3, 1.0, 2, 1.0, 1, 0, 1), (5, 0.4, 9, 0.0, 0, 0.0, 1, 0, 1), (2, 0.0, 2, 0.0, 4, 1.0, 1, 0, 1),
     (14, 0.0, 8, 0.0, 12, 0.0, 1, 0, 1), (1, 0.0, 7, 0.0, 0, 0.0, 1, 0, 1), (9, 0.0, 1, 0.0, 3, 0.0, 1, 0, 1), (6, 0.2, 4, 0.0, 11, 0.0, 1, 0, 1),
-    (3, 1.0, 3, 1.0, 3, 1.0, 1, 0, 0), (5, 1.0, 4, 1.0, 6, 1.0, 1, 0, 0), (2, 1.0, 2, 1.0, 1, 1.0, 1, 0, 0), (7, 1.0, 6, 1.0, 4, 1.0, 1, 0, 0),
+    (3, 1.0, 3, 1.0, 3, 1.0, 1, 0, 1), (5, 1.0, 4, 1.0, 6, 1.0, 1, 0, 1), (2, 1.0, 2, 1.0, 1, 1.0, 1, 0, 1), (7, 1.0, 6, 1.0, 4, 1.0, 1, 0, 1),
     (1, 1.0, 0, 0.0, 1, 1.0, 0, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0, 1, 0), (2, 1.0, 1, 1.0, 14, 0.0, 0, 1, 0), (14, 0.0, 2, 1.0, 8, 0.0, 0, 1, 0),
     (25, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0), (60, 0.0, 40, 0.0, 12, 0.0, 0, 1, 0), (9, 0.2, 50, 0.0, 0, 0.0, 0, 1, 0), (12, 0.0, 70, 0.0, 0, 0.0, 0, 1, 0),
     (30, 0.1, 2, 0.0, 2, 1.0, 0, 1, 0), (90, 0.0, 8, 0.0, 60, 0.0, 0, 1, 0), (6, 1.0, 90, 0.0, 5, 1.0, 1, 1, 0), (40, 0.0, 80, 0.0, 3, 0.0, 1, 1, 0),
