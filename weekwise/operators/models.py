@@ -64,11 +64,14 @@ def r_factors(df: DataFrame, cols: Sequence[str], by=()) -> DataFrame:
             kinds = [batch.column(i).type for i in range(len(keys))]
             table = pa.table({f"k{i}": batch.column(i) for i in range(len(keys))} | {"row": np.arange(batch.num_rows)})
             x = np.column_stack([np.ones(batch.num_rows), *(batch.column(len(keys) + i).to_numpy(zero_copy_only=False) for i in range(len(cols)))])
-            groups = table.group_by([f"k{i}" for i in range(len(keys))], use_threads=False).aggregate([("row", "list")])
-            names = zip(*(groups[f"k{i}"].to_pylist() for i in range(len(keys))), strict=True) if keys else [()] * groups.num_rows
-            for name, at in zip(names, groups["row_list"].to_pylist(), strict=True):
+            if keys:
+                groups = table.group_by([f"k{i}" for i in range(len(keys))], use_threads=False).aggregate([("row", "list")])
+                found = zip(zip(*(groups[f"k{i}"].to_pylist() for i in range(len(keys))), strict=True), groups["row_list"].to_pylist(), strict=True)
+            else:
+                found = [((), slice(None))] if batch.num_rows else []
+            for name, at in found:
                 n, r = held.get(name, (0, None))
-                held[name] = n + len(at), _merged([x[at]] if r is None else [r, x[at]], size)
+                held[name] = n + len(x[at]), _merged([x[at]] if r is None else [r, x[at]], size)
             if len(held) * size * size * 8 > HELD:
                 yield emit()
         if held:
