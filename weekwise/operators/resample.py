@@ -1,12 +1,14 @@
 """Extreme-week audit and bootstrap confidence intervals on panels.
 
-The periods of one entity are gathered once, and all its replicates are drawn in that task; only replicates leave it. Draws are hashes
-of (seed, entity, replicate, position), never ``rand()``: a task that is run again after an executor loss draws the same sample.
+The unit of work is a block of replicates of one entity: the periods of the entity travel once per block, the replicates of a block are
+rows of a matrix, and only results leave the task. Draws are hashes of (seed, entity, replicate, position), never ``rand()``: a task that
+is run again after an executor loss draws the same sample, and blocks of any size give the same replicates.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +21,9 @@ from .window import add_lags, anomaly, episodes
 CI = (0.025, 0.975)
 
 
-MAX_PERIODS = 200_000  # periods of one entity in a task; more is no panel, and an error
+BLOCK = 500  # replicates of an entity in one group
+CELLS = 1_000_000  # replicates times periods that a task draws at once
+SEASONS = 54  # weeks and months are numbered below this
 PRIME, PER_REPLICATE, PER_POSITION, MIX_1, MIX_2 = 2_147_483_647, 73_856_093, 19_349_663, 1_664_525_791, 1_103_515_245
 
 
@@ -36,10 +40,19 @@ def hashed_draws(seed: int, ident: str, tag: int, b: np.ndarray, count: int, n:
     return (z ^ (z >> 16)) % n
 
 
-def _checked(pdf: pd.DataFrame) -> pd.DataFrame:
-    if len(pdf) > MAX_PERIODS:
-        raise ValueError(f"an entity with {len(pdf)} periods: resample panels only")
-    return pdf.sort_values("k", kind="stable")
+def _in_blocks(rows: DataFrame, replicates: int) -> DataFrame:
+    """Every row once per block of replicates."""
+    if replicates < 1:
+        raise ValueError("at least one replicate")
+    return rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // BLOCK))))
+
+
+def _steps(block: int, replicates: int, periods: int) -> Iterator[np.ndarray]:
+    """Numbers of the replicates of a block, as many at a time as CELLS allows (a very long series: one)."""
+    first, end = block * BLOCK + 1, min(replicates, (block + 1) * BLOCK) + 1
+    step = max(1, CELLS // max(1, periods))
+    for b in range(first, end, step):
+        yield np.arange(b, min(end, b + step))
 
 
 def season_part(season: str, key: str = "week_start") -> Column:
@@ -80,8 +93,8 @@ def bootstrap_diff(
 ) -> DataFrame:
     """Replicates of the difference of means (and medians) between flag 1 and flag 0, per entity.
 
-    Both groups are resampled with replacement at their own size. One shuffle gathers the entities (a panel has at most one
-    row per period); an entity without rows on both sides has no replicates.
+    Both groups are resampled with replacement at their own size. One shuffle gathers (entity, block of replicates); an entity
+    without rows on both sides has no replicates.
     """
     keys = as_list(entity)
     if not keys:
@@ -92,14 +105,14 @@ def bootstrap_diff(
     )
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _checked(pdf)
-        groups = [pdf.loc[pdf.f == tag, "y"].to_numpy() for tag in (1, 0)]
-        if not all(map(len, groups)):
+        pdf = pdf.sort_values("k", kind="stable")
+        ident, block = pdf["__ident"].iloc[0], int(pdf["__block"].iloc[0])
+        groups = {tag: pdf.loc[pdf.f == tag, "y"].to_numpy() for tag in (1, 0)}
+        if not all(map(len, groups.values())):
             return pd.DataFrame(columns=names)
-        parts, step = [], max(1, 2_000_000 // len(pdf))
-        for k in range(1, replicates + 1, step):
-            b = np.arange(k, min(replicates + 1, k + step))
-            one, rest = (v[hashed_draws(seed, pdf["__ident"].iloc[0], tag, b, len(v), len(v))] for v, tag in zip(groups, (1, 0)))
+        parts = []
+        for b in _steps(block, replicates, len(pdf)):
+            one, rest = (v[hashed_draws(seed, ident, tag, b, len(v), len(v))] for tag, v in groups.items())
             out = pd.DataFrame({"b": b, "delta_mean": one.mean(1) - rest.mean(1)})
             if median:
                 out["delta_median"] = np.median(one, 1) - np.median(rest, 1)
@@ -108,7 +121,7 @@ def bootstrap_diff(
 
     names = [*keys, "b", "delta_mean", *(["delta_median"] if median else [])]
     kinds = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + ["b INT"] + [f"{n} DOUBLE" for n in names[len(keys) + 1 :]])
-    return rows.groupBy(*map(col, keys)).applyInPandas(draw, kinds)
+    return _in_blocks(rows, replicates).groupBy(*map(col, keys), "__block").applyInPandas(draw, kinds)
 
 
 def percentile_ci(reps: DataFrame, entity, c: str = "delta_mean", stem: str = "ci") -> DataFrame:
@@ -131,6 +144,10 @@ def bootstrap_episodes(
     Episodes are counted over all rows; rows whose ``known`` column is NULL are not drawn, so an
     episode that lies among them alone stays in the draw and adds no row.
     Replicates with fewer than ``min_exposed`` exposed or ``min_rest`` other weeks are left out.
+
+    A replicate is a vector of weights: 1 for a quiet week, for a week of an episode the number of times that episode is drawn. A
+    week of weight w stands w times in a row. How many of them follow an extreme at the lag is a difference of running counts,
+    and all means are weighted sums, so no replicate is laid out as rows of its own.
     """
     keys = as_list(entity)
     base = rows.select(
@@ -140,32 +157,65 @@ def bootstrap_episodes(
     )
 
     def draw(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _checked(pdf)
+        pdf = pdf.sort_values("k", kind="stable")
+        ident, block = pdf["__ident"].iloc[0], int(pdf["__block"].iloc[0])
         episodes_of = np.sort(pdf.e.dropna().unique())
         many = len(episodes_of)
-        if not many:
+        own = pdf[pdf.known & ((pdf.f == 0) | ((pdf.f == 1) & pdf.e.notna()))]
+        if not many or not len(own):
             return pd.DataFrame(columns=names)
-        own = pdf[pdf.known].reset_index(drop=True)
-        f, value, part = own.f.to_numpy(), own.y.to_numpy(float), own.s.to_numpy()
-        quiet = np.flatnonzero(f == 0)
-        members = [np.flatnonzero((f == 1) & (own.e == e).to_numpy()) for e in episodes_of]
-        draws, found = hashed_draws(seed, pdf["__ident"].iloc[0], 2, np.arange(1, replicates + 1), many, many), []
-        for b, chosen in enumerate(draws, 1):
-            at = np.concatenate([quiet, *[members[e] for e in chosen]])
-            at = np.sort(at, kind="stable")  # by week; a week that is drawn twice stands twice
-            now, exposed = at[lag:], f[at[: len(at) - lag]] == 1
-            x = value[now]
-            if recompute:
-                sums, sizes = np.bincount(part[now], x, 54), np.bincount(part[now], minlength=54)
-                x = x - (sums / np.maximum(sizes, 1))[part[now]]
-            n1, n0 = int(exposed.sum()), int((~exposed).sum())
-            if n1 >= min_exposed and n0 >= min_rest:
-                found.append((b, n1, n0, x[exposed].mean() - x[~exposed].mean()))
-        return pd.DataFrame(found, columns=names[len(keys) :]).assign(**{k: pdf[k].iloc[0] for k in keys})[names]
+        exposes, value = own.f.to_numpy() == 1, own.y.to_numpy(float)
+        episode_at = np.searchsorted(episodes_of, own.e.to_numpy(float)[exposes])
+        part = own.s.to_numpy() if recompute else None
+        parts = []
+        for b in _steps(block, replicates, max(len(own), many)):
+            weights = np.ones((len(b), len(own)), np.int64)
+            weights[:, exposes] = _times_drawn(hashed_draws(seed, ident, 2, b, many, many), many)[:, episode_at]
+            parts.append(pd.DataFrame({"b": b} | _lagged_means(weights, exposes, value, part, lag)))
+        found = pd.concat(parts)
+        found = found[(found.n1 >= min_exposed) & (found.n0 >= min_rest)]
+        return found.assign(**{k: pdf[k].iloc[0] for k in keys})[names]
 
     names = [*keys, "b", "n1", "n0", "delta_mean"]
     kinds = ", ".join([f"`{k}` {df_type}" for k, df_type in ((k, rows.schema[k].dataType.simpleString()) for k in keys)] + ["b INT, n1 LONG, n0 LONG, delta_mean DOUBLE"])
-    return base.groupBy(*map(col, keys)).applyInPandas(draw, kinds)
+    return _in_blocks(base, replicates).groupBy(*map(col, keys), "__block").applyInPandas(draw, kinds)
+
+
+def _times_drawn(draws: np.ndarray, many: int) -> np.ndarray:
+    """How often each of 0..many-1 occurs in each row of ``draws``."""
+    at = draws + np.arange(len(draws))[:, None] * many
+    return np.bincount(at.ravel(), minlength=len(draws) * many).reshape(len(draws), many)
+
+
+def _lagged_means(weights: np.ndarray, exposes: np.ndarray, value: np.ndarray, part: np.ndarray | None, lag: int) -> dict[str, np.ndarray]:
+    """Per row of ``weights``: sizes of the exposed and the other weeks, and the difference of their means.
+
+    A week is exposed if the week ``lag`` places before it in the weighted sequence is an extreme; the first ``lag`` places have no
+    such week and are left out. With ``part`` the weighted mean of each season is taken off first. NaN where a side is empty or an
+    unknown value is drawn.
+    """
+    unknown, value = np.isnan(value).astype(float), np.nan_to_num(value)
+    ends = np.cumsum(weights, 1)
+    total = ends[:, -1]
+    offset = np.concatenate([[0], np.cumsum(total)])
+    places = np.repeat(np.tile(exposes, len(weights)), weights.ravel())  # one byte per place of all sequences
+    extremes = np.concatenate([[0], np.cumsum(places, dtype=np.int64)])
+    until = offset[:-1, None] + np.maximum(ends - lag, 0)  # the weeks up to here expose those before ``ends``
+    reached = extremes[until]
+    before = extremes[offset[:-1]][:, None]
+    one = np.diff(reached, axis=1, prepend=before)
+    both = np.diff(np.maximum(ends - lag, 0), axis=1, prepend=0)
+    rest = both - one
+    n1, n0 = one.sum(1), rest.sum(1)
+    sum1, sum0 = one @ value, rest @ value
+    if part is not None:
+        seasons = np.zeros((len(value), SEASONS))
+        seasons[np.arange(len(value)), part] = 1.0
+        in1, in0 = one @ seasons, rest @ seasons
+        mean = ((one + rest) @ (seasons * value[:, None])) / np.maximum(in1 + in0, 1)
+        sum1, sum0 = sum1 - (in1 * mean).sum(1), sum0 - (in0 * mean).sum(1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return {"n1": n1, "n0": n0, "delta_mean": np.where(both @ unknown > 0, np.nan, sum1 / n1 - sum0 / n0)}
 
 
 def audit_summary(rows: DataFrame, entity, x: str = "x") -> DataFrame:
