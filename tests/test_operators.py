@@ -408,3 +408,80 @@ def test_late_rows_count(spark, tmp_path):
             inc.compact(spark, str(tmp_path / "out"), "e", kinds)
     got = {r.week_start: (r.n, r.s, r.m, r.hi, r.days) for r in inc.current(spark, str(tmp_path / "out"), "e", kinds).collect()}
     assert got == {dt.date(2024, 1, 1): (3, 6.5, 6.5 / 3, 5.0, 2), dt.date(2024, 6, 3): (2, 5.0, 2.5, 3.0, 2)}
+
+
+def test_unpublished_parts_are_invisible(spark, tmp_path, monkeypatch):
+    """A compaction, or a batch, that dies between its files and the manifest leaves the table as it was; a batch run again counts once."""
+    from weekwise.streaming import incremental as inc
+
+    path, measures = str(tmp_path / "t"), {"n": ("count", F.lit(1)), "s": ("sum", F.col("v"))}
+    kinds = {k: v[0] for k, v in measures.items()}
+
+    def batch(values, batch_id):
+        rows = spark.createDataFrame([("a", dt.datetime(2024, 1, 2), v) for v in values], "e string, ts timestamp_ntz, v double")
+        inc._publish(inc.weekly_partials(rows, "e", "ts", measures), path, batch_id, batch_id)
+
+    def table():
+        return [(r.n, r.s) for r in inc.current(spark, path, "e", kinds).collect()]
+
+    with pytest.raises(Exception):
+        inc.current(spark, path, "e", kinds)
+    batch([1.0, 2.0], 0)
+    batch([4.0], 1)
+    batch([4.0], 1)  # the same batch after a restart
+    assert table() == [(3, 7.0)]
+
+    def dies(*_):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(inc, "_add_to_manifest", dies)
+        for work in (lambda: inc.compact(spark, path, "e", kinds), lambda: batch([99.0], 2)):
+            with pytest.raises(RuntimeError):
+                work()
+    assert table() == [(3, 7.0)]
+    (tmp_path / "t" / "parts" / "half-written").mkdir()
+    reader = inc.current(spark, path, "e", kinds)  # planned on the parts, read after the base is there
+    inc.compact(spark, path, "e", kinds)
+    inc.compact(spark, path, "e", kinds)
+    assert table() == [(3, 7.0)] == [(r.n, r.s) for r in reader.collect()]
+    assert len(inc._cover(spark, path)[0]) == 1 and spark.read.json(f"{path}/manifest").where("first_batch < 0").count() == 1
+    batch([8.0], 2)
+    assert table() == [(4, 15.0)] and len(inc._cover(spark, path)[0]) == 2
+
+
+@pytest.mark.parametrize("recompute", [True, False])
+@pytest.mark.parametrize("lag", [0, 2])
+def test_episode_weights_equal_sequences_laid_out(spark, monkeypatch, recompute, lag):
+    """Replicates by weights against every replicate written out week by week, over several blocks and steps."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(resample, "BLOCK", 17)
+    monkeypatch.setattr(resample, "CELLS", 700)
+    rows, n, many = [], 90, 0
+    flags = (rng.random(n) < 0.3).astype(int)
+    for i in range(n):
+        many += flags[i] and (i == 0 or not flags[i - 1])
+        known = None if i < 2 else 1
+        value = None if i == 40 else float(rng.normal())
+        rows.append(("a", dt.date(2020, 1, 6) + dt.timedelta(weeks=i), value, int(flags[i]), int(many) if flags[i] else None, known))
+    df = spark.createDataFrame(rows, "entity string, week_start date, y double, is_extreme int, episode_id int, ext_lag int")
+    got = resample.bootstrap_episodes(df, "y", "entity", 60, lag, recompute=recompute, min_exposed=3, min_rest=5).toPandas().set_index("b").sort_index()
+
+    draws = resample.hashed_draws(42, "a", 2, np.arange(1, 61), many, many)
+    own = [r for r in rows if r[5]]
+    want = {}
+    for b, chosen in enumerate(draws, 1):
+        laid = []
+        for r in own:
+            laid += [r] * (int((chosen == r[4] - 1).sum()) if r[3] else 1)
+        x = pd.DataFrame({"y": [np.nan if r[2] is None else r[2] for r in laid], "s": [r[1].isocalendar().week for r in laid]})
+        x["hit"] = pd.Series([r[3] for r in laid]).shift(lag)
+        x = x.dropna(subset="hit")
+        hole = x.y.isna().any()
+        v = x.y - x.groupby("s").y.transform("mean") if recompute else x.y
+        n1, n0 = int((x.hit == 1).sum()), int((x.hit == 0).sum())
+        if n1 >= 3 and n0 >= 5:
+            want[b] = (n1, n0, np.nan if hole else v[x.hit == 1].mean() - v[x.hit == 0].mean())
+    assert list(got.index) == list(want) and len(want) > 30
+    want = np.array(list(want.values()))
+    assert (got[["n1", "n0"]].to_numpy() == want[:, :2]).all() and np.allclose(got.delta_mean.to_numpy(), want[:, 2], equal_nan=True)

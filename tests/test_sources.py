@@ -151,3 +151,9 @@ def test_headers_of_all_pollutants(spark):
     names = ["Fecha", "HORA", "PM10 (µg/m3)", "PM2,5", "Dióxido de azufre", "NO", "NO2", "NOx", "NO3", "Ozono troposférico", "Norte"]
     got = records.normalize_headers(spark.createDataFrame([tuple("x" * len(names))], names)).columns
     assert got == ["date", "hour", "PM10", "PM2.5", "SO2", "NO", "NO2", "NOx", "NO3", "O3", "Norte"]
+
+
+def test_exact_headers_go_first(spark):
+    names = ["fecha", "NO2_validated", "NO2", "PM2.5 flag 5", "pm2_5", "SO2 raw", "SO2-2", "nox", "NOX "]
+    got = records.normalize_headers(spark.createDataFrame([tuple("x" * len(names))], names)).columns
+    assert got == ["date", "NO2_validated", "NO2", "PM2.5 flag 5", "PM2.5", "SO2", "SO2-2", "nox", "NOx"]

@@ -79,14 +79,18 @@ HEADER_RULES = {
 
 
 def normalize_headers(df: DataFrame, rules: Mapping[str, str] = HEADER_RULES) -> DataFrame:
-    """Rename the first column that fits each rule to its canonical name (schema only)."""
+    """Rename one column per rule to its canonical name (schema only).
+
+    A header that reduces to the canonical name itself goes before one that only fits the pattern: ``NO2`` before ``NO2_validated``
+    wherever they stand. Of several exact headers the last is taken, of several that fit the first; the others keep their names.
+    """
     taken: dict[str, str] = {}
-    for name in df.columns:
-        for canonical, pattern in rules.items():
-            if canonical not in taken.values() and re.search(pattern, header_key(name)):
-                taken[name] = canonical
-                break
-    return df.withColumnsRenamed(taken)
+    for canonical, pattern in rules.items():
+        fits = [name for name in df.columns if name not in taken and re.search(pattern, header_key(name))]
+        exact = [name for name in fits if header_key(name) == header_key(canonical)]
+        if fits:
+            taken[exact[-1] if exact else fits[0]] = canonical
+    return df.toDF(*[taken.get(name, name) for name in df.columns])
 
 
 # Columns of a station sheet in their order.

@@ -2,10 +2,16 @@
 
 Every micro-batch stores *partial* aggregates (sums, counts, extremes, sets of days) of its own rows and reading combines them.
 There is no state and no watermark, so a row counts however late it comes.
+
+Layout of a table: ``parts/`` holds directories of partial aggregates, each written once under a name of its own; ``manifest/`` holds
+one small file per finished directory, which says what batches it covers. A job's files appear one by one, a file appears whole,
+so the row of the manifest publishes a directory. Readers open what the manifest names and nothing else: a directory that is being
+written, or was left by a job that died, is invisible. Directories that a later base covers stay for readers that still use them.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -14,6 +20,7 @@ from weekwise.operators._util import as_list, col
 
 # how each measure is stored and combined: name suffixes of its partial columns
 PARTS = {"sum": ("sum",), "count": ("n",), "mean": ("sum", "n"), "min": ("min",), "max": ("max",), "days": ("days",)}
+MANIFEST = "first_batch LONG, last_batch LONG, directory STRING"
 
 
 def utc_instant(ts: str, kind: str) -> Column:
@@ -58,12 +65,12 @@ def _combined(parts: DataFrame, keys: list[str], measures: Mapping[str, str]) ->
 def ingest(stream: DataFrame, entity, ts: str, measures: Mapping[str, tuple[str, Column]], path: str, checkpoint: str) -> None:
     """Process everything that is new since the last run, then stop.
 
-    Each micro-batch writes its partial aggregates into its own directory, replacing it when the batch is
-    run again, so a lost executor or a restarted run leaves no duplicate.
+    Each micro-batch writes its partial aggregates into a directory of its own and publishes it. A batch that is run again after a
+    restart publishes another directory for the same batch, of which readers take one, so nothing counts twice.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        weekly_partials(batch, entity, ts, measures).write.mode("overwrite").parquet(f"{path}/batches/batch_id={batch_id}")
+        _publish(weekly_partials(batch, entity, ts, measures), path, batch_id, batch_id)
 
     query = (
         stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
@@ -71,34 +78,48 @@ def ingest(stream: DataFrame, entity, ts: str, measures: Mapping[str, tuple[str,
     query.awaitTermination()
 
 
-def _parts(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
-    """The latest compacted base and the batches after it, and the last batch among them."""
-    batches = spark.read.parquet(f"{path}/batches")
-    last = batches.agg(F.max("batch_id")).first()[0]
-    try:
-        bases = spark.read.parquet(f"{path}/bases")
-    except Exception as error:  # never compacted
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return batches.drop("batch_id"), last
-    upto = bases.agg(F.max("upto")).first()[0]
-    newer = batches.where(F.col("batch_id") > upto).drop("batch_id")
-    return bases.where(F.col("upto") == upto).drop("upto").unionByName(newer), last
+def _publish(parts: DataFrame, path: str, first: int, last: int) -> None:
+    """Write partial aggregates, then the one file that makes them part of the table."""
+    directory = f"{first}-{last}-{uuid.uuid4().hex}"
+    parts.write.parquet(f"{path}/parts/{directory}")
+    _add_to_manifest(parts.sparkSession, path, first, last, directory)
+
+
+def _add_to_manifest(spark: SparkSession, path: str, first: int, last: int, directory: str) -> None:
+    spark.createDataFrame([(first, last, directory)], MANIFEST).coalesce(1).write.mode("append").json(f"{path}/manifest")
+
+
+def _cover(spark: SparkSession, path: str) -> tuple[list[str], int]:
+    """Directories that together hold every published batch once, and the last batch.
+
+    The base that reaches furthest, then one directory for each later batch. What leaves the manifest is a row per batch since that base.
+    """
+    rows = spark.read.schema(MANIFEST).json(f"{path}/manifest")
+    base = rows.where("first_batch < 0").agg(F.max(F.struct("last_batch", "directory")).alias("b")).first().b
+    later = rows.where("first_batch >= 0").where(F.col("last_batch") > (base.last_batch if base else -1))
+    found = later.groupBy("last_batch").agg(F.min("directory").alias("directory")).orderBy("last_batch").collect()
+    found = [base, *found] if base else found
+    if not found:
+        raise ValueError(f"{path}: nothing ingested yet")
+    return [f"{path}/parts/{r.directory}" for r in found], found[-1].last_batch
 
 
 def compact(spark: SparkSession, path: str, entity, measures: Mapping[str, str], key: str = "week_start") -> None:
     """Combine all batches so far into one base, so that reading stays proportional to the panel.
 
-    The base is complete before readers see its directory; batches it holds are skipped from then on.
+    Readers see the old parts until the base is complete and published, and the base from then on; a compaction that dies in
+    between changes nothing and can be run again, as can two at a time. With a base that already reaches the last batch there is
+    nothing to do.
     """
-    parts, last = _parts(spark, path)
-    _combined(parts, [*as_list(entity), key], measures).write.mode("overwrite").parquet(f"{path}/bases/upto={last}")
+    directories, last = _cover(spark, path)
+    if len(directories) > 1 or not directories[0].rsplit("/", 1)[1].startswith("-1-"):
+        _publish(_combined(spark.read.parquet(*directories), [*as_list(entity), key], measures), path, -1, last)
 
 
 def current(spark: SparkSession, path: str, entity, measures: Mapping[str, str], key: str = "week_start") -> DataFrame:
     """Measures of every entity and week over all rows ever ingested (``days``: how many different weekdays)."""
     keys = [*as_list(entity), key]
-    whole = _combined(_parts(spark, path)[0], keys, measures)
+    whole = _combined(spark.read.parquet(*_cover(spark, path)[0]), keys, measures)
     done = {
         "sum": lambda n: F.col(f"{n}__sum"), "count": lambda n: F.col(f"{n}__n"), "min": lambda n: F.col(f"{n}__min"),
         "max": lambda n: F.col(f"{n}__max"), "mean": lambda n: F.try_divide(f"{n}__sum", f"{n}__n"),
