@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, GroupedData, functions as F
 
 from ._util import as_list, col, join_nullsafe
 from .score import threshold_flags
@@ -40,11 +40,17 @@ def hashed_draws(seed: int, ident: str, tag: int, b: np.ndarray, count: int, n:
     return (z ^ (z >> 16)) % n
 
 
-def _in_blocks(rows: DataFrame, replicates: int) -> DataFrame:
-    """Every row once per block of replicates."""
+def _in_blocks(rows: DataFrame, keys: list[str], replicates: int) -> GroupedData:
+    """Rows grouped by entity and block of replicates.
+
+    The number of partitions is stated: adaptive execution goes by bytes and would put these few rows, and all the drawing, into a few tasks.
+    """
     if replicates < 1:
         raise ValueError("at least one replicate")
-    return rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // BLOCK))))
+    by = [*map(col, keys), F.col("__block")]
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // BLOCK))))
+    return blocks.repartition(parts, *by).groupBy(*by)
 
 
 def _steps(block: int, replicates: int, periods: int) -> Iterator[np.ndarray]:
@@ -121,7 +127,7 @@ def bootstrap_diff(
 
     names = [*keys, "b", "delta_mean", *(["delta_median"] if median else [])]
     kinds = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + ["b INT"] + [f"{n} DOUBLE" for n in names[len(keys) + 1 :]])
-    return _in_blocks(rows, replicates).groupBy(*map(col, keys), "__block").applyInPandas(draw, kinds)
+    return _in_blocks(rows, keys, replicates).applyInPandas(draw, kinds)
 
 
 def percentile_ci(reps: DataFrame, entity, c: str = "delta_mean", stem: str = "ci") -> DataFrame:
@@ -178,7 +184,7 @@ def bootstrap_episodes(
 
     names = [*keys, "b", "n1", "n0", "delta_mean"]
     kinds = ", ".join([f"`{k}` {df_type}" for k, df_type in ((k, rows.schema[k].dataType.simpleString()) for k in keys)] + ["b INT, n1 LONG, n0 LONG, delta_mean DOUBLE"])
-    return _in_blocks(base, replicates).groupBy(*map(col, keys), "__block").applyInPandas(draw, kinds)
+    return _in_blocks(base, keys, replicates).applyInPandas(draw, kinds)
 
 
 def _times_drawn(draws: np.ndarray, many: int) -> np.ndarray:
