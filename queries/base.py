@@ -157,6 +157,19 @@ ts AS (SELECT rid, any_value(th) * sum(({weight}) * {low}) AS below, (pi() / 2 -
 SELECT tb.* EXCLUDE (rid), above / (below + above) AS {name} FROM tb LEFT JOIN ts ON tb.rid = ts.rid"""
 
 
+def with_t_critical(sql: str, dof: str, level: float = 0.95, steps: int = 8000, newton: int = 5, name: str = "crit") -> str:
+    """Add the two-sided critical value of Student's t: with x = atan(t / sqrt(dof)) the density is cos**(dof - 1); Newton steps on Simpson sums."""
+    weight = f"CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+
+    def area(src: str, upper: str) -> str:
+        return f"(SELECT d, any_value({upper}) / {steps} / 3 * sum(({weight}) * pow(cos({upper} * i / {steps}), d - 1)) AS s FROM (SELECT *, unnest(range(0, {steps} + 1)) AS i FROM {src}) GROUP BY d)"
+
+    ctes = [f"tb AS (SELECT *, ({dof})::DOUBLE AS d FROM ({sql}))", "c0 AS (SELECT DISTINCT d, atan(2 / sqrt(d)) AS th FROM tb WHERE d > 0)", f"ct AS {area('c0', 'pi() / 2')}"]
+    for k in range(newton):
+        ctes.append(f"c{k + 1} AS (SELECT c.d, c.th + ({level!r}::DOUBLE * ct.s - a.s) / pow(cos(c.th), c.d - 1) AS th FROM c{k} c JOIN ct ON c.d = ct.d JOIN {area(f'c{k}', 'th')} a ON c.d = a.d)")
+    return f"WITH {', '.join(ctes)} SELECT tb.* EXCLUDE (d), sqrt(tb.d) * tan(c.th) AS {name} FROM tb LEFT JOIN c{newton} c ON tb.d = c.d"
+
+
 def with_normal_tail(sql: str, z: str, steps: int = 8000, name: str = "p") -> str:
     """Add the two-sided tail of a standard normal statistic by Simpson's rule over the next twelve units."""
     x = f"(abs({z}) + 12.0::DOUBLE * i / {steps})"

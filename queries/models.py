@@ -6,7 +6,7 @@ from weekwise.operators import models as md
 from weekwise.operators.window import add_lags
 
 from . import query
-from .base import FULL, full_panel, inner, normal_quantile_sql, on, rounded, scored, tidy, with_f_tail
+from .base import FULL, SCORED, full_panel, inner, normal_quantile_sql, on, rounded, scored, tidy, with_f_tail, with_t_critical
 
 TREND = FULL + """,
 trended AS (SELECT *, CAST(week_start - DATE '1995-01-02' AS DOUBLE) / 70 AS trend FROM full_panel)"""
@@ -41,17 +41,21 @@ def least_squares_fit(spark, sf):
     return tidy(fits(spark, sf).drop("coefs", "p_f"), 4)
 
 
-@query(rounded(on(OLS2, """
-  , co AS (SELECT entity, 'share' AS term, bx AS coef, sqrt(s2 * szz / d) AS se FROM fit UNION ALL SELECT entity, 'trend', bz, sqrt(s2 * sxx / d) FROM fit
-   UNION ALL SELECT entity, 'intercept', b0, sqrt(s2 * (1 / n + (mx * mx * szz - 2 * mx * mz * sxz + mz * mz * sxx) / d)) FROM fit)
-  SELECT entity, term, coef, se, coef / se AS t FROM co"""), "coef se t", 5))
+COEFS = on(OLS2, """
+  , co AS (SELECT entity, n, 'share' AS term, bx AS coef, sqrt(s2 * szz / d) AS se FROM fit UNION ALL SELECT entity, n, 'trend', bz, sqrt(s2 * sxx / d) FROM fit
+   UNION ALL SELECT entity, n, 'intercept', b0, sqrt(s2 * (1 / n + (mx * mx * szz - 2 * mx * mz * sxz + mz * mz * sxx) / d)) FROM fit)
+  SELECT entity, n, term, coef, se, coef / se AS t FROM co""")
+
+
+@query(rounded(f"SELECT * EXCLUDE (n) FROM ({COEFS})", "coef se t", 5))
 def least_squares_coefficients(spark, sf):
     return tidy(md.coefficients(fits(spark, sf), "entity").drop("p", "ci_low", "ci_high"), 5)
 
 
-@query()
+@query(rounded(f"""SELECT entity, term, coef, se, t, p, coef - crit * se AS ci_low, coef + crit * se AS ci_high
+  FROM ({with_t_critical(with_f_tail(COEFS, "t * t", "1", "n - 3"), "n - 3")})""", "coef se t p ci_low ci_high", 5))
 def least_squares_with_p(spark, sf):
-    return tidy(md.coefficients(fits(spark, sf), "entity"))
+    return tidy(md.coefficients(fits(spark, sf), "entity"), 5)
 
 
 @query(rounded(on(FULL, """
@@ -74,7 +78,32 @@ def absorbed_week_effects(spark, sf):
     return tidy(out.select("entity", "term", "coef"))
 
 
-@query()
+def fit_sql(src: str, terms: list[str], y: str) -> str:
+    """Fit statistics per entity: the centred cross-products are swept term by term; what is left for ``y`` is the residual sum."""
+    names = [*terms, y]
+    pairs = [(i, j) for j in range(len(names)) for i in range(j + 1)]
+    known = " AND ".join(f"{c} IS NOT NULL" for c in names)
+    sums = ", ".join(f"covar_pop({names[i]}::DOUBLE, {names[j]}::DOUBLE) * count(*) AS s{i}_{j}" for i, j in pairs)
+    last = len(terms)
+    sql = f"SELECT entity, count(*) AS n, 0 AS rank, covar_pop({y}::DOUBLE, {y}::DOUBLE) * count(*) AS syy, {sums} FROM {src} WHERE {known} GROUP BY entity"
+    for k in range(last):
+        pivot = f"s{k}_{k} > 1e-9"
+        left = ", ".join(f"CASE WHEN {pivot} THEN s{i}_{j} - s{k}_{i} * s{k}_{j} / s{k}_{k} ELSE s{i}_{j} END AS s{i}_{j}" for i, j in pairs if i > k)
+        sql = f"SELECT entity, n, rank + CAST({pivot} AS INTEGER) AS rank, syy, {left} FROM ({sql})"
+    return f"""SELECT entity, n, rank + 1 AS k, 1 - rss / syy AS r2, 1 - rss / syy * (n - 1) / (n - rank - 1) AS adj_r2,
+      ((syy - rss) / rank) / (rss / (n - rank - 1)) AS f, n * ln(2 * pi() * rss / n) + n + 2 * (rank + 1) AS aic,
+      n * ln(2 * pi() * rss / n) + n + (rank + 1) * ln(n) AS bic FROM (SELECT * RENAME (s{last}_{last} AS rss) FROM ({sql}))"""
+
+
+NESTED = ["level_ord", "urgent", "q1", "q2", "q3", "outcome_lag1"]  # the terms of three models: the first, the first five, all
+COMPARISON = on(SCORED, """,
+md AS (SELECT *, CASE level WHEN 'none' THEN 0 WHEN 'possible' THEN 1 WHEN 'probable' THEN 2 ELSE 3 END AS level_ord,
+  lag(outcome) OVER (PARTITION BY entity ORDER BY week_start) AS outcome_lag1, CAST(quarter(week_start) = 1 AS INTEGER) AS q1,
+  CAST(quarter(week_start) = 2 AS INTEGER) AS q2, CAST(quarter(week_start) = 3 AS INTEGER) AS q3 FROM scored)
+""" + " UNION ALL ".join(f"SELECT *, '{m}' AS model FROM ({fit_sql('md', NESTED[:k], 'outcome')})" for m, k in (("M1", 1), ("M2", 5), ("M3", 6))))
+
+
+@query(rounded(with_f_tail(COMPARISON, "f", "k - 1", "n - k", name="p_f"), "r2 adj_r2 f p_f aic bic", 5))
 def outcome_model_comparison(spark, sf):
     """Level only; level, weather and quarters; the same with the outcome one week before."""
     from weekwise.functions.numbers import ordinal
@@ -85,7 +114,7 @@ def outcome_model_comparison(spark, sf):
         "M1": md.ols(df, ["level_ord"], "outcome", "entity"),
         "M2": md.ols(df, ["level_ord", "urgent", *quarters], "outcome", "entity"),
         "M3": md.ols(df, ["level_ord", "urgent", *quarters, "outcome_lag1"], "outcome", "entity"),
-    }, "entity"))
+    }, "entity"), 5)
 
 
 @query(rounded(on(TREND, """
