@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weekwise.operators import aggregate
 from weekwise.plans import analysis, domain, feeds, master
 
 D = dt.date
@@ -198,3 +199,19 @@ def test_reports(study):
     assert reg["coefficients"].count() == 14 and reg["vif"].count() == 10
     audit = analysis.master_audit(study)
     assert audit["structure"].count() == 7 and audit["missing"].where("missing > 0").count() > 0
+
+
+def test_days_and_hours_are_counted_in_one_shuffle(spark):
+    D = dt.datetime
+    rows = [("a", D(2024, 1, 1, 0), 1.0), ("a", D(2024, 1, 1, 23), 2.0), ("a", D(2024, 1, 7, 5), 3.0), ("a", D(2024, 1, 3, 5), None), ("b", D(2024, 1, 2, 1), None), ("a", None, 1.0)]
+    df = spark.createDataFrame(rows, "e string, ts timestamp_ntz, v double")
+    daily = aggregate.daily_agg(df.where("ts is not null"), "e", "ts", ["v"], 24)
+    weekly = aggregate.weekly_agg(df, "e", "ts", {"d": aggregate.days_seen(F.col("v").isNotNull(), F.col("ts")), "c": aggregate.coverage(F.col("v").isNotNull(), F.col("ts"))})
+    for out in (daily, weekly):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Expand" not in plan
+    hours = {(r.e, r.date.day): r.hours_with_data for r in daily.collect()}
+    assert hours == {("a", 1): 2, ("a", 7): 1, ("a", 3): 0, ("b", 2): 0}
+    got = {(r.e, r.week_start): (r.d, r.c) for r in weekly.collect()}
+    monday = dt.date(2024, 1, 1)
+    assert got == {("a", monday): (2, 2 / 7), ("b", monday): (0, 0.0), ("a", None): (0, 0.0)}

@@ -91,7 +91,7 @@ def weather_weekly(daily: DataFrame, entity="entity", date: str = "fecha", rule:
     if rule == "any_temp":
         has = has | F.col("tmax_c").isNotNull() | F.col("tmin_c").isNotNull()
     return agg.weekly_agg(typed, entity, "date", {
-        "n_days": F.count_distinct(F.when(has, F.col("date"))),
+        "n_days": agg.days_seen(has, F.col("date")),
         "temp_c_mean": F.avg("temp_c"), "tmax_c_mean": F.avg("tmax_c"), "tmax_c_max": F.max("tmax_c"),
         "tmin_c_mean": F.avg("tmin_c"), "tmin_c_min": F.min("tmin_c"), "humidity_mean": F.avg("humidity"),
         "pressure_hpa_mean": F.avg("pressure_hpa"), "wind_ms_mean": F.avg("wind_ms"),
