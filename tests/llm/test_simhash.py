@@ -86,3 +86,13 @@ def test_query(spark):
     prints = sorted((r.doc_id, plain_print(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
     got = sorted(tuple(r) for r in QUERIES["op6_simhash_near_dedup"](spark, sf).select("doc_id", "fingerprint", "component_id").collect())
     assert got == [(d, f"{p:016x}", c) for (d, p), c in zip(prints, plain_components(prints), strict=True)]
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    """Columns called like those the operator works with stay as they are; repeats of the kept row are one row."""
+    rows = [(1, "a b c d", "x", 7, 0), (1, "a b c d", "x", 7, 0), (2, "a b c d", "y", 8, 1), (3, "something else altogether here now", "z", 9, 2), (None, "", "n", 1, 3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, __own string, __text int, own int")
+    got = simhash.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, [df.collect()[k] for k in (0, 3, 4)]))
+    assert simhash.one_of_each(df.limit(0)).count() == 0

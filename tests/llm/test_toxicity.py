@@ -1,10 +1,12 @@
 """Toxicity: the machine learns pairs that no sum of word weights can express, and held-out documents are told apart."""
 
+import re
 import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 from weekwise.llm import toxicity
+from weekwise.llm._common import BYTE_VALUE, prefix_hash, span_hash
 from weekwise.llm.registry import QUERIES
 
 
@@ -57,3 +59,39 @@ def test_labels_of_held_out_rows_do_not_matter(spark, tmp_path):
     turned = labels.withColumn("toxic", F.when(toxicity.fold("doc_id", 3) == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     turned.write.parquet(str(tmp_path / "labels.parquet"))
     assert sorted(map(tuple, QUERIES["op1_toxicity"](spark, sf).collect())) == sorted(map(tuple, QUERIES["op1_toxicity"](spark, str(tmp_path)).collect()))
+
+
+def plain_logit(model, text):
+    """Bias, weight of every distinct term, and the product of factors of every pair of them."""
+    place = {int(t): k for k, t in enumerate(model.terms)}
+
+    def hashed(word):
+        return int(span_hash(prefix_hash(BYTE_VALUE[np.frombuffer(word, np.uint8)]), np.array([0]), np.array([len(word)]))[0])
+
+    terms = set()
+    for word in re.findall(rb"[a-z\x80-\xff]+", (text or "").lower().encode()):
+        terms |= {hashed(word), *(hashed(word[:k]) ^ k for k in toxicity.STEMS if len(word) > k)}
+    known = sorted(place[t] for t in terms if t in place)
+    products = model.v[known] @ model.v[known].T
+    return model.bias + sum(float(model.w[i]) for i in known) + float(np.triu(products, 1).sum())
+
+
+def test_scores_equal_the_sum_over_all_pairs(spark):
+    """The query's scores on a whole table against a loop over pairs of terms."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.learn(docs, labels.where(toxicity.fold("doc_id", 3) != 1))
+    got = {r.doc_id: (r.score, r.predicted, r.held_out) for r in QUERIES["op1_toxicity"](spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    assert set(got) == set(texts) and len(model.terms)
+    for doc_id, text in texts.items():
+        want = 1 / (1 + np.exp(-plain_logit(model, text)))
+        assert abs(got[doc_id][0] - want) < 1e-9
+        assert got[doc_id][1:] == (int(got[doc_id][0] >= 0.7), zlib.crc32(str(doc_id).encode()) % 3 == 1)
+    # a model of many terms, each text with thousands of pairs
+    whole = [(t or "").encode() for t in texts.values()] + ["\u00c9T\u00c9 caf\u00e9 don't stop-stopping".encode(), b""]
+    terms = np.unique(toxicity.terms_of(whole)[1])[::2]
+    rng = np.random.default_rng(1)
+    many = toxicity.Model(terms, -0.5, rng.normal(0, 0.1, len(terms)), rng.normal(0, 0.1, (len(terms), toxicity.FACTORS)))
+    want = [1 / (1 + np.exp(-plain_logit(many, t.decode()))) for t in whole]
+    assert np.allclose(toxicity.score(many, whole), want, atol=1e-9) and np.std(want) > 0.05

@@ -225,6 +225,7 @@ def one_of_each(docs: DataFrame, radius: int = 3, doc_id: str = "doc_id", text:
     found = near_duplicates(docs, radius, doc_id, text)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "print")).alias("b"))
     kept = best.select(F.col("b.doc_id").alias("__id"), F.col("b.print").alias("__print"))
-    rows = docs.withColumns({"__own": docs[doc_id].cast("bigint"), "__text": F.xxhash64(docs[text])})
-    matched = rows.join(kept, rows["__own"].eqNullSafe(kept["__id"]) & (rows["__text"] == kept["__print"]), "left_semi")
-    return matched.dropDuplicates(["__own", "__text"]).drop("__own", "__text")
+    own, copy = docs[doc_id].cast("bigint"), F.xxhash64(docs[text])
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), own.alias("own"), copy.alias("copy"))  # whatever the columns are called
+    matched = rows.join(kept, rows["own"].eqNullSafe(kept["__id"]) & (rows["copy"] == kept["__print"]), "left_semi")
+    return matched.dropDuplicates(["own", "copy"]).select("row.*")
