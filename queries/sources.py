@@ -2,12 +2,14 @@
 documents, records and sheets that Spark writes from the tables and the parsers read back."""
 
 import gzip
+import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from weekwise.functions.dates import week_start
 from weekwise.functions.text import chunk_key, clean_xml_text
+from weekwise.operators.joins import build_master
 from weekwise.session import scratch_path
 from weekwise.sources import alerts as al
 from weekwise.sources import files as fs
@@ -47,6 +49,17 @@ def panel_round_trip(spark, sf):
     return fs.read_panel(spark, path)
 
 
+@query(rounded(on(FULL, """
+  SELECT entity, week_start, CASE WHEN missing = 0 THEN outcome END AS outcome, CASE WHEN missing = 0 THEN urgent END AS urgent, exposure, peak, share FROM full_panel"""), "exposure peak share"))
+def master_of_bucketed_feeds(spark, sf):
+    """Calendar and two feeds stored in buckets, joined bucket by bucket."""
+    rows, run = panel(spark, sf), uuid.uuid4().hex
+    parts = {"calendar": full_panel(spark, sf).select("entity", "week_start"), "outcome": rows.select("entity", "week_start", "outcome", "urgent"),
+             "exposure": rows.select("entity", "week_start", "exposure", "peak", "share")}
+    calendar, *feeds = [fs.write_feed(df, f"{name}_{run}", buckets=16, path=scratch_path(spark, name)) for name, df in parts.items()]
+    return tidy(build_master(calendar, feeds, ["entity", "week_start"]))
+
+
 CHUNKED = """c AS (SELECT event_id, value, CAST(year(ts) AS INTEGER) AS year_onset,
   substr(md5(CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) || '|' || CAST(CAST(date_trunc('week', ts) AS DATE) + 6 AS VARCHAR)), 1, 12) AS chunk_key FROM events)"""
 

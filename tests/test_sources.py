@@ -8,6 +8,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
+from weekwise.operators import joins
 from weekwise.sources import alerts, files, records
 
 
@@ -157,3 +158,24 @@ def test_exact_headers_go_first(spark):
     names = ["fecha", "NO2_validated", "NO2", "PM2.5 flag 5", "pm2_5", "SO2 raw", "SO2-2", "nox", "NOX "]
     got = records.normalize_headers(spark.createDataFrame([tuple("x" * len(names))], names)).columns
     assert got == ["date", "NO2_validated", "NO2", "PM2.5 flag 5", "PM2.5", "SO2", "SO2-2", "nox", "NOx"]
+
+
+def test_bucketed_feeds_join_without_a_shuffle(spark, tmp_path, monkeypatch):
+    weeks = [dt.date(2024, 1, 1) + dt.timedelta(weeks=k) for k in range(40)]
+    rows = [(e, w, i * 40 + k) for i, e in enumerate("abc") for k, w in enumerate(weeks)]
+    base = spark.createDataFrame(rows, "entity string, week_start date, v int")
+    parts = [base.select("entity", "week_start"), *[base.where(f"v % {m} = 0").withColumnRenamed("v", f"v{m}") for m in (2, 3, 5)]]
+    tables = [files.write_feed(df, f"feed_{k}_{tmp_path.name}", buckets=4, path=str(tmp_path / f"f{k}")) for k, df in enumerate(parts)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = joins.build_master(tables[0], tables[1:], ["entity", "week_start"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") == 3 and "Exchange" not in plan
+        got = {(r.entity, r.week_start): (r.v2, r.v3, r.v5) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for k in range(4):
+            spark.sql(f"DROP TABLE feed_{k}_{tmp_path.name}")
+    assert got == {(e, w): tuple(v if v % m == 0 else None for m in (2, 3, 5)) for e, w, v in rows}
+    assert files.write_feed(base.limit(0), f"none_{tmp_path.name}", buckets=4, path=str(tmp_path / "none")).count() == 0
