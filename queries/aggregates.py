@@ -8,6 +8,9 @@ from weekwise.operators import aggregate as agg
 from weekwise.operators.score import quantile_flag
 from weekwise.operators.window import climatology
 
+from weekwise.session import scratch_path
+from weekwise.sources.grids import read_grid, write_grid
+
 from . import query
 from .base import FULL, PANEL, PARENTS, SCORED, full_panel, on, panel, parents, rounded, scored, table, tidy
 from .panels import SPANS, spans
@@ -265,6 +268,20 @@ def grid_area_mean(spark, sf):
     return tidy(agg.grid_mean(e, "time", ["value"], 1000.0, (2, 1, 7, 12)), 4)
 
 
+@query(rounded("""
+  WITH g AS (SELECT date_trunc('hour', ts) AS time, user_id % 10 * 3.5 - 20 AS latitude, user_id // 10 * 1.25 + 4 AS longitude, value FROM events WHERE ts >= TIMESTAMP '2024-01-10'),
+  c AS (SELECT time, latitude, longitude, avg(value) AS value FROM g WHERE latitude BETWEEN -16.5 AND 8 AND longitude BETWEEN 6.5 AND 14 GROUP BY 1, 2, 3)
+  SELECT time, avg(value) * 1000 AS value FROM c GROUP BY time""", "value", 4))
+def grid_box_along_a_curve(spark, sf):
+    """The fields stored in the order of a space-filling curve; a box of them is read by ranges of codes."""
+    path = scratch_path(spark, "grid")
+    e = table(spark, sf, "events", "ts", "user_id", "value").where(F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz"))
+    write_grid(e.select(
+        F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("time"), (F.col("user_id") % 10 * 3.5 - 20).alias("latitude"),
+        (F.floor(F.col("user_id") / 10) * 1.25 + 4).alias("longitude"), "value"), path)
+    return tidy(agg.grid_mean(read_grid(spark, path, (-16.5, 6.5, 8, 14)), "time", ["value"], 1000.0), 4)
+
+
 @query(rounded(on(FULL, """
   SELECT entity, CAST(weekofyear(week_start) AS INTEGER) AS iso_week, avg(peak) AS peak_clim FROM full_panel GROUP BY 1, 2"""), "peak_clim"))
 def climatology_by_iso_week(spark, sf):

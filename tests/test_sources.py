@@ -5,11 +5,13 @@ import gzip
 import io
 import tarfile
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from weekwise.operators import joins
-from weekwise.sources import alerts, files, records
+from weekwise.sources import alerts, files, grids, records
 
 
 def test_delimited_with_any_encoding(spark, tmp_path):
@@ -179,3 +181,34 @@ def test_bucketed_feeds_join_without_a_shuffle(spark, tmp_path, monkeypatch):
             spark.sql(f"DROP TABLE feed_{k}_{tmp_path.name}")
     assert got == {(e, w): tuple(v if v % m == 0 else None for m in (2, 3, 5)) for e, w, v in rows}
     assert files.write_feed(base.limit(0), f"none_{tmp_path.name}", buckets=4, path=str(tmp_path / "none")).count() == 0
+
+
+def test_a_box_reads_few_row_groups(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    at = [(float(a), float(b)) for a, b in zip(rng.uniform(-90, 90, 40_000), rng.uniform(-180, 180, 40_000))]
+    odd = [(10.0, 20.0), (12.5, 25.0), (95.0, 20.0), (float("nan"), 20.0), (None, 20.0), (11.0, None), (11.0, 200.0)]
+    rows = [(dt.datetime(2024, 1 + i % 2, 5), a, b, i) for i, (a, b) in enumerate(at + odd)] + [(None, 11.0, 21.0, -1)]
+    df = spark.createDataFrame(rows, "time timestamp_ntz, latitude double, longitude double, v long")
+    path = str(tmp_path / "grid")
+    grids.write_grid(df, path, group_bytes=16_384)
+    for box in ((10.0, 20.0, 12.5, 25.0), (-90.0, -180.0, 90.0, 180.0), (5.0, 5.0, 5.0, 5.0), (3.0, 0.0, 2.0, 1.0), (-1.0, -1.0, 1.0, 1.0)):
+        south, west, north, east = box
+        inside = {r[3] for r in rows if r[1] is not None and r[2] is not None and south <= r[1] <= north and west <= r[2] <= east}
+        out = grids.read_grid(spark, path, box)
+        assert out.columns == df.columns and sorted(r.v for r in out.collect()) == sorted(inside)
+        ranges = grids.box_ranges(box)
+        assert len(ranges) <= 32 and ranges == sorted(ranges)
+    assert grids.read_grid(spark, path).count() == len(rows)
+    january = grids.read_grid(spark, path, (10.0, 20.0, 12.5, 25.0), (202401, 202401))
+    assert all(r.time.month == 1 for r in january.collect())
+    # row groups whose codes meet the box, of all row groups
+    ranges, groups = grids.box_ranges((10.0, 20.0, 12.5, 25.0)), []
+    for file in tmp_path.glob("grid/*/*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        place = meta.schema.names.index(grids.CODE)
+        groups += [meta.row_group(g).column(place).statistics for g in range(meta.num_row_groups)]
+    met = sum(any(s.min <= b and s.max >= a for a, b in ranges) for s in groups if s.has_min_max)
+    assert "GreaterThanOrEqual(grid_code" in january._jdf.queryExecution().toString()  # the ranges reach the scan
+    assert len(groups) >= 8 and met <= len(groups) / 4
+    with pytest.raises(ValueError, match="grid_code"):
+        grids.write_grid(df.withColumn("grid_code", F.lit(1)), path)
