@@ -35,6 +35,19 @@ def delimited_text_scan(spark, sf):
                       parse_comma_decimal("total").alias("price"), "o_orderpriority")
 
 
+@query("SELECT doc_id, coalesce(lang, '') AS lang, length(coalesce(text, '')) AS n_chars, md5(coalesce(text, '')) AS digest FROM documents")
+def delimited_with_line_breaks(spark, sf):
+    """Whole texts, line ends and quotes included, as quoted values of delimited files."""
+    path = scratch_path(spark, "quoted")
+    table(spark, sf, "documents", "doc_id", "lang", "text").select(
+        "doc_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "text")]
+    ).write.csv(path, sep=";", header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    raw = fs.read_delimited(spark, path, ["doc_id", "text"], multi_line=True, encoding="utf-8")
+    text = F.coalesce("text", F.lit(""))
+    return raw.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("lang"),
+                      F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("digest"))
+
+
 @query(on(PANEL, "SELECT entity, week_start, outcome, peak FROM panel"))
 def typed_csv_round_trip(spark, sf):
     path = scratch_path(spark, "csv")

@@ -1,8 +1,10 @@
 """Readers, parsers and sinks on small files."""
 
+import csv
 import datetime as dt
 import gzip
 import io
+import random
 import tarfile
 
 import numpy as np
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weekwise.operators import joins
-from weekwise.sources import alerts, files, grids, records
+from weekwise.sources import alerts, delimited, files, grids, records
 
 
 def test_delimited_with_any_encoding(spark, tmp_path):
@@ -212,3 +214,54 @@ def test_a_box_reads_few_row_groups(spark, tmp_path):
     assert len(groups) >= 8 and met <= len(groups) / 4
     with pytest.raises(ValueError, match="grid_code"):
         grids.write_grid(df.withColumn("grid_code", F.lit(1)), path)
+
+
+def _random_csv(rng, kind):
+    """Rows with quoted separators, quotes and line ends, and the bytes of a file that holds them below a title and a header."""
+    rows = [[rng.choice(["", "a", "ñandú", "x;y", 'say "so"', "two\nlines", "\n\n", "cr\r\nlf", "z" * rng.randint(1, 60)]) for _ in range(3)] for _ in range(rng.randint(0, 12))]
+    out = io.StringIO(newline="")
+    csv.writer(out, delimiter=";", quoting=csv.QUOTE_ALL, lineterminator=rng.choice(["\n", "\r\n"])).writerows([["Title", "", ""], ["k", "mid;dle", "v"], *rows])
+    data = out.getvalue().encode(kind)
+    return [tuple(x or None for x in r) for r in rows], data if rng.random() < 0.5 else data.rstrip(b"\r\n")
+
+
+@pytest.mark.parametrize(("range_bytes", "block_bytes"), [(7, 5), (64, 16), (1 << 20, 1 << 20)])
+def test_quoted_line_breaks_across_ranges(spark, tmp_path, range_bytes, block_bytes, monkeypatch):
+    rng, expected = random.Random(range_bytes), []
+    for i in range(12):
+        rows, data = _random_csv(rng, ["utf-8", "utf-8-sig", "cp1252"][i % 3])
+        (tmp_path / f"f {i}.csv").write_bytes(data)
+        expected += rows
+    (tmp_path / "p.csv.gz").write_bytes(gzip.compress(data))
+    (tmp_path / "empty.csv").write_bytes(b"")
+    monkeypatch.setattr(files, "read_records", lambda *a: delimited.read_records(*a[:-1], range_bytes, block_bytes))
+    df = files.read_delimited(spark, str(tmp_path), ["k", "v"], title_rows=1, multi_line=True)
+    assert df.columns == ["k", "mid;dle", "v"]
+    order = lambda rows: sorted(rows, key=str)
+    assert order(tuple(r) for r in df.collect()) == order(expected + rows)
+
+
+def test_ranges_of_lines(spark, tmp_path):
+    """Line by line a stray quote harms its line only, ranges agree with the whole, and the plan holds no join."""
+    rng = random.Random(1)
+    lines = [f"{i};{rng.choice(['5 in', 'é', '', 'w' * 40])}{rng.choice(['', chr(34)])}" for i in range(200)]
+    (tmp_path / "a.csv").write_bytes("\r\n".join(["k;v", *lines]).encode("latin-1"))
+    (tmp_path / "mac.csv").write_bytes("\r".join(["k;v", "900;x", "901;y"]).encode())
+    found = []
+    for size in (11, 300, 1 << 20):
+        df = files.read_delimited(spark, str(tmp_path / "*.csv"), range_bytes=size)
+        found.append(sorted((int(r.k), r.v) for r in df.collect()))
+    assert found[0] == found[1] == found[2]
+    assert [k for k, _ in found[0]] == [*range(200), 900, 901]
+    assert df.rdd.getNumPartitions() == 1
+    assert "Join" not in df._jdf.queryExecution().toString()
+    small = files.read_delimited(spark, str(tmp_path / "a.csv"), range_bytes=300, encoding="latin-1")
+    assert small.rdd.getNumPartitions() > 5
+
+
+def test_encoding_by_file(spark, tmp_path):
+    """One byte that only Latin-1 knows decides for its whole file; undefined UTF-8 late in a file does as well."""
+    (tmp_path / "a.csv").write_bytes(b"v\n\x80\n" + b"x\n" * 50 + b"\x81\n")
+    (tmp_path / "b.csv").write_bytes(b"v\n\xc3\xb1\n" + b"y\n" * 50 + b"\x80\n")
+    df = files.read_delimited(spark, str(tmp_path), range_bytes=20)
+    assert sorted({r.v for r in df.collect()} - {"x", "y"}) == ["\x80", "\x81", "Ã±", "€"]

@@ -10,59 +10,34 @@ from pyspark.sql.types import StructType
 from weekwise.operators._util import as_list, col
 from weekwise.operators.dedup import dedup_last
 from weekwise.operators.quality import assert_panel, require_columns
-
-
-def _c1_table() -> tuple[str, str]:
-    """Characters that Windows-1252 has where ISO-8859-1 has control codes."""
-    source, target = [], []
-    for code in range(0x80, 0xA0):
-        try:
-            target.append(bytes([code]).decode("cp1252"))
-            source.append(chr(code))
-        except UnicodeDecodeError:
-            continue
-    return "".join(source), "".join(target)
-
-
-_C1, _CP1252 = _c1_table()
-
-
-def decode_line(c: Column) -> Column:
-    """Raw line -> text: UTF-8 when it is valid UTF-8, else Windows-1252; byte-order mark removed."""
-    latin = F.translate(F.decode(c.cast("binary"), "ISO-8859-1"), _C1, _CP1252)
-    return F.regexp_replace(F.when(F.is_valid_utf8(c), c).otherwise(latin), "^﻿", "")
+from weekwise.sources.delimited import RANGE_BYTES, read_records
 
 
 def read_delimited(
     spark: SparkSession, path: str | list[str], required: Sequence[str] = (), sep: str = ";", quote: str = '"',
-    title_rows: int = 0,
+    title_rows: int = 0, encoding: str | None = None, multi_line: bool = False, range_bytes: int = RANGE_BYTES,
 ) -> DataFrame:
-    """Delimited text with a header line, every column STRING, encoding chosen line by line.
-
-    The text source hands over raw bytes, so one read serves UTF-8 (with or without byte-order mark) and
-    Windows-1252/Latin-1 files alike and stays splittable. The first lines of *every* file, ``title_rows`` and the header, are found by
-    their place and left out by their place, so a data row that equals one of them stays. The headers must
-    agree, names and order (a small job reads them); they are cleaned and checked against ``required``.
+    """Delimited text with a header record, every column STRING, read by planned byte ranges (``sources/delimited.py``).
+
+    The first records of *every* file that are not blank, ``title_rows`` and the header, are left out by their place, so a row that equals one
+    of them stays. The headers must agree, names and order (the planning job reads them); they are cleaned and checked against
+    ``required``. Without ``encoding`` each file is UTF-8 (with or without byte-order mark), Windows-1252 or Latin-1, the first that
+    all its bytes are valid in. Line ends are \\n, \\r\\n and \\r. With ``multi_line`` line ends within quotes belong to the value (quotes
+    must then be balanced, and \\r alone ends no line); a quote that never closes takes the rest of its file. Blank lines and empty
+    files give no rows; rows too short are filled with NULL. The plan is a snapshot: files that come later are not read.
     """
-    lines = spark.read.text(path).select(
-        decode_line(F.col("value")).alias("line"), F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
-    )
-    # numbers rise within a file's first block, and a scan of the same files is cut the same way again
-    w = Window.partitionBy("file").orderBy("at")
-    first = lines.where((F.col("block") == 0) & (F.length(F.trim("line")) > 0)).withColumn("n", F.row_number().over(w))
-    heads = first.where(F.col("n") <= title_rows + 1)
-    found = [r["line"] for r in heads.where(F.col("n") == title_rows + 1).select("line").distinct().limit(100).collect()]
-    headers = {tuple(n.strip().strip(quote).strip() for n in line.split(sep)) for line in found}
+    records, headers = read_records(spark, path, sep, quote, title_rows, encoding, multi_line, range_bytes)
     if not headers:
         raise ValueError(f"{path}: no header line")
     if len(headers) > 1:
-        raise ValueError(f"{path}: files with different headers: {sorted(headers)[:2]}")
+        raise ValueError(f"{path}: files with different headers: {headers[:2]}")
     (names,) = headers
-    rows = lines.where(F.length(F.trim("line")) > 0).join(heads.select("at"), "at", "left_anti")
     options = {"sep": sep, "quote": quote, "mode": "PERMISSIVE"}
+    if multi_line:
+        options |= {"escape": quote, "multiLine": "true", "lineSep": "\n"}
     ddl = ", ".join(f"`{n}` STRING" for n in names)
-    out = rows.select(F.inline(F.array(F.from_csv("line", ddl, options))))
+    rows = records.where(F.length(F.trim("record")) > 0)
+    out = rows.select(F.inline(F.array(F.from_csv("record", ddl, options))))
     require_columns(out, required, str(path))
     return out
 
