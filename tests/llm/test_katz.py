@@ -74,6 +74,10 @@ def test_against_dictionaries(spark, docs, monkeypatch, size):
     monkeypatch.setattr(katz, "BATCH_BYTES", 4 * size)
     monkeypatch.setattr(katz, "BUCKET_BYTES", 8 * size)
     monkeypatch.setattr(katz, "HOT", 20)
+    # several batches to a shelf, and row groups that hold parts of a batch
+    monkeypatch.setattr(katz, "SHELVES", 2)
+    monkeypatch.setattr(katz, "SHELF_BATCHES", 3)
+    monkeypatch.setattr(katz, "ROW_GROUP_BYTES", 4 * size)
     texts = texts_of(4, 150)
     held = [i % 5 == 2 for i in range(len(texts))]
     model = katz.fit(docs(texts), F.col("doc_id") % 5 == 2)

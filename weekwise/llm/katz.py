@@ -2,7 +2,7 @@
 
 The corpus is staged once as batches of documents. Counts travel up and probabilities' parts travel down, both summed per batch and packed
 as arrays: a batch sends each of its distinct words (then word pairs) once to the bucket that counts it, and
-finds the answers under its own key in a table partitioned by batch. So a word or pair that makes up a third of all tokens is one entry per
+finds the answers under its own key in a table sorted by batch. So a word or pair that makes up a third of all tokens is one entry per
 batch. Pairs are filed under their first word; a first word with more than 1/HOT of all tokens is spread over all buckets.
 
 P(w|u) is d_n * n / c(u) for a pair seen n times and alpha(u) * P(w) for others; P(w) is d_c * c / N for known words, and what the
@@ -29,6 +29,8 @@ from ._common import BYTE_VALUE, LOWER, as_bytes, mix, prefix_hash, shared_table
 BATCH_BYTES = 8 << 20  # text of a batch; a longer text is a batch of its own
 HASH_BYTES = 1 << 20  # text whose words are hashed at a time
 BUCKET_BYTES = 8 << 20  # text whose words and pairs one bucket counts, on average
+SHELVES, SHELF_BATCHES = 256, 64  # directories of a table of answers: so many, more only where each would hold over SHELF_BATCHES batches
+ROW_GROUP_BYTES = 8 << 20
 TOP = 5  # counts up to so many are discounted
 HOT = 10_000  # at most so many first words are spread over the buckets
 START, UNKNOWN, FIRST = 0, 1, 2  # ids: start of a text (as first word only), unknown word, first known word
@@ -173,17 +175,23 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Batch]]:
             yield b.column(0)[i].as_py(), open_batch(ids, np.array(b.column(2)[i].as_py(), bool), np.array(b.column(3)[i].as_py(), np.int64), b.column(4)[i].as_py())
 
 
-def _by_batch(rows: DataFrame, name: str) -> str:
-    """Write answers partitioned by batch; returns the folder."""
-    path = f"{shared_dir(rows.sparkSession)}/llm/{name}-{uuid.uuid4().hex}"
-    rows.select("batch", "bucket", "x", "y", "z").repartition("batch").write.partitionBy("batch").parquet(path)
-    return path
+class Answers(NamedTuple):
+    """A table of answers: batches share ``shelves`` directories, sorted by batch, and a reader finds its batch by row-group statistics."""
+
+    folder: str
+    shelves: int
 
+    def of(self, batch: int) -> dict[int, dict]:
+        files, path = pafs.FileSystem.from_uri(f"{self.folder}/shelf={batch % self.shelves}")
+        table = pads.dataset(path, filesystem=files, format="parquet").to_table(columns=["bucket", "x", "y", "z"], filter=pads.field("batch") == batch)
+        return {r["bucket"]: r for r in table.to_pylist()}
 
-def _answers(folder: str, batch: int) -> dict[int, dict]:
-    files, path = pafs.FileSystem.from_uri(f"{folder}/batch={batch}")
-    table = pads.dataset(path, filesystem=files, format="parquet").to_table()
-    return {r["bucket"]: r for r in table.to_pylist()}
+
+def _by_batch(rows: DataFrame, name: str, shelves: int) -> Answers:
+    path = f"{shared_dir(rows.sparkSession)}/llm/{name}-{uuid.uuid4().hex}"
+    placed = rows.select("batch", "bucket", "x", "y", "z", (F.col("batch") % shelves).alias("shelf"))
+    placed.repartition("shelf").sortWithinPartitions("shelf", "batch").write.option("parquet.block.size", ROW_GROUP_BYTES).partitionBy("shelf").parquet(path)
+    return Answers(path, shelves)
 
 
 def _split(bucket: np.ndarray, buckets: int) -> list[np.ndarray]:
@@ -274,8 +282,8 @@ class Model(NamedTuple):
     """The tables of a fitted model: ``work1`` has rows of kind words (hash, id, count), ``work2`` of kinds pairs (ids, others, counts) and contexts."""
 
     corpus: DataFrame
-    word_answers: str
-    pair_answers: str
+    word_answers: Answers
+    pair_answers: Answers
     words: Words
     pair_factor: np.ndarray
     hot: np.ndarray
@@ -285,10 +293,10 @@ class Model(NamedTuple):
     work2: DataFrame
 
 
-def _vocabulary(batch: int, b: Batch, folder: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+def _vocabulary(batch: int, b: Batch, answers: Answers, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Id and total count of each distinct word of the batch."""
     ids, counts = np.full(len(b.hashes), UNKNOWN, np.int64), np.zeros(len(b.hashes), np.int64)
-    found = _answers(folder, batch)
+    found = answers.of(batch)
     for k, own in enumerate(_split((b.hashes % np.uint64(buckets)).astype(np.int64), buckets)):
         if len(own):
             ids[own], counts[own] = unpack(found[k]["x"], np.uint32), unpack(found[k]["y"], np.int64)
@@ -309,7 +317,8 @@ def fit(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "text
     Bounded: a batch, a bucket, and the list of spread first words. All counts are exact and cover every training text.
     """
     corpus = _stage(docs, held, doc_id, text)
-    size = corpus.select(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x + 1))).first()[0] or 0
+    size, many = corpus.select(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x + 1)), F.count("*")).first()
+    size, shelves = size or 0, max(SHELVES, many // SHELF_BATCHES)
     buckets = max(4, -(-size // BUCKET_BYTES))
 
     def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +331,7 @@ def fit(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "text
 
     sent = corpus.mapInArrow(send_words, WORK).select("bucket", "batch", "x", "y")
     work1 = shared_table(sent.groupBy("bucket").applyInArrow(lambda k, t: _count_words(k, t, buckets), WORK), "words", partition_by=("kind",))
-    word_answers = _by_batch(work1.where("kind = 'answer'"), "word-answers")
+    word_answers = _by_batch(work1.where("kind = 'answer'"), "word-answers", shelves)
     sums = work1.where("kind = 'sum'").select(*[F.sum(F.col("counts")[i]) for i in range(TOP + 4)]).first()
     total, distinct, *kinds = (int(x or 0) for x in sums)
     words = word_model(total, distinct, kinds)
@@ -345,7 +354,7 @@ def fit(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "text
 
     sent = corpus.mapInArrow(send_pairs, WORK).select("bucket", "batch", "x", "y", "z")
     work2 = shared_table(sent.groupBy("bucket").applyInArrow(lambda k, t: _count_pairs(k, t, words, hot), WORK), "pairs", partition_by=("kind",))
-    pair_answers = _by_batch(work2.where("kind = 'answer'"), "pair-answers")
+    pair_answers = _by_batch(work2.where("kind = 'answer'"), "pair-answers", shelves)
     sums = work2.where("kind = 'sum'").select(*[F.sum(F.col("counts")[i]) for i in range(TOP + 2)]).first()
     factor = discounts([int(x or 0) for x in sums])
     spread = work2.where("kind = 'hot'").groupBy("batch").agg(
@@ -390,7 +399,7 @@ def score(model: Model) -> DataFrame:
             u = (pairs >> np.uint64(32)).astype(np.int64)
             n, small, mass = np.zeros(len(pairs), np.int64), np.zeros((len(pairs), TOP)), np.zeros(len(pairs))
             present = np.zeros(len(pairs), np.uint8)
-            found = _answers(pair_answers, batch)
+            found = pair_answers.of(batch)
             for k, own in enumerate(_split(_pair_bucket(pairs, u, hot, buckets), buckets)):
                 if not len(own):
                     continue
