@@ -130,6 +130,10 @@ def test_chunk_that_loses_a_year(spark, tmp_path):
     files.write_partitioned_idempotent(df, path)
     files.write_partitioned_idempotent(spark.createDataFrame([(9, 2024, "k1")], df.schema), path)
     assert sorted((r.v, r.year_onset, r.chunk_key) for r in files.read_chunks(spark, path).collect()) == [(3, 2024, "k2"), (9, 2024, "k1")]
+    # a plain reader tells fillers from rows by the stored mark
+    assert sorted(r.v for r in spark.read.parquet(path).where("__row").collect()) == [3, 9]
+    with pytest.raises(ValueError, match="__row"):
+        files.write_partitioned_idempotent(df.withColumn("__row", F.lit(True)), path)
 
 
 def test_deep_and_broken_archives(spark):

@@ -22,6 +22,7 @@ from weekwise.session import scratch_path
 
 RANGE_BYTES = 128 << 20
 BLOCK_BYTES = 4 << 20
+PEEKS = 64  # files, or ranges of which only the ends are read, that one planning task opens on average
 PACKED = (".gz", ".bz2", ".zst")  # streams that cannot be entered in the middle: one range each
 TO_THE_END = 1 << 62
 NOT_IN_CP1252 = [b"\x81", b"\x8d", b"\x8f", b"\x90", b"\x9d"]
@@ -170,7 +171,9 @@ def plan_ranges(
         "path", F.explode(F.when(packed, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long")))).alias("start"),
         F.when(packed, F.lit(TO_THE_END)).otherwise(F.col("length")).alias("size"),
     ).select("path", "start", F.least(F.when(F.col("size") == TO_THE_END, F.col("size")).otherwise(F.col("start") + range_bytes), "size").alias("end"), "size")
-    tasks = 1 + (files.agg(F.sum("length")).first()[0] or 0) // range_bytes
+    total, many = files.agg(F.sum("length"), F.count("*")).first()
+    whole = encoding is None or quote
+    tasks = 1 + (total or 0) // (range_bytes if whole else PEEKS * range_bytes) + many // PEEKS
     facts = ranges.repartition(tasks, "path", "start").mapInArrow(_prober(titles, quote.encode(), encoding is None, block_bytes), _FACTS)
     of_file, before = Window.partitionBy("path"), Window.partitionBy("path").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     guessed = F.when(F.min("utf8").over(of_file), "utf-8").when(F.min("cp1252").over(of_file), "cp1252").otherwise("latin-1")

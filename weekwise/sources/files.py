@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from weekwise.operators._util import as_list, col
@@ -127,9 +127,12 @@ def write_partitioned_idempotent(
 ) -> None:
     """Write by year and chunk so that writing a chunk again replaces just that chunk, in all years.
 
-    A year that a chunk no longer has is replaced by an empty part. ``resume=True`` leaves chunks that are already stored untouched and
-    writes only the others.
+    A year that a chunk no longer has keeps one row of NULLs, as a directory is only replaced where rows are written; the stored column
+    ``__row`` tells rows (true) from such fillers (NULL). ``read_chunks`` leaves both out, other readers need ``WHERE __row``. A table with
+    a column of that name is refused. ``resume=True`` leaves chunks that are already stored untouched and writes only the others.
     """
+    if "__row" in df.columns:
+        raise ValueError("the column __row is the sink's own")
     try:
         stored = df.sparkSession.read.parquet(path).select(year, chunk).distinct()
     except Exception as error:  # nothing stored yet
