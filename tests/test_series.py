@@ -47,6 +47,15 @@ def test_largest_range(events):
     assert [r["count"] for r in sizes if r.e == "single"] == [1]
 
 
+def test_cuts_of_a_group_of_millions(spark):
+    many = 9_000_000
+    rows = spark.range(many).withColumnRenamed("id", "v")
+    found = cuts.group_cuts(rows, "v").first()["__cuts"]
+    assert 200 < len(found) < cuts.RANGES and found == sorted(found)
+    assert max(b - a for a, b in zip(found, found[1:])) < 5 * many / cuts.RANGES
+    assert ordered.quantiles(rows, "v", {"q": 0.9}).first().q == pytest.approx(0.9 * (many - 1))
+
+
 def test_rows_and_sums(events):
     same(run(scan.row_numbers, events, name="n"), events.withColumn("n", F.row_number().over(along())))
     same(run(scan.running_sums, events, {"s": "v", "c": "f"}), events.withColumns({"s": F.sum("v").over(along()), "c": F.sum("f").over(along())}))

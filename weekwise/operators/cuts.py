@@ -35,7 +35,8 @@ def group_cuts(df: DataFrame, value: str, by=(), per_range: int = 10_000, ranges
     sizes = rows.groupBy(*map(col, keys)).agg(F.count("*").alias("__rows")).where(F.col("__rows") > per_range)
     sized = join_nullsafe(rows, sizes, keys, "inner") if keys else add_scalars(rows, sizes)
     wanted = F.least(F.lit(ranges), F.ceil(F.col("__rows") / per_range)) - 1
-    spot = F.pmod(F.xxhash64(col(value), F.lit("cut")), F.lit(1 << 40))
+    # as a double: the product with the rows of a group passes a long from 8.4 million rows on
+    spot = F.pmod(F.xxhash64(col(value), F.lit("cut")), F.lit(1 << 40)).cast("double")
     sampled = sized.where(spot * F.col("__rows") < (wanted + 1) * F.lit(OVERSAMPLE * (1 << 40)).cast("double"))
     return sampled.groupBy(*map(col, keys)).agg(_cut_values(value, wanted).alias("__cuts"))
 
