@@ -127,18 +127,32 @@ def json_records(spark, sf):
     CAST(user_id AS DOUBLE) / 10 AS dewpoint_c, 5::DOUBLE AS dew_qc
   FROM (SELECT event_id, event_type, value, user_id, date_trunc('minute', ts) AS ts FROM events)""")
 def fixed_width_records(spark, sf):
-    """Events written as hourly surface-weather lines and read back; some lines are cut short."""
+    """Events written as hourly surface-weather lines and read back; some lines are cut short. Values that the public
+    record has no room for, or that are its codes for missing ones, go to a record of the same fields, 24 characters each."""
     e = table(spark, sf, "events", "event_id", "ts", "event_type", "value", "user_id")
-    temp = F.col("user_id") - 50
+    temp, cents = F.col("user_id") - 50, F.col("value") * 100
+    unseen, failed = F.col("event_type") == "view", F.col("event_type") == "error"
     sign = F.when(temp < 0, "-").otherwise("+")
-    line = F.concat(
-        F.lpad(F.lit("0"), 15, "0"), F.date_format("ts", "yyyyMMddHHmm"), F.lpad(F.lit("x"), 51, "x"),
-        F.when(F.col("event_type") == "view", "999999").otherwise(F.lpad(F.floor(F.col("value") * 100).cast("string"), 6, "0")),
+    head = F.concat(F.lpad(F.lit("0"), 15, "0"), F.date_format("ts", "yyyyMMddHHmm"))
+    public = F.concat(
+        head, F.lpad(F.lit("x"), 51, "x"),
+        F.when(unseen, "999999").otherwise(F.lpad(F.floor(cents).cast("string"), 6, "0")),
         (F.col("event_id") % 10).cast("string"), F.lit("N1"),
-        F.when(F.col("event_type") == "error", "+9999").otherwise(F.concat(sign, F.lpad(F.abs(temp).cast("string"), 4, "0"))),
+        F.when(failed, "+9999").otherwise(F.concat(sign, F.lpad(F.abs(temp).cast("string"), 4, "0"))),
         F.lit("1"), F.lit("+"), F.lpad(F.col("user_id").cast("string"), 4, "0"), F.lit("5"))
-    lines = e.select("event_id", line.alias("value")).unionByName(e.select("event_id", F.substring(line, 1, 20).alias("value")))
-    out = rc.parse_fixed_width(lines, keep=["event_id"])
+    fits = (F.col("event_id") >= 0) & F.col("user_id").between(0, 9998) & (unseen | ((cents >= 0) & (cents < 999999)))
+    code = "9" * 24
+    whole = F.when(F.abs(cents) < 2.0**53, F.floor(cents).cast("string")).otherwise(cents.cast("string"))  # larger doubles have no fraction
+    wide = F.concat(head, *[F.lpad(F.coalesce(c.cast("string"), F.lit("")), 24, " ") for c in (
+        F.when(unseen, code).otherwise(whole), F.col("event_id") % 10, F.when(failed, code).otherwise(temp.cast("string")), F.lit(1), F.col("user_id"), F.lit(5))])
+    wide_fields = [rc.Field(f.name, 28 + 24 * k, 24, f.scale, f.missing and code) for k, f in enumerate(rc.HOURLY_FIELDS)]
+
+    def read_back(rows, line, fields):
+        lines = rows.select("event_id", line.alias("value")).unionByName(rows.select("event_id", F.substring(line, 1, 20).alias("value")))
+        return rc.parse_fixed_width(lines, fields=fields, keep=["event_id"])
+
+    roomy = F.coalesce(fits, F.lit(False))
+    out = read_back(e.where(roomy), public, rc.HOURLY_FIELDS).unionByName(read_back(e.where(~roomy), wide, wide_fields))
     return out.withColumn("dt_utc", F.convert_timezone(F.current_timezone(), F.current_timezone(), F.col("dt_utc").cast("timestamp_ntz")))
 
 
