@@ -70,6 +70,16 @@ def test_shifts(events, k):
     same(run(scan.moving_avg, events, "v", k, name="m"), events.withColumn("m", F.avg("v").over(along().rowsBetween(1 - k, 0))))
 
 
+def test_no_row_is_sorted_with_what_it_is_carried(events):
+    """A window on rows above the join would shuffle and sort every row with the values of the ranges before it."""
+    for df in (run(scan.lags, events, "v", [1, 24]), run(scan.leads, events, "v", [3]), run(scan.moving_avg, events, "v", 7)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Join LeftOuter") < plan.index("Window")
+    s = scan.Series(events, "e", "k", ["i"], ROWS)
+    rows, *levels = scan._edges(s, F.col("v"), 24, False)
+    assert s.carried(rows, *levels).agg(F.max(F.size("__carry"))).first()[0] == 24
+
+
 def test_known_and_filled(events):
     ahead = along().rowsBetween(0, Window.unboundedFollowing)
     same(run(scan.last_known, events, {"a": "v"}), events.withColumn("a", F.last("v", True).over(along())))

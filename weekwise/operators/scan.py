@@ -2,8 +2,8 @@
 
 A window over an entity puts all its rows into one task. Here a long series is cut into time ranges (``cuts.py``, the small cut table is
 stored), every range is scanned on its own, one row per range (its size, its edge values, its sums) is scanned across the ranges, and what
-that scan carries into a range is joined back. Each operator shuffles the rows once, to their ranges. Entities with at most ``rows`` rows have
-one range and no carry. ``order`` is the key of the series, ``ties`` are columns that order rows with an equal key, which stay in
+that scan carries into a range is joined back. Each operator shuffles the rows once, to their ranges: all windows on rows stand before that join,
+whose keys are those that the rows are dealt by. Entities with at most ``rows`` rows have one range and no carry. ``order`` is the key of the series, ``ties`` are columns that order rows with an equal key, which stay in
 one range. A NULL key comes first.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._util import as_list, col, join_nullsafe
+from ._util import as_list, col
 from .cuts import ranged_by_stored
 
 ROWS = 100_000  # rows from which on an entity is cut, and about the rows of a range
@@ -27,17 +27,18 @@ class Series:
         keys = as_list(entity)
         if not keys:
             df, keys = df.withColumn("__all", F.lit(0)), ["__all"]
-        self.keys, self.columns = keys, [c for c in df.columns if c != "__all"]
-        self.rows = ranged_by_stored(df, order, keys, rows, RANGES)
-        self.part = [*map(col, keys), F.col("__range")]
+        self.columns = [c for c in df.columns if c != "__all"]
+        # one key that is never NULL: a join on it finds the rows dealt as the windows left them
+        self.rows = ranged_by_stored(df, order, keys, rows, RANGES).withColumn("__series", F.struct(*map(col, keys)))
+        self.part = ["__series", "__range"]
         place = [col(c) for c in (order, *ties)]
         self.forward = Window.partitionBy(*self.part).orderBy(*[c.asc() for c in place])
         self.backward = Window.partitionBy(*self.part).orderBy(*[c.desc() for c in place])
-        self.along = Window.partitionBy(*map(col, keys)).orderBy("__range")  # at most RANGES rows
+        self.along = Window.partitionBy("__series").orderBy("__range")  # at most RANGES rows
         self.so_far = self.forward.rowsBetween(Window.unboundedPreceding, 0)
         self.to_come = self.backward.rowsBetween(Window.unboundedPreceding, 0)
         self.before = self.along.rowsBetween(Window.unboundedPreceding, -1)
-        self.after = Window.partitionBy(*map(col, keys)).orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
+        self.after = Window.partitionBy("__series").orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
 
     def carried(self, rows: DataFrame, per_range: Mapping[str, Column], *levels: Mapping[str, Column]) -> DataFrame:
         """Aggregate each range, scan the aggregates along the ranges in ``levels``, and join the last level to the rows.
@@ -45,11 +46,10 @@ class Series:
         Entities with one range have no row in the joined table, so what they are carried is NULL.
         """
         table = rows.groupBy(*self.part).agg(*[c.alias(n) for n, c in per_range.items()])
-        several = Window.partitionBy(*map(col, self.keys))
-        table = table.withColumn("__ranges", F.count("*").over(several)).where("__ranges > 1")
+        table = table.withColumn("__ranges", F.count("*").over(Window.partitionBy("__series"))).where("__ranges > 1")
         for level in levels:
             table = table.withColumns(dict(level))
-        return join_nullsafe(rows, table.select(*self.part, *levels[-1]), [*self.keys, "__range"])
+        return rows.join(table.select(*self.part, *levels[-1]), self.part, "left")
 
     def result(self, rows: DataFrame, **added: Column) -> DataFrame:
         return rows.select(*map(col, self.columns), *[c.alias(n) for n, c in added.items()])
@@ -67,23 +67,25 @@ def row_numbers(df: DataFrame, entity, order: str, name: str = "row_number", tie
     return s.result(out, **{name: F.col("__i") + F.coalesce("__o", F.lit(0))})
 
 
-def _edges(s: Series, held: Column, most: int, lead: bool) -> tuple[DataFrame, dict[str, Column], dict[str, Column]]:
+def _edges(s: Series, held: Column, most: int, lead: bool) -> tuple[DataFrame, dict[str, Column], dict[str, Column], dict[str, Column]]:
     """Rows numbered from the edge that values enter by, and the ``most`` values nearest to it of the ranges before, nearest last."""
     inside, outward = (s.backward, s.forward) if lead else (s.forward, s.backward)
     numbered = s.rows.withColumns({"__i": F.row_number().over(inside), "__e": F.row_number().over(outward)})
     edge = F.when(F.col("__e") <= most, F.struct((-F.col("__e")).alias("e"), held.alias("v")))
-    toward = Window.partitionBy(*map(col, s.keys)).orderBy(F.desc("__range") if lead else F.asc("__range")).rowsBetween(-most, -1)
-    # every range has a row, so the nearest ``most`` ranges are enough
-    return numbered.withColumn("__edge", edge), {"__tail": F.sort_array(F.collect_list("__edge"))}, {"__carry": F.flatten(F.collect_list("__tail").over(toward))}
+    toward = Window.partitionBy("__series").orderBy(F.desc("__range") if lead else F.asc("__range")).rowsBetween(-most, -1)
+    # every range has a row, so the nearest ``most`` ranges are enough, and of their values the nearest ``most``
+    tails = {"__tails": F.flatten(F.collect_list("__tail").over(toward))}
+    carry = {"__carry": F.slice("__tails", F.greatest(F.size("__tails") - most, F.lit(0)) + 1, F.lit(most))}
+    return numbered.withColumn("__edge", edge), {"__tail": F.sort_array(F.collect_list("__edge"))}, tails, carry
 
 
 def _shifted(df: DataFrame, c: str, ks: Sequence[int], entity, order: str, ties: Sequence[str], rows: int, lead: bool) -> DataFrame:
     s = Series(df, entity, order, ties, rows)
-    out = s.carried(*_edges(s, col(c), max(ks), lead))
     shift, word = (F.lead, "lead") if lead else (F.lag, "lag")
+    numbered, *levels = _edges(s, col(c), max(ks), lead)
+    out = s.carried(numbered.withColumns({f"__s{k}": shift(col(c), k).over(s.forward) for k in ks}), *levels)
     carried = {k: F.get("__carry", F.size("__carry") - k + F.col("__i") - 1)["v"] for k in ks}
-    own = out.withColumns({f"__s{k}": shift(col(c), k).over(s.forward) for k in ks})
-    return s.result(own, **{f"{c}_{word}{k}": F.when(F.col("__i") > k, F.col(f"__s{k}")).otherwise(carried[k]) for k in ks})
+    return s.result(out, **{f"{c}_{word}{k}": F.when(F.col("__i") > k, F.col(f"__s{k}")).otherwise(carried[k]) for k in ks})
 
 
 def lags(df: DataFrame, c: str, ks: Sequence[int], entity, order: str, ties: Sequence[str] = (), rows: int = ROWS) -> DataFrame:
@@ -100,9 +102,9 @@ def moving_avg(df: DataFrame, c: str, n: int, entity, order: str, name: str | No
     """Mean of the last ``n`` rows, from the first row on; NULL where none of them is known."""
     s = Series(df, entity, order, ties, rows)
     value = col(c).cast("double")
-    out = s.carried(*_edges(s, value, max(n - 1, 1), False))
+    numbered, *levels = _edges(s, value, max(n - 1, 1), False)
     last = s.forward.rowsBetween(1 - n, 0)
-    out = out.withColumns({"__s": F.coalesce(F.sum(value).over(last), F.lit(0.0)), "__c": F.count(col(c)).over(last)})
+    out = s.carried(numbered.withColumns({"__s": F.coalesce(F.sum(value).over(last), F.lit(0.0)), "__c": F.count(col(c)).over(last)}), *levels)
     need = F.when(F.col("__i") < n, n - F.col("__i")).otherwise(0)
     reach = F.slice(F.coalesce("__carry", F.array().cast("array<struct<e:int,v:double>>")), -F.least(need, F.size("__carry")), need)
     known = F.filter(F.transform(F.when((need > 0) & (F.size("__carry") > 0), reach), lambda e: e["v"]), lambda v: v.isNotNull())
