@@ -4,7 +4,7 @@ import gzip
 import io
 import tarfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weekwise.functions import text
@@ -85,25 +85,41 @@ def alert_feed_by_entity(spark, sf):
     return tidy(feeds.alerts_weekly_by_entity(feeds.classify_alerts(flat)))
 
 
+def packer(limit: int = 4 << 20):
+    """Batches of (path, text) -> (path, content): the text in tar in gzip in tar in gzip in tar. Archives leave in batches of about ``limit``
+    bytes, so that a task never holds those of a whole batch of rows."""
+
+    def tar(**members: bytes) -> bytes:
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as archive:
+            for name, data in members.items():
+                info = tarfile.TarInfo(name.replace("_", "."))
+                info.size = len(data)
+                archive.addfile(info, io.BytesIO(data))
+        return out.getvalue()
+
+    def run(batches):
+        paths, contents, size = [], [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                t = batch.column(1)[i].as_py().encode()
+                paths.append(batch.column(0)[i].as_py())
+                contents.append(tar(inner_tgz=gzip.compress(tar(deep_tgz=gzip.compress(tar(t_xml=t), 1)), 1), plain_xml=t))
+                size += len(contents[-1])
+                if size >= limit:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+                    paths, contents, size = [], [], 0
+        if paths:
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])
+
+    return run
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS path, member, md5(text) AS digest FROM documents, (VALUES ('inner.tgz::deep.tgz::t.xml'), ('plain.xml')) AS m(member)")
 def nested_archives(spark, sf):
     """Texts inside tar inside gzip inside tar inside gzip inside tar, unpacked to documents."""
-
-    @F.pandas_udf("binary")
-    def packed(texts: pd.Series) -> pd.Series:
-        def tar(**members: bytes) -> bytes:
-            out = io.BytesIO()
-            with tarfile.open(fileobj=out, mode="w") as archive:
-                for name, data in members.items():
-                    info = tarfile.TarInfo(name.replace("_", "."))
-                    info.size = len(data)
-                    archive.addfile(info, io.BytesIO(data))
-            return out.getvalue()
-
-        return pd.Series([tar(inner_tgz=gzip.compress(tar(deep_tgz=gzip.compress(tar(t_xml=t.encode()), 1)), 1), plain_xml=t.encode()) for t in texts])
-
     d = table(spark, sf, "documents", "doc_id", "text")
-    raw = d.select(F.col("doc_id").cast("string").alias("path"), packed("text").alias("content"))
+    raw = d.select(F.col("doc_id").cast("string").alias("path"), "text").mapInArrow(packer(), "path string, content binary")
     return al.unpack_archives(raw).where("error is null").select("path", "member", F.md5("xml").alias("digest"))
 
 

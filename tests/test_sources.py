@@ -8,6 +8,7 @@ import random
 import tarfile
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -156,6 +157,20 @@ def test_deep_and_broken_archives(spark):
     assert got[("b", "ok.xml")] == ("fine", None) and got[("b", "last.xml")] == ("€ café", None) and got[("b", "bad.gz")][1]
 
 
+def test_archives_are_packed_in_small_batches(spark):
+    """Each archive has 20 kB at least, whatever its text: those of all rows of a batch at once were most of a task's memory."""
+    from queries import contracts
+
+    texts = [f"<alert>{k}</alert>" for k in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(300)]), pa.array(texts)], ["path", "text"])
+    made = list(contracts.packer(1 << 18)(iter([batch, batch])))
+    assert sum(b.num_rows for b in made) == 600 and max(b.nbytes for b in made) < 1 << 19
+    members = dict(m[:2] for m in alerts._members(made[0].column(1)[1].as_py()))
+    assert members == {"inner.tgz::deep.tgz::t.xml": b"<alert>1</alert>", "plain.xml": b"<alert>1</alert>"}
+    plan = contracts.nested_archives(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and plan.count("MapInArrow") == 2
+
+
 def test_headers_of_all_pollutants(spark):
     names = ["Fecha", "HORA", "PM10 (µg/m3)", "PM2,5", "Dióxido de azufre", "NO", "NO2", "NOx", "NO3", "Ozono troposférico", "Norte"]
     got = records.normalize_headers(spark.createDataFrame([tuple("x" * len(names))], names)).columns
