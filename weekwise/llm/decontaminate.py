@@ -15,7 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import LOWER, as_bytes, shared_table, slices
+from ._common import LOWER, as_bytes, map_batches, shared_table, slices
 
 FILTER_BITS = 23  # 1 MB of bits on every task, whatever the size of the benchmark; more false hits only cost work
 OTHER = bytes(b if b >= 128 or chr(b).isdigit() or "a" <= chr(b) <= "z" else 32 for b in range(256))
@@ -44,7 +44,7 @@ def item_windows(items: DataFrame, size: int, item_id: str, text: str) -> DataFr
                 )
 
     rows = items.select(items[item_id].cast("string").alias("item"), items[text].alias("text"))
-    return rows.mapInArrow(run, "item STRING, window ARRAY<STRING>").distinct()
+    return map_batches(rows, run, "item STRING, window ARRAY<STRING>").distinct()
 
 
 def bloom(words: DataFrame, spark_column: str = "word") -> np.ndarray:
@@ -85,7 +85,7 @@ def word_counts(docs: DataFrame, bits: np.ndarray, text: str) -> DataFrame:
                     total.clear()
         yield _counts(total)
 
-    rows = docs.select(docs[text].alias("text")).mapInArrow(run, "word STRING, n BIGINT")
+    rows = map_batches(docs.select(docs[text].alias("text")), run, "word STRING, n BIGINT")
     return rows.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -136,8 +136,8 @@ def candidates(docs: DataFrame, bits: np.ndarray, size: int, doc_id: str, text:
                 )
 
     rows = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("print"))
-    return rows.mapInArrow(
-        run, "doc_id BIGINT, print BIGINT, n_words BIGINT, found ARRAY<STRUCT<word: STRING, place: INT, left: INT, around: ARRAY<STRING>>>"
+    return map_batches(
+        rows, run, "doc_id BIGINT, print BIGINT, n_words BIGINT, found ARRAY<STRUCT<word: STRING, place: INT, left: INT, around: ARRAY<STRING>>>"
     )
 
 

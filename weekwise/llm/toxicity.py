@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import BYTE_VALUE, LOWER, as_bytes, map_slices, prefix_hash, slices, span_hash, word_spans
+from ._common import BYTE_VALUE, LOWER, as_bytes, give_back, map_batches, map_slices, prefix_hash, slices, span_hash, word_spans
 
 SAMPLE_ROWS = 12_000  # bound of the labelled sample that the model is fitted on
 MAX_TERMS = 50_000  # bound of the terms in the model, those that tell most about the labels of the sample
@@ -185,7 +185,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int =
             ["terms", "bias", "w", "v"],
         )
 
-    found = picked.select("id", "text", "y").repartition(1).mapInArrow(run, "terms BINARY, bias BINARY, w BINARY, v BINARY").collect()
+    found = map_batches(picked.select("id", "text", "y").repartition(1), run, "terms BINARY, bias BINARY, w BINARY, v BINARY").collect()
     if not found:
         return fit([], np.zeros(0))
     r = found[0]
@@ -219,5 +219,7 @@ def clean_rows(docs: DataFrame, model: Model, threshold: float = 0.7, text: str
         for batch in batches:
             for part in slices(batch, column, 1 << 20):
                 yield part.filter(pa.array(score(shared.value, as_bytes(part.column(column))) < threshold))
+            batch = part = None
+            give_back()
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
